@@ -20,13 +20,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
 h AS (SELECT DISTINCT doc_id, i + o AS p FROM k, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1),
 r AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-             CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              CAST(len(l) AS BIGINT) AS n_lines,
              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,

@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_quality
+from trawldex.llm import q_chat, q_quality, q_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_format": q_chat.op1_chat_format,
+        "op4_jump_shards": q_sharding.op4_jump_shards,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": q_quality.OP10_SQL}
+    return {
+        "op1_chat_format": q_chat.OP1_SQL,
+        "op10_quality_rules": q_quality.OP10_SQL,
+    }
