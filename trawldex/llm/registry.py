@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_quality, q_sharding
+from trawldex.llm import q_chat, q_decontam, q_quality, q_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
+        "op2_decontaminate": q_decontam.op2_decontaminate,
         "op4_jump_shards": q_sharding.op4_jump_shards,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
+        "op2_decontaminate": q_decontam.OP2_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
     }
