@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_quality, q_sharding
+from trawldex.llm import q_chat, q_decontam, q_quality, q_sharding, q_suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_decontaminate": q_decontam.op2_decontaminate,
         "op4_jump_shards": q_sharding.op4_jump_shards,
+        "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
         "op2_decontaminate": q_decontam.OP2_SQL,
+        "op8_suffix_dedup": q_suffix.OP8_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
     }
