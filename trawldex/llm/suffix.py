@@ -26,21 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trawldex.llm.arrays import BASE, CHUNK, INVERSE, mix, power, split_by
+
 SLICE_BYTES = 4 << 20
 PIECE = 16  # bytes of an anchor
-CHUNK = 1 << 22
 PART_BYTES = 3 << 20  # bytes of segments in one suffix array
 LEAST_ID = -(2**63)
 
 
-def _mix(x: np.ndarray, k: int) -> np.ndarray:
-    x = x * np.uint64(k)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
-
-
 def _words(x: np.ndarray, big: bool = False) -> np.ndarray:
     """The eight bytes at every place as a number; x is padded with zeros at its end."""
     n = len(x)
@@ -63,7 +56,7 @@ def segments(x: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
         part = x[c : c + CHUNK + length - 1]
         w = _words(part)
         n = len(part) - PIECE + 1
-        h = _mix(w[:n] ^ _mix(w[8 : n + 8], 0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93)
+        h = mix(w[:n] ^ mix(w[8 : n + 8], 0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93)
         packed = (h & ~np.uint64(0x7FFFFF)) | np.arange(n, dtype=np.uint64)
         low, have = packed, 1
         while have * 2 <= wide:
@@ -81,25 +74,12 @@ def segments(x: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
         stop = np.flatnonzero(np.r_[valid[:-1] & (new[1:] | ~valid[1:]), valid[-1:]]) + 1
         firsts.append(first + c)
         counts.append(stop - first)
-        keys.append(_mix(h[anchor[first]], 0xA0761D6478BD642F) >> np.uint64(1))
+        keys.append(mix(h[anchor[first]], 0xA0761D6478BD642F) >> np.uint64(1))
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(keys)
 
 
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        p = np.full(max(n, CHUNK), base, np.uint64)
-        p[0] = 1
-        _POWERS[base] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[base][:n]
-
-
 def names(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit name of x[first:first + size] for each first, the same wherever the bytes stand."""
     out = np.empty(len(first), np.uint64)
@@ -108,11 +88,11 @@ def names(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         if a == b:
             continue
         part = x[c : int(min(len(x), c + CHUNK + 512))]
-        table = _mix(np.arange(1, 257, dtype=np.uint64), 0xE7037ED1A0B428DB)
+        table = mix(np.arange(1, 257, dtype=np.uint64), 0xE7037ED1A0B428DB)
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * _power(_BASE, len(part)), out=total[1:])
+        np.cumsum(table[part] * power(BASE, len(part)), out=total[1:])
         at = first[a:b] - c
-        out[a:b] = _mix((total[at + size[a:b]] - total[at]) * _power(_INVERSE, len(part))[at] + size[a:b].astype(np.uint64), 0x8EBC6AF09C88C6E3)
+        out[a:b] = mix((total[at + size[a:b]] - total[at]) * power(INVERSE, len(part))[at] + size[a:b].astype(np.uint64), 0x8EBC6AF09C88C6E3)
     return out
 
 
@@ -227,12 +207,6 @@ def _rows(parts: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(parts, schema)
 
 
-def _cut(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[o[0]]), o) for o in np.split(order, cuts) if len(o)]
-
-
 _ANCHORS = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("data", pa.binary())])
 _SHARED = pa.schema([("slice", pa.int32()), ("data", pa.binary())])
 _SEGMENTS = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("name", pa.binary()), ("key", pa.binary()), ("size", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("text", pa.binary())])
@@ -253,7 +227,7 @@ def slice_anchors(table: pa.Table, length: int, buckets: int) -> pa.Table:
     both = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
     data = (key[cut] << np.uint64(1)) | both.astype(np.uint64)
     number = table.column("slice")[0].as_py()
-    return _rows([{"bucket": b, "slice": number, "data": data[o].tobytes()} for b, o in _cut((key[cut] % np.uint64(buckets)).astype(np.int64))], _ANCHORS)
+    return _rows([{"bucket": b, "slice": number, "data": data[o].tobytes()} for b, o in split_by((key[cut] % np.uint64(buckets)).astype(np.int64))], _ANCHORS)
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
@@ -295,7 +269,7 @@ def slice_segments(docs: pa.Table, shared: pa.Table, length: int, buckets: int)
     one = order[cut]
     number = docs.column("slice")[0].as_py()
     out = []
-    for b, o in _cut((key[one] % np.uint64(buckets)).astype(np.int64)):
+    for b, o in split_by((key[one] % np.uint64(buckets)).astype(np.int64)):
         at, n = first[one[o]], size[one[o]]
         take = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         out.append({"bucket": b, "slice": number, "name": name[one[o]].tobytes(), "key": key[one[o]].tobytes(), "size": n.astype(np.int32).tobytes(), "least": least[o].tobytes(), "most": most[o].tobytes(), "text": x[take].tobytes()})
@@ -345,7 +319,7 @@ def bucket_removals(table: pa.Table, length: int) -> pa.Table:
     starts, ends, ids, which = starts[order], ends[order], ids[order], which[order]
     at = np.searchsorted(which, np.arange(len(one) + 1))
     out = []
-    for s, o in _cut(of.astype(np.int64)):
+    for s, o in split_by(of.astype(np.int64)):
         n = at[group[o] + 1] - at[group[o]]
         take = np.repeat(at[group[o]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         use = ids[take] < np.repeat(most[o], n)
