@@ -34,8 +34,6 @@ def split_by(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[o[0]]), o) for o in np.split(order, cuts) if len(o)]
 
 
-
-
 _WS = np.ones(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,10 +83,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(full[a : b - width + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for k in range(b - a):
-                short = short + w[a + k] * keys[k % 8]
-            out.append(mix(np.array([short], np.uint64), 0xA0761D6478BD642F))
+            short = (w[a:b] * np.array([keys[k % 8] for k in range(b - a)])).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(short + np.array([b - a], np.uint64), 0xA0761D6478BD642F))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

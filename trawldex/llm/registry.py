@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_quality, q_sharding, q_suffix
+from trawldex.llm import q_chat, q_decontam, q_ngram, q_quality, q_sharding, q_suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": q_decontam.op2_decontaminate,
         "op4_jump_shards": q_sharding.op4_jump_shards,
         "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
+        "op9_ngram_jaccard": q_ngram.op9_ngram_jaccard,
         "op10_quality_rules": q_quality.op10_quality_rules,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": q_chat.OP1_SQL,
         "op2_decontaminate": q_decontam.OP2_SQL,
         "op8_suffix_dedup": q_suffix.OP8_SQL,
+        "op9_ngram_jaccard": q_ngram.OP9_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
     }
