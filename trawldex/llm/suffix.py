@@ -203,6 +203,17 @@ def _text(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(b) for b in texts])
 
 
+def _shut(values: np.ndarray) -> bytes:
+    """The bytes of values, compressed, behind their number."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), kind) if size else np.zeros(0, kind)
+
+
 def _rows(parts: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(parts, schema)
 
@@ -272,7 +283,7 @@ def slice_segments(docs: pa.Table, shared: pa.Table, length: int, buckets: int)
     for b, o in split_by((key[one] % np.uint64(buckets)).astype(np.int64)):
         at, n = first[one[o]], size[one[o]]
         take = np.repeat(at - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        out.append({"bucket": b, "slice": number, "name": name[one[o]].tobytes(), "key": key[one[o]].tobytes(), "size": n.astype(np.int32).tobytes(), "least": least[o].tobytes(), "most": most[o].tobytes(), "text": x[take].tobytes()})
+        out.append({"bucket": b, "slice": number, "name": name[one[o]].tobytes(), "key": _shut((key[one[o]] >> np.uint64(40)).astype(np.uint16)), "size": _shut(n.astype(np.int32)), "least": _shut(least[o]), "most": _shut(most[o] - least[o]), "text": _shut(x[take])})
     return _rows(out, _SEGMENTS)
 
 
@@ -284,19 +295,20 @@ def _take(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 def bucket_removals(table: pa.Table, length: int) -> pa.Table:
     """Suffix arrays over a bucket's distinct segments; for each slice, the runs of strings that a smaller id has."""
-    col = lambda c, kind: [np.frombuffer(b, kind) for b in table.column(c).to_pylist()]
-    name, key, size, least, most = col("name", np.uint64), col("key", np.uint64), col("size", np.int32), col("least", np.int64), col("most", np.int64)
+    col = lambda c, kind: [_opened(b, kind) for b in table.column(c).to_pylist()]
+    name = [np.frombuffer(b, np.uint64) for b in table.column("name").to_pylist()]
+    key, size, least, most = col("key", np.uint16), col("size", np.int32), col("least", np.int64), col("most", np.int64)
     of = np.repeat(table.column("slice").to_numpy(), [len(x) for x in name])
     text = np.concatenate(col("text", np.uint8))
     name, key, size, least, most = (np.concatenate(c) for c in (name, key, size.copy(), least, most))
-    size = size.astype(np.int64)
+    size, most = size.astype(np.int64), most + least
     order = np.argsort(name, kind="stable")
     cut = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
     one = order[cut]
     group = np.empty(len(name), np.int64)
     group[order] = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(name)]))
     low = np.minimum.reduceat(least[order], cut)
-    # whole anchors go to parts of bounded size
+    # whole anchors, by a part of their key, go to suffix arrays of bounded size
     by = np.argsort(key[one], kind="stable")
     heavy = np.cumsum(size[one][by]) // PART_BYTES
     edge = np.r_[True, key[one][by][1:] != key[one][by][:-1]]
@@ -325,7 +337,7 @@ def bucket_removals(table: pa.Table, length: int) -> pa.Table:
         use = ids[take] < np.repeat(most[o], n)
         take, own = take[use], np.repeat(name[o], n)[use]
         if len(take):
-            out.append({"slice": s, "name": own.tobytes(), "start": starts[take].astype(np.int32).tobytes(), "end": ends[take].astype(np.int32).tobytes(), "least": ids[take].tobytes()})
+            out.append({"slice": s, "name": _shut(own), "start": _shut(starts[take].astype(np.int32)), "end": _shut(ends[take].astype(np.int32)), "least": _shut(ids[take])})
     return _rows(out, _REMOVE)
 
 
@@ -337,7 +349,7 @@ def slice_kept(docs: pa.Table, removals: pa.Table, length: int) -> pa.Table:
     ids = _ids(docs.column("doc_id"))
     gone = np.zeros(len(x), bool)
     if removals.num_rows:
-        col = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in removals.column(c).to_pylist()])
+        col = lambda c, kind: np.concatenate([_opened(b, kind) for b in removals.column(c).to_pylist()])
         name, a, b, least = col("name", np.uint64), col("start", np.int32), col("end", np.int32), col("least", np.int64)
         order = np.argsort(name, kind="stable")
         name, a, b, least = name[order], a[order], b[order], least[order]
