@@ -40,13 +40,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def word_hashes(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased white-space separated words of documents laid end to end, and the first word of each document.
+#: Bytes of plain words: digits, letters and everything from 0x80 on.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def word_hashes(x: np.ndarray, starts: np.ndarray, letters: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (runs of `letters`, by default all but white space) of documents laid end to end,
+    and the first word of each document.
 
     Words are the same number wherever they stand; x is worked on in chunks that end between words.
     """
     n = len(x)
-    inside = _WS[x]
+    inside = letters[x]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     before = np.r_[False, inside[:-1]] if n else inside

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_ngram, q_quality, q_sharding, q_suffix
+from trawldex.llm import q_chat, q_decontam, q_mixing, q_ngram, q_quality, q_sharding, q_suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_decontaminate": q_decontam.op2_decontaminate,
         "op4_jump_shards": q_sharding.op4_jump_shards,
+        "op6_mix_weights": q_mixing.op6_mix_weights,
         "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
         "op9_ngram_jaccard": q_ngram.op9_ngram_jaccard,
         "op10_quality_rules": q_quality.op10_quality_rules,
