@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_mixing, q_ngram, q_quality, q_sharding, q_suffix
+from trawldex.llm import q_chat, q_decontam, q_mixing, q_ngram, q_quality, q_sharding, q_suffix, q_tokens, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_decontaminate": q_decontam.op2_decontaminate,
+        "op3_warc_revisits": q_warc.op3_warc_revisits,
         "op4_jump_shards": q_sharding.op4_jump_shards,
         "op6_mix_weights": q_mixing.op6_mix_weights,
+        "op7_token_rollup": q_tokens.op7_token_rollup,
         "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
         "op9_ngram_jaccard": q_ngram.op9_ngram_jaccard,
         "op10_quality_rules": q_quality.op10_quality_rules,
@@ -27,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.OP1_SQL,
         "op2_decontaminate": q_decontam.OP2_SQL,
+        "op3_warc_revisits": q_warc.OP3_SQL,
         "op8_suffix_dedup": q_suffix.OP8_SQL,
         "op9_ngram_jaccard": q_ngram.OP9_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
