@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_mixing, q_ngram, q_quality, q_sharding, q_suffix, q_tokens, q_warc
+from trawldex.llm import q_chat, q_decontam, q_licenses, q_mixing, q_ngram, q_quality, q_sharding, q_suffix, q_tokens, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_decontaminate": q_decontam.op2_decontaminate,
         "op3_warc_revisits": q_warc.op3_warc_revisits,
         "op4_jump_shards": q_sharding.op4_jump_shards,
+        "op5_license_scan": q_licenses.op5_license_scan,
         "op6_mix_weights": q_mixing.op6_mix_weights,
         "op7_token_rollup": q_tokens.op7_token_rollup,
         "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
