@@ -379,11 +379,14 @@ class Join:
         self.scratch: list[str] = []
 
     def links(self, pairs: DataFrame, slices: int) -> DataFrame:
-        """Verify distinct pairs (a, b); groups follow the second document, so a hot first one is sent once to each."""
+        """Verify distinct pairs (a, b); groups follow the second document, so a hot first one is sent once to each.
+
+        The texts are always shuffled, so that disk and time grow in step with the input, whatever the broadcast limit.
+        """
         width, per = self.width, self.per
         pairs = pairs.select(F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int").alias("g"), "a", "b")
         wanted = pairs.select("g", F.col("a").alias("doc_id")).union(pairs.select("g", F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(wanted, "doc_id").select(F.col("g").alias("group"), "doc_id", "text")
+        texts = self.docs.join(wanted.hint("merge"), "doc_id").select(F.col("g").alias("group"), "doc_id", "text")
         return pairs.groupBy("g").cogroup(texts.groupBy("group")).applyInArrow(lambda p, t: _verified(p, t, width, per), "g int, a long, b long").select("a", "b")
 
     def run(self) -> DataFrame:
