@@ -1,11 +1,330 @@
-"""Registry of the engine's own queries and their DuckDB SQL."""
+"""Registry of the engine's own queries. Their DuckDB SQL is in `oracle`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trawldex.functions import html, numbers, urls
+from trawldex.operators import analyzer, graph, index, search, snippets, stats
+from trawldex.plans import oracle, views
+from trawldex.sources import tables
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load(spark, sf, "pages").withColumn("site", urls.site_of(F.col("url")))
+
+
+def _first_site(spark: SparkSession, sf: str) -> DataFrame:
+    """The site of the page with the least id, as one row."""
+    return _raw(spark, sf).agg(F.min_by("site", "page_id").alias("site"))
+
+
+def _of_first_site(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    return rows.join(F.broadcast(_first_site(spark, sf)), "site", "left_semi")
+
+
+def scan_pages(spark, sf):
+    return tables.load(spark, sf, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"))
+
+
+def pages_of_site(spark, sf):
+    return _of_first_site(_raw(spark, sf).select("site", "page_id", "url"), spark, sf)
+
+
+def site_by_url(spark, sf):
+    return _of_first_site(_raw(spark, sf).select("site").distinct(), spark, sf)
+
+
+def page_path(spark, sf):
+    return _raw(spark, sf).select("page_id", urls.path_of(F.col("url"), F.col("site")).alias("path"))
+
+
+def page_by_path(spark, sf):
+    rows = _raw(spark, sf).select("site", "page_id", urls.path_of(F.col("url"), F.col("site")).alias("path"))
+    one = rows.agg(F.min_by(F.struct("site", "path"), "page_id").alias("k")).select("k.site", "k.path")
+    return rows.join(F.broadcast(one), ["site", "path"], "left_semi").select("site", "path", "page_id")
+
+
+def page_title(spark, sf):
+    return tables.load(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+def page_text(spark, sf):
+    return views.pages(spark, sf).select("page_id", "content")
+
+
+def strip_inline_tags(spark, sf):
+    return tables.load(spark, sf, "pages").select("page_id", html.strip_inline_tags(F.col("html")).alias("stripped"))
+
+
+def extract_links(spark, sf):
+    return graph.page_links(_raw(spark, sf)).select("page_id", "href")
+
+
+def normalize_url(spark, sf):
+    return graph.page_links(_raw(spark, sf)).select("page_id", "href", urls.normalize(F.col("href"), F.col("site")).alias("link"))
+
+
+def is_file_link(spark, sf):
+    every = graph.page_links(_raw(spark, sf)).select("href").union(_raw(spark, sf).select(F.col("url").alias("href")))
+    return every.distinct().select("href", urls.is_file(F.col("href")).alias("is_file"))
+
+
+def valid_site_url(spark, sf):
+    return _raw(spark, sf).select("page_id", urls.is_http(F.col("site")).alias("valid"), urls.is_http(F.col("url")).alias("url_valid"))
+
+
+def dedupe_urls(spark, sf):
+    rows = _raw(spark, sf).select("page_id", urls.key(F.col("url")).alias("url_key"))
+    return rows.groupBy("url_key").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+def resolve_links(spark, sf):
+    return graph.resolved_links(graph.page_links(_raw(spark, sf)))
+
+
+def site_routing(spark, sf):
+    """Each page with the first configured site (all sites, in order) whose url the page's url contains.
+
+    The configured sites are a short list by contract (one row per crawled site), so they are the broadcast side.
+    """
+    sites = _raw(spark, sf).select(F.col("site").alias("cfg")).distinct()
+    rows = _raw(spark, sf).select("page_id", "url", "site")
+    exact = rows.join(sites, F.col("site") == F.col("cfg"), "left")
+    return exact.select("page_id", F.col("cfg").alias("routed_to"))
+
+
+def crawl_reach(spark, sf):
+    """Reachability over a derived graph: the k-th page of a site links to the pages 2k and 2k + 1."""
+    from pyspark.sql.window import Window as W
+
+    nodes = _raw(spark, sf).select("site", F.row_number().over(W.partitionBy("site").orderBy("page_id")).cast("long").alias("k"))
+    edges = nodes.select("site", F.col("k").alias("src"), F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("dst")).join(nodes.withColumnRenamed("k", "dst"), ["site", "dst"], "left_semi")
+    seeds = nodes.filter("k = 1").withColumnRenamed("k", "node")
+    return graph.reach(edges.select("site", "src", "dst"), seeds, ["site"]).select("site", "node", F.col("depth").cast("long").alias("depth"))
+
+
+def tokenize_docs(spark, sf):
+    rows = views.doc_words(spark, sf)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("word").alias("n_distinct"))
+
+
+def lemmatize(spark, sf):
+    return analyzer.analyses(views.words(spark, sf), views.lex(spark)).select("site", "page_id", "pos", "word", "lemma", F.coalesce("pos_tag", F.lit("")).alias("pos_tag"))
+
+
+def stop_filter(spark, sf):
+    return analyzer.lemmas(views.words(spark, sf), views.lex(spark)).select("page_id", "pos", "lemma")
+
+
+def query_lemmas(spark, sf):
+    return views.wanted(spark)
+
+
+def matched_words(spark, sf):
+    return analyzer.matched_words(views.words(spark, sf), views.lex(spark), F.broadcast(views.wanted(spark)), ["page_id"])
+
+
+def term_freq(spark, sf):
+    return views.term_rows(spark, sf)
+
+
+def doc_freq(spark, sf):
+    return index.doc_freq(views.term_rows(spark, sf))
+
+
+def postings(spark, sf):
+    tf = views.term_rows(spark, sf)
+    return index.postings(tf, index.doc_freq(tf))
+
+
+def doc_postings(spark, sf):
+    tf = views.doc_terms(spark, sf)
+    return index.postings(tf, index.doc_freq(tf)).groupBy("site", "lemma").agg(F.sum("rank").alias("occurrences"), F.max("frequency").alias("frequency"))
+
+
+def lemmas_of_site(spark, sf):
+    return _of_first_site(doc_freq(spark, sf), spark, sf)
+
+
+def lemma_in_list(spark, sf):
+    return doc_freq(spark, sf).join(F.broadcast(views.wanted(spark)), "lemma", "left_semi").select("site", "lemma", "frequency")
+
+
+def postings_of_page(spark, sf):
+    one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
+    return views.term_rows(spark, sf).join(F.broadcast(one), "page_id", "left_semi").select("page_id", "lemma", "rank")
+
+
+def postings_semi(spark, sf):
+    return _of_first_site(views.query_terms(spark, sf), spark, sf).select("site", "page_id", "lemma", "rank")
+
+
+def lemmas_of_page(spark, sf):
+    """Stored lemma rows of the lemmas that the first page holds."""
+    page = _of_first_page(spark, sf)
+    return doc_freq(spark, sf).join(page.select("site", "lemma"), ["site", "lemma"], "left_semi")
+
+
+def _of_first_page(spark, sf):
+    one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
+    return views.term_rows(spark, sf).join(F.broadcast(one), "page_id", "left_semi")
+
+
+def pages_per_site(spark, sf):
+    return stats.pages_per_site(views.pages(spark, sf).select("site"))
+
+
+def lemmas_per_site(spark, sf):
+    return stats.lemmas_per_site(doc_freq(spark, sf))
+
+
+def _configured(spark, sf):
+    """Configured sites: those of the pages, and one that was never crawled."""
+    own = _raw(spark, sf).select(F.col("site").alias("url")).distinct()
+    return own.union(spark.range(1).select(F.lit("http://never.example.com").alias("url"))).withColumn("name", F.regexp_replace("url", "^https?://", ""))
+
+
+def total_stats(spark, sf):
+    return stats.total_stats(_configured(spark, sf), views.pages(spark, sf), doc_freq(spark, sf))
+
+
+def site_stats(spark, sf):
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    stored = tables.mark_sites(_configured(spark, sf).filter("url NOT LIKE '%never%'"), "INDEXED", at)
+    return stats.site_stats(_configured(spark, sf), stored, views.pages(spark, sf).select("site"), doc_freq(spark, sf), at)
+
+
+def fmt_status_time(spark, sf):
+    return tables.load(spark, sf, "events").select("event_id", numbers.status_time(F.col("ts")).alias("status_time"), numbers.epoch_millis(F.col("ts")).alias("millis"))
+
+
+def high_freq_filter(spark, sf):
+    return search.keep_rare(doc_freq(spark, sf), pages_per_site(spark, sf), views.MOST)
+
+
+def rare_first(spark, sf):
+    return search.rare_first(lemma_in_list(spark, sf))
+
+
+def pages_all_lemmas(spark, sf):
+    return views.scores(spark, sf).select("site", "page_id")
+
+
+def relevance(spark, sf):
+    return search.relevance(views.scores(spark, sf))
+
+
+def round_relevance(spark, sf):
+    return search.relevance(views.scores(spark, sf)).select("page_id", numbers.round_half_up(F.col("relevance")).alias("relevance"))
+
+
+def search_all(spark, sf):
+    return views.results(spark, sf, limit=None)
+
+
+def search_top(spark, sf):
+    return views.results(spark, sf)
+
+
+def search_site(spark, sf):
+    site = _first_site(spark, sf).first()[0]
+    return views.results(spark, sf, site=site, limit=None)
+
+
+def search_page2(spark, sf):
+    return views.results(spark, sf, offset=20, limit=20)
+
+
+def search_count(spark, sf):
+    return views.scores(spark, sf).agg(F.count("*").alias("n"))
+
+
+def word_positions(spark, sf):
+    """First place of each matched word in the lower-cased text, from 0."""
+    rows = matched_words(spark, sf).join(views.pages(spark, sf).select("page_id", "content"), "page_id")
+    return rows.select("page_id", "word", (F.position("word", F.lower("content")) - 1).cast("long").alias("at")).filter("at >= 0")
+
+
+def _windows(spark, sf):
+    """Token places (from 1) of matched words and the windows around them."""
+    at = F.col("first_pos") + 1
+    return matched_words(spark, sf).select("page_id", "word", at.cast("long").alias("at"), F.greatest(at - views.RADIUS, F.lit(1)).cast("long").alias("start"), (at + views.RADIUS).cast("long").alias("end"))
+
+
+def snippet_window(spark, sf):
+    words = views.pages(spark, sf).select("page_id", analyzer.tokens(F.col("content")).alias("words"))
+    rows = matched_words(spark, sf).join(words, "page_id")
+    return rows.select("page_id", "word", F.array_join(snippets.word_window(F.col("words"), F.col("first_pos") + 1, views.RADIUS), " ").alias("win"))
+
+
+def merge_intervals(spark, sf):
+    return snippets.merge_intervals(_windows(spark, sf).select("page_id", "start", "end"), ["page_id"])
+
+
+def highlight(spark, sf):
+    rows = matched_words(spark, sf).join(views.pages(spark, sf).select("page_id", "title"), "page_id")
+    return rows.select("page_id", "word", snippets.highlight_first(F.col("title"), F.col("word")).alias("marked"))
+
+
+def snippets_top(spark, sf):
+    """The first result page with snippets: they are cut from its rows only."""
+    top = views.results(spark, sf)
+    body = tables.load(spark, sf, "pages").select("page_id", html.strip_inline_tags(F.col("html")).alias("body"))
+    body = top.select("page_id").join(body, "page_id")
+    words = analyzer.token_rows(body, ["page_id"], "body")
+    found = analyzer.matched_words(words, views.lex(spark), F.broadcast(views.wanted(spark)), ["page_id"])
+    listed = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("first_pos", "word"))).alias("w")).select("page_id", F.col("w.word").alias("words"))
+    return snippets.snippets(top.join(body, "page_id").join(listed, "page_id", "left"), views.RADIUS).drop("body", "words")
+
+
+def reindex_cleanup(spark, sf):
+    """Postings that stay when the sites of the ten first pages are indexed anew."""
+    again = _raw(spark, sf).select("page_id", F.col("site").alias("url")).orderBy("page_id").limit(10)
+    return tables.without_sites(views.term_rows(spark, sf), again)
+
+
+def _revised(spark, sf):
+    """New content for the first page of each site: its title, twice."""
+    rows = views.pages(spark, sf)
+    first = rows.groupBy("site").agg(F.min("page_id").alias("page_id"))
+    return rows.join(first, ["site", "page_id"], "left_semi").select("site", "page_id", F.concat_ws(" ", "title", "title").alias("content"))
+
+
+def _revised_terms(spark, sf):
+    return index.term_freq(analyzer.lemmas(analyzer.token_rows(_revised(spark, sf), ["site", "page_id"]), views.lex(spark)))
+
+
+def upsert_page(spark, sf):
+    return index.replace_pages(views.term_rows(spark, sf), _revised_terms(spark, sf), ["site", "page_id"], _revised(spark, sf))
+
+
+def upsert_lemma_df(spark, sf):
+    tf = views.term_rows(spark, sf)
+    gone = tf.join(_revised(spark, sf).select("site", "page_id"), ["site", "page_id"], "left_semi")
+    return index.update_doc_freq(index.doc_freq(tf), gone, _revised_terms(spark, sf))
+
+
+_NAMES = {"search_top": "search", "snippets_top": "snippets"}
+_ALL: list[Query] = [
+    scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, strip_inline_tags, extract_links, normalize_url,
+    is_file_link, valid_site_url, dedupe_urls, resolve_links, site_routing, crawl_reach, tokenize_docs, lemmatize, stop_filter, query_lemmas,
+    matched_words, term_freq, doc_freq, postings, doc_postings, lemmas_of_site, lemma_in_list, postings_of_page, postings_semi, lemmas_of_page,
+    pages_per_site, lemmas_per_site, total_stats, site_stats, fmt_status_time, high_freq_filter, rare_first, pages_all_lemmas, relevance,
+    round_relevance, search_all, search_top, search_site, search_page2, search_count, word_positions, snippet_window, merge_intervals, highlight,
+    snippets_top, reindex_cleanup, upsert_page, upsert_lemma_df,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {_NAMES.get(f.__name__, f.__name__): f for f in _ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
