@@ -75,8 +75,7 @@ def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         """aggregate(__p, named_struct('n', 0L, 'last', -3L),
              (s, p) -> named_struct('n', s.n + least(3L, p - s.last), 'last', p), s -> s.n)"""
     )
-    return df.select(
-        *(carry or ["doc_id"]),
+    measures = F.struct(
         F.col("__n").cast("long").alias("n_words"),
         F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -84,6 +83,9 @@ def measure(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
     )
+    # The generator keeps later filters from being pushed into the measurements, which would spell them out many times over.
+    names = carry or ["doc_id"]
+    return df.select(*names, F.explode(F.array(measures)).alias("__q")).select(*names, "__q.*")
 
 
 def fail_mask() -> Column:
@@ -129,6 +131,5 @@ def filter_documents(docs: DataFrame, policy: Policy = STRICT, text: str = "text
     """The documents that the policy keeps, with all their columns."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(text).alias("__text"))
-    # The generator keeps the optimizer from pushing the filter down, which would spell every measurement out many times.
-    rows = ledger(packed, "__text", ["__doc"]).select("__doc", F.explode(F.array("fail_mask")).alias("__mask"))
-    return rows.filter(~failed(policy, "__mask")).select(*[F.col(f"__doc.`{c}`").alias(c) for c in names])
+    rows = ledger(packed, "__text", ["__doc"])
+    return rows.filter(~failed(policy)).select(*[F.col(f"__doc.`{c}`").alias(c) for c in names])
