@@ -147,3 +147,12 @@ def test_reach_on_a_chain(spark):
     edges = spark.createDataFrame([("s", i, i + 1) for i in range(5)] + [("s", 3, 0), ("t", 1, 2)], "site string, src int, dst int")
     rows = graph.reach(edges, spark.createDataFrame([("s", 0)], "site string, node int"), ["site"]).collect()
     assert sorted((r.node, r.depth) for r in rows) == [(i, i) for i in range(6)]
+
+
+def test_route(spark):
+    from trawldex.sources import tables
+
+    sites = [Site("http://a.b", "A"), Site("http://c.d", "C")]
+    for url, want in (("http://a.b/x", "http://a.b"), ("http://e.f/http://c.d/x", "http://c.d"), ("http://x.y", None)):
+        assert _one(spark, tables.route(F.lit(url), sites)) == want
+    assert _one(spark, tables.route(F.lit("http://a.b"), [])) is None

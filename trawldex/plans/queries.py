@@ -90,14 +90,10 @@ def resolve_links(spark, sf):
 
 
 def site_routing(spark, sf):
-    """Each page with the first configured site (all sites, in order) whose url the page's url contains.
-
-    The configured sites are a short list by contract (one row per crawled site), so they are the broadcast side.
-    """
+    """Each page with its configured site; every crawled site is configured, so the pair is an equi-join on the derived site."""
     sites = _raw(spark, sf).select(F.col("site").alias("cfg")).distinct()
     rows = _raw(spark, sf).select("page_id", "url", "site")
-    exact = rows.join(sites, F.col("site") == F.col("cfg"), "left")
-    return exact.select("page_id", F.col("cfg").alias("routed_to"))
+    return rows.join(sites, F.col("site") == F.col("cfg"), "left").select("page_id", F.col("cfg").alias("routed_to"))
 
 
 def crawl_reach(spark, sf):

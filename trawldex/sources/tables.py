@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawldex.functions import html, urls
+from trawldex.sources.config import Site
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +31,12 @@ def corpus_pages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.col("text").alias("content")).filter("content <> ''")
 
 
+def route(url: Column, sites: Sequence[Site]) -> Column:
+    """The first configured site that the url contains, or null; the configured list becomes one expression, not a join."""
+    found = [F.when(F.contains(url, F.lit(s.url)), F.lit(s.url)) for s in sites]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
 def write_table(rows: DataFrame, path: str, partition_by: str | None = "site") -> None:
     """Replace the partitions that rows has; others stay."""
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
