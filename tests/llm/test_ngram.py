@@ -47,7 +47,7 @@ def test_brute_force(spark, monkeypatch):
                 del x[p]
             else:
                 x.insert(p, random.choice(v))
-        rows.append((i * 7 - 300, " ".join(x)))
+        rows.append((i * 7 - 3000, " ".join(x)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, hot=10).collect()}
