@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawldex.llm import mixing
 from trawldex.llm.common import table
 
-WEIGHTS = {"good": 0.84, "poor": 0.11, "toxic": 0.05}
+WEIGHTS = {"good": 0.88, "poor": 0.09, "toxic": 0.03}
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
