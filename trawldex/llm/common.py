@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawldex.sources.scratch import scratch_dir
+
+__all__ = ["WS_CHARS", "WS_CLASS", "discard", "materialize", "scratch_dir", "table", "text_bytes"]
+
 #: White space between words, as a Java regular expression and as plain characters.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -17,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="trawldex-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
     """Write df to a new folder of the shared scratch space and read it back.
 
