@@ -41,3 +41,22 @@ def test_edges(spark):
     rows = sorted((r.doc_id, r.n_paragraphs, len(r.licences)) for r in licenses.scan(docs, licenses.train(docs)).collect())
     assert rows == [(1, 0, 0), (2, 0, 0), (2, 2, 2)]
     assert licenses.scan(docs.limit(0), licenses.train(docs.limit(0))).count() == 0
+
+
+def test_statements_inside_long_paragraphs():
+    s = _scanner()
+    prose = [f"word{(7 * i) % 61} of{(5 * i) % 23} text{i % 17}" for i in range(140)]
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            for k in (10, 40, 400):
+                words = " ".join(prose).split()[:k]
+                for cut in range(0, k + 1, max(1, k // 7)):
+                    n, found = s.scan([" ".join([*words[:cut], t, *words[cut:]]).encode()])[0]
+                    assert n == 1 and [(f["paragraph"], f["family"]) for f in found] == [(0, family)], (t, k, cut, found)
+
+
+def test_one_paragraph_of_two_licences():
+    filler = " ".join(f"plain{i % 31} words{i % 7}" for i in range(60))
+    text = f"{filler} Released under the MIT License. {filler} All rights reserved. {filler}"
+    assert [(f["paragraph"], f["family"]) for f in _scanner().scan([text.encode()])[0][1]] == [(0, "mit"), (0, "reserved")]
+    assert _scanner().scan([filler.encode()]) == [(1, [])]

@@ -1,10 +1,15 @@
 """License scans of paragraphs.
 
-A softmax regression over hashed word 1- to 3-grams names each paragraph's licence family or `none`. It is trained on variants of
-the templates below and on at most `sample` paragraphs of the corpus that hold no licence word (those with the least
-hash) as `none`. A temperature set on held-out variants calibrates the probabilities. A paragraph counts as a family only if its
-probability reaches the calibrated threshold and the family's closest template confirms it: enough of the template's word
-pairs occur in it. Paragraphs that speak like a licence without both are `unknown`.
+A softmax regression over hashed word 1- to 3-grams names the licence family, or `none`, of every window of 8 words; windows
+overlap by half and cover each paragraph whole, however long it is, so a statement of up to 5 words lies in one of them. It is
+trained on variants and parts of the templates below, each with as many words of prose around it as a window has room for, and on the
+windows of at most `sample` paragraphs of the corpus that hold no licence word (those with the least hash), and windows of words seen
+nowhere else, as `none`. A temperature set on held-out variants calibrates the probabilities.
+
+Neighbouring windows that speak like a licence, or share word pairs with a template, are one passage. A passage counts as a family only
+if the probability of one of its windows, or of the words that match the family's closest template, reaches the calibrated threshold and
+that template confirms it: enough of its word pairs occur in the passage or within two windows of it. Passages that speak like a
+licence or match a template without both are `unknown`. A paragraph is listed once for each family (or `unknown`) of its passages.
 
 Paragraphs are the newline-separated lines with a word. Texts are read whole, in batches of bounded size, and no prefix is taken.
 
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawldex.llm.arrays import PLAIN, mix, word_hashes
-from trawldex.llm.linear import Softmax, distinct, features
+from trawldex.llm.linear import Softmax
 
 #: Short licence statements by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -37,23 +42,34 @@ TEMPLATES: dict[str, list[str]] = {
 LICENCE_WORDS = ["license", "licensed", "licence", "copyright", "reserved", "permission", "redistribution"]
 CLASSES = ["none", *TEMPLATES]
 SAMPLE = 3000
+VARIANTS = 120
+UNSEEN = 800
 BITS = 16
 CONFIRM = 0.6
+WINDOW, STRIDE = 8, 4
 BATCH_BYTES = 2 << 20
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word pairs of texts (of the word itself where there is one), and the first of each text."""
-    x = np.frombuffer(b"".join(texts), np.uint8)
-    w, at = word_hashes(x, np.cumsum([0] + [len(t) for t in texts]), PLAIN)
-    nxt = np.r_[w[1:], np.zeros(min(1, len(w)), np.uint64)]
-    last = np.zeros(len(w), bool)
-    last[at[1:][at[1:] > at[:-1]] - 1] = True
-    pairs = mix(w, 0x9E3779B97F4A7C15) + np.where(last, np.uint64(0), nxt)
-    keep = ~last
-    single = np.flatnonzero(np.diff(at) == 1)
-    keep[at[single]] = True
-    return pairs[keep], np.searchsorted(np.flatnonzero(keep), at)
+def _pairs(w: np.ndarray, once: bool = True) -> np.ndarray:
+    """Hashes of neighbouring words, by default each once."""
+    pairs = mix(w[:-1], 0x9E3779B97F4A7C15) + w[1:]
+    return np.unique(pairs) if once else pairs
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    return word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), PLAIN)[0]
+
+
+def _words(text: bytes) -> list[bytes]:
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", text)
+
+
+def _windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first word and end of the windows of lines of n words each, by line; they overlap and cover every word."""
+    k = np.where(n > 0, np.maximum(1, -(-n // STRIDE) - 1), 0)
+    line = np.repeat(np.arange(len(n)), k)
+    start = (np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)) * STRIDE
+    return line, start, np.minimum(start + WINDOW, n[line])
 
 
 class Scanner:
@@ -61,50 +77,95 @@ class Scanner:
 
     def __init__(self, negatives: list[str]):
         rng = np.random.default_rng(7)
-        fill = " ".join(negatives).split() or ["the"]
-        texts, labels = [t.encode() for t in negatives], [0] * len(negatives)
+        prose = [_words(t.encode()) for t in negatives]
+        fill = [w for ws in prose for w in ws] or [b"the"]
+        line, start, end = _windows(np.array([len(ws) for ws in prose], np.int64))
+        texts = [b" ".join(prose[i][a:b]) for i, a, b in zip(line, start, end, strict=True)]
+        new = iter(range(1 << 62))  # words seen nowhere else stand for vocabulary that the sample does not have
+        texts += [b" ".join(b"\x80%d" % next(new) for _ in range(1 + k % WINDOW)) for k in range(UNSEEN)]
+        labels = [0] * len(texts)
         for c, family in enumerate(TEMPLATES, 1):
             for t in TEMPLATES[family]:
-                for k in range(60):
-                    words = t.split()
+                whole = _words(t.encode())
+                for k in range(VARIANTS):
+                    words = whole
+                    if k % 2:  # what a window sees of a longer statement
+                        size = int(rng.integers(min(STRIDE + 1, len(whole)), len(whole) + 1))
+                        at = int(rng.integers(0, len(whole) - size + 1))
+                        words = whole[at : at + size]
                     if k % 3 == 1:
                         words = [w for w in words if rng.random() > 0.1] or words
-                    extra = [fill[i] for i in rng.integers(len(fill), size=int(rng.integers(0, 6)))]
+                    words = words[:WINDOW] if k else words
+                    room = max(0, WINDOW - len(words))
+                    at = int(rng.integers(0, len(fill)))
+                    extra = fill[at : at + int(rng.integers(0, room + 1))] if k else []
+                    extra = [b"\x80%d" % next(new) for _ in extra] if k % 5 == 2 else extra
                     cut = int(rng.integers(0, len(extra) + 1))
-                    v = " ".join(extra[:cut] + words + extra[cut:]) if k else t
-                    texts.append((v.upper() if k % 7 == 3 else v.lower() if k % 7 == 5 else v).encode())
+                    texts.append(b" ".join(extra[:cut] + words + extra[cut:]))
                     labels.append(c)
         order = rng.permutation(len(texts))
         texts, y = [texts[i] for i in order], np.array(labels)[order]
-        self.model = Softmax(BITS, 3, CLASSES).fit(texts, y)
+        self.model = Softmax(BITS, 3, CLASSES, once=False).fit(texts, y, rate=2.0)
         aside = [i for i in range(len(texts)) if i % 5 == 4 and y[i] > 0]
         p = self.model.of([texts[i] for i in aside])[0][np.arange(len(aside)), y[aside]] if aside else np.ones(1)
         self.threshold = float(min(0.9, max(0.3, np.quantile(p, 0.01))))
-        self.templates = [[np.unique(_grams([t.encode()])[0]) for t in ts] for ts in TEMPLATES.values()]
+        self.templates = [[_pairs(_hashes(t.encode())) for t in ts] for ts in TEMPLATES.values()]
+        self.shared = np.unique(np.concatenate([t for ts in self.templates for t in ts]))
+        self.fewest = min(int(np.ceil(CONFIRM * len(t))) for ts in self.templates for t in ts)
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[dict]]]:
-        """Per text: its number of paragraphs, and the licence paragraphs (index, family, probability, similarity)."""
+        """Per text: its number of paragraphs, and what its licence paragraphs hold (index, family, probability, similarity)."""
         x = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum([0] + [len(t) for t in texts])
         lines = np.unique(np.r_[starts, np.flatnonzero(x == 10) + 1])
-        index, at, words = features(x, lines, BITS, 3) if len(x) else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
-        has = words > 0
+        w, at = word_hashes(x, lines, PLAIN) if len(x) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        n = np.diff(at)
+        has = n > 0
         owner = np.searchsorted(starts, lines[:-1], "right") - 1
         count = np.bincount(owner[has], minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
         out: list[tuple[int, list[dict]]] = [(int(c), []) for c in count]
-        if not len(owner):
+        if not len(w):
             return out
-        p = self.model.posteriors(*distinct(index, at, BITS))
-        likely = np.flatnonzero(has & (p[:, 0] < 0.5))
+        line, start, end = _windows(n)
+        start, end = start + at[line], end + at[line]
+        p = self.model.spans(w, start, end)
+        shared = np.zeros(len(w) + 1, np.int64)
+        np.cumsum(np.isin(_pairs(w, False), self.shared), out=shared[1 : max(1, len(w))])
+        shared[-1] = shared[-2]
+        speaks = p[:, 0] < 0.5
+        likely = np.flatnonzero(speaks | (shared[end - 1] - shared[start] >= self.fewest))
         number = np.cumsum(has) - 1
         before = np.r_[0, np.cumsum(count)[:-1]]
-        for i in likely:
-            line = x[lines[i] : lines[i + 1]].tobytes()
-            grams = np.unique(_grams([line])[0])
-            family = int(p[i, 1:].argmax())
-            near = max(float(np.isin(t, grams).mean()) if len(t) else 0.0 for t in self.templates[family])
-            sure = p[i, 1 + family] >= self.threshold and near >= CONFIRM
-            out[owner[i]][1].append({"paragraph": int(number[i] - before[owner[i]]), "family": CLASSES[1 + family] if sure else "unknown", "probability": float(p[i, 1 + family]), "similarity": near})
+        held: dict[tuple[int, str], dict] = {}
+        for passage in np.split(likely, np.flatnonzero((np.diff(likely) > 1) | (np.diff(line[likely]) > 0)) + 1) if len(likely) else []:
+            i = line[passage[0]]
+            near_by = w[max(at[i], start[passage[0]] - 2 * WINDOW) : min(at[i + 1], end[passage[-1]] + 2 * WINDOW)]
+            pairs = _pairs(near_by, False)
+            match = [[np.isin(pairs, t) for t in ts] for ts in self.templates]
+            near = [[len(np.unique(pairs[m])) / len(t) for m, t in zip(ms, ts, strict=True)] for ms, ts in zip(match, self.templates, strict=True)]
+            closest = [int(np.argmax(x)) for x in near]
+            near = [max(x) for x in near]
+            if not speaks[passage].any() and max(near) < CONFIRM:
+                continue
+            best = p[passage, 1:].max(axis=0)
+            named = set(p[passage, 1:].argmax(axis=1).tolist())
+            for f in range(len(near)):
+                if near[f] >= CONFIRM:
+                    where = np.flatnonzero(match[f][closest[f]])
+                    where = max(np.split(where, np.flatnonzero(np.diff(where) > 2) + 1), key=len)
+                    q = self.model.spans(near_by, where[:1], where[-1:] + 2)[0, 1:]
+                    if q.argmax() == f:
+                        named.add(f)
+                        best[f] = max(best[f], q[f])
+            sure = [f for f in sorted(named) if best[f] >= self.threshold and near[f] >= CONFIRM]
+            for f in sure or [int(best.argmax())]:
+                family = CLASSES[1 + f] if sure else "unknown"
+                f = f if sure or speaks[passage].any() else int(np.argmax(near))
+                one = held.setdefault((i, family), {"paragraph": int(number[i] - before[owner[i]]), "family": family, "probability": 0.0, "similarity": 0.0})
+                one["probability"] = max(one["probability"], float(best[f]))
+                one["similarity"] = max(one["similarity"], near[f])
+        for (i, _), one in held.items():
+            out[owner[i]][1].append(one)
         return out
 
 

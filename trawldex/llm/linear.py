@@ -37,8 +37,9 @@ def distinct(index: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray,
 class Softmax:
     """Weights (features x classes), bias and temperature; small enough to be sent to every task (2^bits x classes)."""
 
-    def __init__(self, bits: int, orders: int, classes: list[str]):
-        self.bits, self.orders, self.classes = bits, orders, classes
+    def __init__(self, bits: int, orders: int, classes: list[str], once: bool = True):
+        """once: a text's repeated n-gram counts once; else as often as it occurs, as it does in `spans`."""
+        self.bits, self.orders, self.classes, self.once = bits, orders, classes, once
         self.weights = np.zeros((1 << bits, len(classes)), np.float32)
         self.bias = np.zeros(len(classes), np.float32)
         self.temperature = 1.0
@@ -59,13 +60,30 @@ class Softmax:
         """Posteriors and numbers of words of texts."""
         x = np.frombuffer(b"".join(texts), np.uint8)
         index, at, words = features(x, np.cumsum([0] + [len(t) for t in texts]), self.bits, self.orders)
-        return self.posteriors(*distinct(index, at, self.bits)), words
+        return self.posteriors(*(distinct(index, at, self.bits) if self.once else (index, at))), words
+
+    def spans(self, w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Posteriors of the runs of words [start, end), which may overlap, of word hashes w (for once=False)."""
+        z, n = np.zeros((len(start), len(self.classes))), np.zeros(len(start), np.int64)
+        key = np.zeros(len(w), np.uint64)
+        for o in range(self.orders):
+            key = key[: len(w) - o] + w[o:] * _KEYS[o] if o else w * _KEYS[0]
+            index = (mix(key, 0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+            total = np.zeros((len(key) + 1, len(self.classes)))
+            np.cumsum(self.weights[index], axis=0, dtype=np.float64, out=total[1:])
+            stop = np.maximum(start, end - o)
+            z += total[np.minimum(stop, len(key))] - total[np.minimum(start, len(key))]
+            n += stop - start
+        z = (self.bias + z / np.sqrt(np.maximum(1, n))[:, None]) / self.temperature
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-6, held_out: int = 5) -> Softmax:
         """Adaptive gradient descent over all given texts; every `held_out`-th sets the temperature only."""
         x = np.frombuffer(b"".join(texts), np.uint8)
         index, at, _ = features(x, np.cumsum([0] + [len(t) for t in texts]), self.bits, self.orders)
-        index, at = distinct(index, at, self.bits)
+        if self.once:
+            index, at = distinct(index, at, self.bits)
         aside = np.arange(len(texts)) % held_out == held_out - 1
         y = np.eye(len(self.classes))[labels]
         n = np.diff(at)

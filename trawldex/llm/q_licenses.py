@@ -15,7 +15,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.filter("licences", lambda x: x["family"] != "unknown")
     return rows.select(
         "doc_id", "n_paragraphs",
-        F.size("licences").cast("long").alias("n_license"),
+        F.size(F.array_distinct(F.transform("licences", lambda x: x["paragraph"]))).cast("long").alias("n_license"),
         F.size(F.filter("licences", lambda x: x["family"] == "unknown")).cast("long").alias("n_unknown"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"]))), ",").alias("families"),
     )
