@@ -60,3 +60,17 @@ def test_one_paragraph_of_two_licences():
     text = f"{filler} Released under the MIT License. {filler} All rights reserved. {filler}"
     assert [(f["paragraph"], f["family"]) for f in _scanner().scan([text.encode()])[0][1]] == [(0, "mit"), (0, "reserved")]
     assert _scanner().scan([filler.encode()]) == [(1, [])]
+
+
+def test_training_sample_of_whole_distinct_paragraphs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licenses, "Scanner", seen.append)
+    long = " ".join(f"w{i}" for i in range(1000))
+    copies = [(i, "the same line\n" * 40) for i in range(20)]
+    docs = spark.createDataFrame([*copies, (30, long), (31, "another line"), (32, "Copyright of a line")], "doc_id long, text string")
+    licenses.train(docs)
+    assert seen.pop() == sorted(["the same line", "another line", long])
+    licenses.train(docs, sample=2)
+    assert len(set(seen[0])) == len(seen.pop()) == 2
+    licenses.train(docs, sample_bytes=100)
+    assert seen.pop() == ["another line", "the same line"]
