@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from trawldex.llm import mixing, q_mixing
 
@@ -47,3 +48,24 @@ def test_edges(spark):
     assert len(rows) == 4 and sorted(r.tokens for r in rows) == [0, 0, 2, 2]
     assert mixing.apply_mix(docs, labels, q_mixing.WEIGHTS).columns == docs.columns
     assert mixing.mix(docs.limit(0), labels.limit(0), q_mixing.WEIGHTS).count() == 0
+
+
+def test_rates_settle_for_a_rare_domain(spark):
+    rng = np.random.default_rng(5)
+    for shares in ([0.95, 0.047, 0.003], [0.5, 0.499, 0.001]):
+        kind = rng.choice(3, 3000, p=shares)
+        p = 0.9 * np.eye(3)[kind] + 0.1 * rng.dirichlet([2, 2, 0.02], 3000)
+        tokens = rng.integers(20, 400, 3000)
+        rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
+        target = np.array(list(q_mixing.WEIGHTS.values())) * (tokens @ p)[0] / q_mixing.WEIGHTS["good"]
+        s = mixing.solve(rows, target, 4.0)
+        r = s.rates(p)[0]
+        residual = ((tokens * r) @ p - target) / tokens.sum()
+        left = r - np.clip(r - (p @ residual + s.ridge * (r - s.start)), 0, 4)
+        assert ((tokens * np.abs(left)) @ p / target).max() < 1e-5
+
+
+def test_unsettled_rates_raise(spark):
+    rows = spark.createDataFrame([(5, [0.7, 0.2, 0.1]), (9, [0.1, 0.8, 0.1]), (2, [0.1, 0.1, 0.8])], "tokens long, posterior array<double>")
+    with pytest.raises(RuntimeError):
+        mixing.solve(rows, np.array([2.0, 1.0, 1.0]), 4.0, steps=1)

@@ -3,8 +3,10 @@
 A classifier trained on the labelled table gives every document a posterior over domains. Projected-gradient least squares then
 finds a rate for each document, from 0 to max_rate, so that the expected tokens of each domain (rate x tokens x
 posterior, summed over all documents) match the targets; a small ridge pulls rates to a common value and makes the
-solution unique. A gradient step needs one residual per domain, so each pass over the documents is one sum that is
-combined before its shuffle, and a document's rate is recomputed from the short list of residuals so far.
+solution unique. Where a gradient step leads back to itself, the rate of a document follows from one residual per domain, so only
+these few numbers are sought: Newton steps with a line search find the residuals at which the projected gradient is zero. Each
+pass over the documents is one sum that is combined before its shuffle. What is left of the projected gradient must be below
+`tolerance` of each domain's target; otherwise `solve` raises.
 
 The classifier is fitted on at most `sample` labelled rows (those with the least hash of their id); everything else
 covers all documents.
@@ -63,14 +65,19 @@ def posteriors(packed: DataFrame, model: Softmax) -> DataFrame:
 
 
 class Solver:
-    """Accelerated projected gradient; `history` holds (residuals, momentum) of the steps so far."""
+    """Accelerated projected gradient; `history` holds (residuals, momentum) of the steps so far. Once `settled` holds the
+    residuals at which a step leads back to itself, the rates are those of that fixed point."""
 
     def __init__(self, max_rate: float, ridge: float, start: float):
         self.max_rate, self.ridge, self.start = max_rate, ridge, start
         self.history: list[tuple[np.ndarray, float]] = []
+        self.settled: np.ndarray | None = None
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, extrapolated rate) of documents with posteriors p after the steps so far."""
+        if self.settled is not None:
+            r = np.clip(self.start - p @ self.settled / self.ridge, 0, self.max_rate)
+            return r, r
         r = np.full(len(p), self.start)
         y = r
         step = 1 / (1 + self.ridge)
@@ -81,33 +88,59 @@ class Solver:
         return r, y
 
 
-def solve(rows: DataFrame, targets: np.ndarray, max_rate: float, ridge: float = 1e-4, steps: int = 40, tolerance: float = 1e-5) -> Solver:
-    """rows: tokens, posterior; targets: tokens wanted of each domain."""
+def _sums(p: np.ndarray, tokens: np.ndarray, points: np.ndarray, solver: Solver) -> np.ndarray:
+    """For each point (residuals / ridge): the tokens of its rates by domain, its part of the dual objective, and its curvature."""
+    k, out = p.shape[1], []
+    for u in points:
+        free = solver.start - p @ u
+        rate = np.clip(free, 0, solver.max_rate)
+        inside = tokens * ((free > 0) & (free < solver.max_rate))
+        out.append(np.r_[(tokens * rate) @ p, (tokens * rate) @ (free - rate / 2), (p.T @ (p * inside[:, None])).reshape(k * k)])
+    return np.array(out)
+
+
+def solve(rows: DataFrame, targets: np.ndarray, max_rate: float, ridge: float = 1e-4, steps: int = 40, tolerance: float = 1e-7) -> Solver:
+    """rows: tokens, posterior; targets: tokens wanted of each domain. tolerance is relative to each domain's target."""
     k = len(targets)
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     solver = Solver(max_rate, ridge, min(max_rate, float(targets.sum()) / total) if total else 0.0)
     if not total:
         return solver
-    speed = 1.0
-    for _ in range(steps):
-        sent = Solver(max_rate, ridge, solver.start)
-        sent.history = list(solver.history)
+    wanted = targets / total
+    width = k + 1 + k * k
 
-        def expected(batches, s=sent):
-            sums = np.zeros(k)
+    def at(points: np.ndarray) -> np.ndarray:
+        def part(batches):
+            sums = np.zeros((len(points), width))
             for b in batches:
                 p = np.array(b.column("posterior").flatten()).reshape(-1, k)
-                sums += (b.column("tokens").to_numpy() * s.rates(p)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(sums)], names=["k", "v"])
-
-        sums = {r.k: r.v for r in rows.mapInArrow(expected, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        residual = (np.array([sums.get(i, 0.0) for i in range(k)]) - targets) / total
-        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        solver.history.append((residual, (speed - 1) / faster))
-        speed = faster
-        if len(solver.history) > 2 and np.abs(residual - solver.history[-2][0]).max() < tolerance:
-            break
-    return solver
+                tokens = b.column("tokens").to_numpy()
+                for i in range(0, len(p), 1 << 14):
+                    sums += _sums(p[i : i + (1 << 14)], tokens[i : i + (1 << 14)], points, solver)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], names=["k", "v"])
+
+        found = {r.k: r.v for r in rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        return np.array([found.get(i, 0.0) for i in range(len(points) * width)]).reshape(len(points), width) / total
+
+    def off(sums: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return sums[:k] - wanted - ridge * u
+
+    def worst(sums: np.ndarray, u: np.ndarray) -> float:
+        return float((np.abs(off(sums, u)) / np.maximum(wanted, tolerance)).max())
+
+    u = np.zeros(k)
+    now = at(u[None])[0]
+    for _ in range(steps):
+        if worst(now, u) < tolerance:
+            solver.settled = ridge * u
+            return solver
+        step = np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge * np.eye(k), off(now, u))
+        points = u + np.geomspace(1, 2.0**-11, 12)[:, None] * step
+        tried = at(points)
+        height = tried[:, k] + points @ wanted + ridge / 2 * (points**2).sum(axis=1)
+        best = 0 if worst(tried[0], points[0]) < tolerance else int(height.argmin())
+        u, now = points[best], tried[best]
+    raise RuntimeError(f"mixing rates did not settle: {worst(now, u):.1e} of a domain's target is left")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE) -> DataFrame:
