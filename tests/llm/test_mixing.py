@@ -69,3 +69,12 @@ def test_unsettled_rates_raise(spark):
     rows = spark.createDataFrame([(5, [0.7, 0.2, 0.1]), (9, [0.1, 0.8, 0.1]), (2, [0.1, 0.1, 0.8])], "tokens long, posterior array<double>")
     with pytest.raises(RuntimeError):
         mixing.solve(rows, np.array([2.0, 1.0, 1.0]), 4.0, steps=1)
+
+
+def test_sample_is_of_labels_with_a_document(spark):
+    docs, labels = _labelled()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    absent = [(i, 1, 1) for i in range(1000, 6000)]
+    model = mixing.train(d, spark.createDataFrame(labels + absent, "doc_id long, quality int, toxic int"), sample=len(labels))
+    alone = mixing.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert np.array_equal(model.weights, alone.weights) and alone.weights.any()

@@ -8,8 +8,8 @@ these few numbers are sought: Newton steps with a line search find the residuals
 pass over the documents is one sum that is combined before its shuffle. What is left of the projected gradient must be below
 `tolerance` of each domain's target; otherwise `solve` raises.
 
-The classifier is fitted on at most `sample` labelled rows (those with the least hash of their id); everything else
-covers all documents.
+The classifier is fitted on at most `sample` of the labelled rows whose documents are given (those with the least hash of their id);
+everything else covers all documents.
 
 Defined results: a null or empty text has no tokens, the prior as posterior and takes part with no weight; a null label counts as 0; labels
 of unknown documents are ignored; without labelled rows the posterior is uniform; repeated rows are rated alike; an empty table gives an empty result; other
@@ -37,6 +37,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Softmax:
     """Domains from the labels: toxic rows are `toxic`, others `good` or `poor` by quality."""
     kind = F.when(F.coalesce("toxic", F.lit(0)) > 0, 2).when(F.coalesce("quality", F.lit(0)) > 0, 0).otherwise(1).alias("kind")
     chosen = labels.filter("doc_id IS NOT NULL").select("doc_id", kind).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    chosen = chosen.join(docs.select("doc_id").filter("doc_id IS NOT NULL"), "doc_id", "left_semi")  # only labels that have a text here
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of the training sample
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
