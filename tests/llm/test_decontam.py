@@ -60,3 +60,23 @@ def test_remove(spark):
     kept = decontam.remove(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert decontam.remove(docs.limit(0), bench).count() == 0 and decontam.remove(docs, bench.limit(0)).count() == 4
+
+
+def test_items_without_id(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    docs = [(1, f"x {a} y"), (2, f"{a} {b}"), (3, f"{b} {c} tail"), (4, "clean"), (5, None)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame([(None, a), (7, b), (None, c), (8, None), (None, None)], "item_id long, text string")}
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(q_decontam.OP2_SQL).fetchdf().sort_values("doc_id")
+    scan = decontam.scan
+    for block_bytes in (decontam.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontam, "scan", lambda d, e, w, n=block_bytes: scan(d, e, w, block_bytes=n))
+        found = q_decontam.op2_decontaminate(spark, str(tmp_path)).orderBy("doc_id").collect()
+        assert [tuple(r) for r in found] == [tuple(r) for r in want[list(found[0].asDict())].itertuples(index=False)]
+    assert [(r.n_hit, r.n_items) for r in found] == [(20, 1), (40, 2), (40, 2), (0, 0), (0, 0)]

@@ -12,7 +12,7 @@ The benchmark is the stated query set. Its size is measured first; it is sent to
 
 Defined results: a null or empty text has no words and is never contaminated; an item without words has no
 window; an item of fewer than `window` words is one window; repeated document rows are judged one by one and repeated
-items count once; empty tables give no hits; other columns are carried, whatever their names. A text longer than a
+items count once; items with a null id are searched like others and count as one item, null (last in `items`), and `remove` leaves them out; empty tables give no hits; other columns are carried, whatever their names. A text longer than a
 shard is cut into overlapping pieces, so memory is bounded by the shard and not by the text (beyond the row itself).
 """
 
@@ -49,7 +49,7 @@ def words(text: bytes) -> list[bytes]:
 class Queries:
     """The suffixes of a block of items that begin a window, as word numbers (1 and up) of the block's vocabulary."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         self.window = window
         tokens = [(i, words((t or "").encode())) for i, t in items]
         tokens = [(i, w) for i, w in tokens if w]
@@ -195,6 +195,10 @@ def _shards(texts, q: Queries, limit: int):
         yield pieces
 
 
+def _null_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 def judge(texts: list[bytes | None], q: Queries, limit: int = SHARD_BYTES) -> list[dict]:
     """RESULT of each text."""
     out = [{"n_words": 0, "n_hit": 0, "longest": 0, "items": set(), "ranges": []} for _ in texts]
@@ -218,7 +222,7 @@ def judge(texts: list[bytes | None], q: Queries, limit: int = SHARD_BYTES) -> li
     for r in out:
         ranges = r.pop("ranges")
         r["longest"] = max((b - a for a, b, _ in ranges), default=0)
-        r["items"] = sorted(r["items"])
+        r["items"] = sorted(r["items"], key=_null_last)
         _joined(r, [(a, b, *q.owner[i]) for a, b, i in ranges])
     return out
 
@@ -226,7 +230,7 @@ def judge(texts: list[bytes | None], q: Queries, limit: int = SHARD_BYTES) -> li
 def _joined(r: dict, ranges: list[tuple[int, int, int, int]]) -> None:
     """Set spans (disjoint, in order, each with the item that it begins with) and n_hit of a result."""
     spans: list[dict] = []
-    for a, b, item, word in sorted(ranges):
+    for a, b, item, word in sorted(ranges, key=lambda r: (r[0], r[1], _null_last(r[2]), r[3])):
         if spans and a < spans[-1]["end"]:
             spans[-1]["end"] = max(spans[-1]["end"], b)
         else:
@@ -236,23 +240,23 @@ def _joined(r: dict, ranges: list[tuple[int, int, int, int]]) -> None:
 
 def merged(a: dict, b: dict) -> dict:
     """The result of one text against two blocks of items."""
-    out = {"n_words": a["n_words"], "longest": max(a["longest"], b["longest"]), "items": sorted({*a["items"], *b["items"]})}
+    out = {"n_words": a["n_words"], "longest": max(a["longest"], b["longest"]), "items": sorted({*a["items"], *b["items"]}, key=_null_last)}
     _joined(out, [tuple(s[k] for k in ("start", "end", "item_id", "item_word")) for s in a["spans"] + b["spans"]])
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
     """Items in blocks of bounded size; more than one block only if the benchmark's measured size asks for it."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     if n == 1:
         return [[(r.item_id, r.text) for r in items.collect()]]
-    dealt = items.withColumn("__b", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    dealt = items.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     return [[(r.item_id, r.text) for r in dealt.filter(F.col("__b") == b).collect()] for b in range(n)]
 
 
-def _pass(packed: DataFrame, items: list[tuple[int, str | None]], window: int, text: str) -> DataFrame:
+def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window: int, text: str) -> DataFrame:
     sent = packed.sparkSession.sparkContext.broadcast(items)
     earlier = "__r" in packed.columns
     schema = T.StructType([packed.schema["__doc"], T.StructField("__r", RESULT)])
@@ -289,5 +293,5 @@ def contaminated(r: str = "__r") -> Column:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    kept = scan(docs, benchmark, window, text).filter(~contaminated())
+    kept = scan(docs, benchmark.filter("item_id IS NOT NULL"), window, text).filter(~contaminated())
     return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
