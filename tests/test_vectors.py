@@ -149,6 +149,18 @@ def test_reach_on_a_chain(spark):
     assert sorted((r.node, r.depth) for r in rows) == [(i, i) for i in range(6)]
 
 
+def test_reach_has_no_silent_bound(spark):
+    import pytest
+
+    from trawldex.operators import graph
+
+    edges = spark.createDataFrame([("s", i, i + 1) for i in range(40)], "site string, src int, dst int")
+    seeds = spark.createDataFrame([("s", 0)], "site string, node int")
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, seeds, ["site"], max_depth=2)
+    assert sorted((r.node, r.depth) for r in graph.reach(edges, seeds, ["site"]).collect()) == [(i, i) for i in range(41)]
+
+
 def test_route(spark):
     from trawldex.sources import tables
 

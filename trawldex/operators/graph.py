@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,21 @@ def resolved_links(links: DataFrame) -> DataFrame:
     return rows.filter(urls.in_scope(F.col("dst"), F.col("site")) & (urls.key(F.col("src")) != urls.key(F.col("dst")))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """keys, node, depth of every node that seeds (keys, node) reach over edges (keys, src, dst).
 
-    Each round expands only the last frontier; what is visited is a table in the scratch folder, so lineage stays short.
+    Each round expands only the last frontier, until there is none; if there still is one after max_depth rounds, this raises.
+    What is visited is a table in the scratch folder, written anew every 32 rounds, so lineage stays short.
     """
     visited = materialize(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "reach")
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(visited, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
-            break
+            return visited
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"nodes lie more than {max_depth} links from the seeds")
         visited = visited.unionByName(frontier)
-    return visited
+        if depth % 32 == 0:
+            visited = materialize(visited, "reach")
