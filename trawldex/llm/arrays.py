@@ -1,10 +1,14 @@
-"""NumPy helpers that the operators on whole texts share: mixing, power tables, grouping, folding texts to words."""
+"""NumPy helpers that the operators on whole texts share: mixing, grouping, folding texts to words."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 
-CHUNK = 1 << 22
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -15,17 +19,19 @@ def mix(x: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-BASE = 0x2545F4914F6CDD1D
-INVERSE = pow(BASE, -1, 2**64)
-_TABLES: dict[int, np.ndarray] = {}
+def give_back() -> None:
+    """Return freed memory of this process to the system: Spark keeps idle Python workers, whose memory would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU C library
+    if trim is not None:
+        trim(0)
 
 
-def power(base: int, n: int) -> np.ndarray:
-    if base not in _TABLES or len(_TABLES[base]) < n:
-        p = np.full(max(n, CHUNK), base, np.uint64)
-        p[0] = 1
-        _TABLES[base] = np.cumprod(p, dtype=np.uint64)
-    return _TABLES[base][:n]
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), start[1], ... in one array."""
+    n = n.astype(np.int64)
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def split_by(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -45,11 +51,26 @@ PLAIN = np.zeros(256, bool)
 PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+#: Numbers of a letter at one of the first _DEEP places of a word.
+_DEEP = 64
+_LETTERS = mix((np.arange(_DEEP * 256, dtype=np.uint64) & ~np.uint64(255) | np.tile(_LOWER, _DEEP).astype(np.uint64)) + np.uint64(1), 0xE7037ED1A0B428DB)
+
+
+def _placed(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The number of each byte at its place in its word. Every (place, byte) has a mixed number of its own."""
+    near = place < _DEEP
+    out = _LETTERS[np.where(near, place << 8 | x, 0)]
+    if not near.all():
+        far = np.flatnonzero(~near)
+        out[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | _LOWER[x[far]].astype(np.uint64)) + np.uint64(1), 0xE7037ED1A0B428DB)
+    return out
+
+
 def word_hashes(x: np.ndarray, starts: np.ndarray, letters: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words (runs of `letters`, by default all but white space) of documents laid end to end,
     and the first word of each document.
 
-    Words are the same number wherever they stand; x is worked on in chunks that end between words.
+    Words are the same number wherever they stand; x is worked on in chunks that end between words, a longer word in pieces.
     """
     n = len(x)
     inside = letters[x]
@@ -60,17 +81,23 @@ def word_hashes(x: np.ndarray, starts: np.ndarray, letters: np.ndarray = _WS) ->
     after = np.r_[inside[1:], False] if n else inside
     stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
     out = np.empty(len(first), np.uint64)
-    table = mix(np.arange(1, 257, dtype=np.uint64), 0xE7037ED1A0B428DB)[_LOWER]
     i = 0
     while i < len(first):
         j = max(i + 1, int(np.searchsorted(stop, first[i] + CHUNK, "right")))
         a, b = int(first[i]), int(stop[j - 1])
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[x[a:b]] * power(BASE, b - a), out=total[1:])
-        s, e = first[i:j] - a, stop[i:j] - a
-        out[i:j] = mix((total[e] - total[s]) * power(INVERSE, b - a)[s] + (e - s).astype(np.uint64), 0x8EBC6AF09C88C6E3)
+        if b - a > CHUNK:
+            total = np.uint64(0)
+            for c in range(a, b, CHUNK):
+                part = x[c : min(b, c + CHUNK)]
+                total = np.add(total, _placed(part, np.arange(c - a, c - a + len(part))).sum(dtype=np.uint64), dtype=np.uint64)
+            out[i] = total
+        else:
+            place = np.arange(b - a) - np.repeat(first[i:j] - a, np.diff(np.r_[first[i:j], b]))
+            numbers = _placed(x[a:b], place)
+            numbers[~inside[a:b]] = 0
+            out[i:j] = np.add.reduceat(numbers, first[i:j] - a)
         i = j
-    return out, np.searchsorted(first, starts)
+    return mix(out + (stop - first).astype(np.uint64), 0x8EBC6AF09C88C6E3), np.searchsorted(first, starts)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

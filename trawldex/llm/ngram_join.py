@@ -3,23 +3,24 @@
 Texts are lower-cased (A-Z) and cut at white space; a document's set is its distinct `width`-word shingles, by 64-bit hash.
 
 1. One pass over the texts names every set (size and 128-bit sum) and counts shingles in a table of fixed size.
-   Documents with equal sets form a class; its least id stands for it from here on.
+   Rows with equal sets form a class; its least id stands for it from here on.
 2. A second pass orders each set rare-first (by the table, then by hash) and keeps its prefix: two sets that reach the
    threshold share a shingle of both prefixes. A 256-bit parity sketch of the set bounds the symmetric difference from below.
-3. Prefix shingles that two representatives or more have are found by hash bucket; all others can link nothing.
-4. Round one compares each representative with the few pivots of its shared shingles: as many pairs as postings, however
-   many documents share a shingle. Pairs that pass the length, positional and suffix (sketch) filters are verified on
-   the whole sets, and the links' components are taken.
-5. Round two looks at every pair that round one left open: same shingle, different component. Shingles whose documents
-   are all in one component are closed. Each pair is verified once.
+3. Prefix shingles that two representatives or more have are found and counted by hash bucket; all others can link nothing.
+4. The documents of a shared shingle meet in a cell; those of a hot shingle are dealt to blocks, and every two blocks meet in one
+   cell, so that each pair meets once. A cell searches the graph of its candidates (pairs that pass the length, positional
+   and sketch filters) breadth first and gives back a spanning forest: no more rows than came in. Documents that the search has
+   reached are not compared again, so a group of near copies costs one comparison each.
+5. The components of the forests are families: every link lies inside one. A family's texts meet in cells of bounded size
+   (again every two blocks of a large one in one cell). There the links are found by the same search: pairs that pass the length
+   filter and the suffix filter (the sorted sets, parted at fixed places, differ at least by the differences of the parts' sizes) are
+   verified on the whole sets, each pair at most once, and a spanning forest of verified links is what comes out.
 Links inside a component that is already connected change no class and are not enumerated.
 
-A hot shingle's documents are dealt to salts: those in its largest component once, the others to every salt, so that every
-open pair meets. Verification is grouped by the second document; a hot pivot's text goes once to each group.
-
-Defined results: null and empty texts have an empty set, link with nothing and are a class of their own; rows with the same
-id are one document (equal ids share a component); a null id is returned with a null component; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+Defined results: null and empty texts have an empty set and link with nothing; rows with the same id are one document (they share
+a component, whatever their texts, and so do the documents that they link with); a null id is returned with a null component; an
+empty table gives an empty result; other columns are ignored, whatever their names. A text is worked on whole, in batches of about
+a MB: memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -27,19 +28,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawldex.llm.arrays import mix, shingle_sets, split_by
-from trawldex.llm.common import materialize
+from trawldex.llm.arrays import give_back, mix, ranges, shingle_sets, split_by
+from trawldex.llm.common import discard, materialize
 from trawldex.llm.components import components
-from trawldex.llm.suffix import _ANCHORS, _SHARED, shared_anchors
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SLICE_ROWS = 2048
-HOT = 20_000
+SLICE_BYTES = 8 << 20  # of texts whose prefixes are worked on together
+HOT = 4096  # documents of one shingle in a block
+CELL_BYTES = 2 << 20  # of shingle sets in a block of a family
+FAN = 64
 PARTS = 64
 SKETCH = 4  # 64-bit words
+SPLITS = 64  # parts of a sorted set in the suffix filter
 
 
 def _batches(docs: pa.Array, ids: pa.Array):
@@ -59,46 +64,72 @@ def need(a, b, per: int):
 
 
 def _pass_one(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
+        node = TaskContext.get().partitionId()
         for batch in batches:
             for ids, texts in _batches(batch.column("text"), batch.column("doc_id")):
                 sets = shingle_sets(texts, width)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
-                counts += np.bincount((flat >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                cell, times = np.unique((flat >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                counts[cell] = np.minimum(counts[cell] + times, 2**31 - 1)
                 at = np.r_[0, np.cumsum(n)]
                 sums = [np.r_[np.uint64(0), np.cumsum(mix(flat, k), dtype=np.uint64)] for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
                 s1, s2 = ((c[at[1:]] - c[at[:-1]]).view(np.int64) for c in sums)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=kind)
-        own = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(PARTS, -1)
-        hot = [(p, own[p].tobytes()) for p in range(PARTS) if own[p].any()]
-        none = pa.nulls(len(hot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([p for p, _ in hot], pa.int32()), pa.array([c for _, c in hot], pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1), pa.array(s2), *(pa.nulls(len(n), kind.field(i).type) for i in (4, 5, 6))], schema=kind)
+        own = counts.reshape(PARTS, -1)
+        some = [p for p in range(PARTS) if own[p].any()]
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([node] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([own[p].tobytes() for p in some], pa.binary())], schema=kind)
+        del counts, own
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, node long, part int, counts binary")
 
 
 def _added(table: pa.Table) -> pa.Table:
-    rows = [np.frombuffer(b, np.int32).astype(np.int64) for b in table.column("counts").to_pylist()]
-    total = np.minimum(np.sum(rows, axis=0), 2**31 - 1).astype(np.int32)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    """The sum of at most FAN count tables of one part."""
+    total: np.ndarray | int = 0
+    for b in table.column("counts"):
+        total = total + np.frombuffer(b.as_buffer(), np.int32).astype(np.int64)
+    total = np.minimum(total, 2**31 - 1).astype(np.int32)
+    return pa.table({"node": pa.array([table.column("node")[0].as_py() // FAN], pa.int64()), "part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _rarity(first: DataFrame, bits: int) -> np.ndarray:
+    """The tasks' count tables added up in a tree, so that no group holds more than FAN of them.
+
+    At most PARTS rows and 2^22 counters come to the driver: a bound that does not depend on the documents.
+    """
+    rows = first.filter("part IS NOT NULL").select("node", "part", "counts")
+    last = rows.agg(F.max("node")).first()[0] or 0
+    while True:
+        rows = rows.groupBy(F.expr(f"node div {FAN}").alias("up"), "part").applyInArrow(lambda t: _added(t), "node long, part int, counts binary")
+        last //= FAN
+        if last == 0:
+            break
+    freq = np.zeros((PARTS, (1 << bits) // PARTS), np.int32)
+    for r in rows.collect():
+        freq[r.part] = np.frombuffer(r.counts, np.int32)
+    return freq.reshape(-1)
 
 
 def _pass_two(docs: DataFrame, width: int, per: int, bits: int, table) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.binary()), ("sketch", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fame", pa.float32()), ("prefix", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         freq = table.value
         for batch in batches:
             for ids, texts in _batches(batch.column("text"), batch.column("doc_id")):
-                prefix, sketch, n = [], [], []
+                prefix, sketch, n, fame = [], [], [], []
                 for s in shingle_sets(texts, width):
                     n.append(len(s))
                     keep = len(s) - (per * len(s) + 99) // 100 + 1 if len(s) else 0
                     f = freq[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    fame.append(float(f.mean()) if len(s) else 0.0)
                     if keep < len(s):
                         edge = np.partition(f, keep - 1)[keep - 1]
                         s_, f_ = s[f <= edge], f[f <= edge]
@@ -107,268 +138,238 @@ def _pass_two(docs: DataFrame, width: int, per: int, bits: int, table) -> DataFr
                     prefix.append(s_[np.lexsort((s_, f_))[:keep]].tobytes())
                     odd = np.bincount((s & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fame, pa.float32()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], schema=kind)
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n int, prefix binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n int, fame float, prefix binary, sketch binary")
 
 
 class Postings:
-    """The postings (shingle key, document, size, position) of a slice of representatives, sorted by key."""
+    """The postings (shingle key, row, position) of a slice of representatives, sorted by key."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").to_numpy()
-        n = table.column("n").to_numpy().astype(np.int64)
+        self.ids = table.column("doc_id").to_numpy()
+        self.n = table.column("n").to_numpy().astype(np.int64)
+        self.fame = table.column("fame").to_numpy()
         rows = [np.frombuffer(b, np.uint64) for b in table.column("prefix").to_pylist()]
         long = np.array([len(r) for r in rows], np.int64)
-        key = np.concatenate(rows) >> np.uint64(1)
-        pos = np.arange(len(key)) - np.repeat(np.r_[0, np.cumsum(long)[:-1]], long)
-        row = np.repeat(np.arange(len(ids)), long)
+        key = np.concatenate(rows)
         order = np.argsort(key, kind="stable")
-        self.key, self.pos, self.row = key[order], pos[order], row[order]
-        self.ids, self.n = ids, n
+        self.key = key[order]
+        self.pos = ranges(np.zeros(len(long), np.int64), long)[order]
+        self.row = np.repeat(np.arange(len(long)), long)[order]
         self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
 
-    def only(self, wanted: np.ndarray) -> np.ndarray:
-        """Places of postings whose key is in wanted (sorted), and where in wanted."""
-        if not len(wanted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(wanted, self.key), len(wanted) - 1)
-        mine = np.flatnonzero(wanted[at] == self.key)
-        return mine, at[mine]
+
+_KEYS = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
+_SHARED = pa.schema([("slice", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
 
 
 def _slice_keys(table: pa.Table, buckets: int) -> pa.Table:
+    """Distinct shingles of a slice and how many rows have them."""
     p = Postings(table)
     cut = np.flatnonzero(np.r_[True, p.key[1:] != p.key[:-1]])
-    both = np.diff(np.r_[cut, len(p.key)]) > 1
-    data = (p.key[cut] << np.uint64(1)) | both.astype(np.uint64)
+    key, n = p.key[cut], np.diff(np.r_[cut, len(p.key)]).astype(np.int32)
     number = table.column("slice")[0].as_py()
-    return pa.Table.from_pylist([{"bucket": b, "slice": number, "data": data[o].tobytes()} for b, o in split_by((p.key[cut] % np.uint64(buckets)).astype(np.int64))], _ANCHORS)
-
+    return pa.Table.from_pylist([{"bucket": b, "slice": number, "key": key[o].tobytes(), "n": n[o].tobytes()} for b, o in split_by((key % np.uint64(buckets)).astype(np.int64))], _KEYS)
 
-_FIELDS = {"key": np.uint64, "doc": np.int64, "comp": np.int64, "n": np.int32, "pos": np.int32, "sketch": np.uint64}
-_PACKED = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("slice", pa.int32()), *[(f, pa.binary()) for f in _FIELDS]])
-_PACKED_DDL = "bucket int, salt int, slice int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 
+def _shared_keys(table: pa.Table) -> pa.Table:
+    """Of the shingles of a bucket those that two rows or more have, given back to each slice that has them, with their number."""
+    slices = table.column("slice").to_pylist()
+    keys = [np.frombuffer(b, np.uint64) for b in table.column("key").to_pylist()]
+    key = np.concatenate(keys)
+    n = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("n").to_pylist()]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    total = np.empty(len(key), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], cut), np.diff(np.r_[cut, len(key)]))
+    out, at = [], 0
+    for s, k in zip(slices, keys, strict=True):
+        own = total[at : at + len(k)]
+        at += len(k)
+        mine = own > 1
+        if mine.any():
+            out.append({"slice": s, "key": k[mine].tobytes(), "n": own[mine].tobytes()})
+    return pa.Table.from_pylist(out, _SHARED)
 
-def _packed(cols: dict[str, np.ndarray], o: np.ndarray) -> dict:
-    return {f: np.ascontiguousarray(cols[f][o].astype(_FIELDS[f])).tobytes() for f in cols}
 
+_FIELDS = {"key": np.uint64, "cell": np.int64, "side": np.int8, "doc": np.int64, "n": np.int32, "pos": np.int32, "fame": np.float32, "sketch": np.uint64}
+_PACKED = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), *[(f, pa.binary()) for f in _FIELDS]])
+_PACKED_DDL = "bucket int, slice int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 
-def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {f: np.concatenate([np.frombuffer(b or b"", k) for b in table.column(f).to_pylist()]) for f, k in _FIELDS.items()}
-    out["sketch"] = out["sketch"].reshape(-1, SKETCH)
-    return out
 
+def blocks_of(block: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For members in `block` of `blocks` blocks: (member, cell, side), one for each cell that its block belongs to.
 
-def _data(table: pa.Table, kind: int = 0) -> np.ndarray:
-    rows = [np.frombuffer(b, np.uint64) for b, k in zip(table.column("data").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind]
-    return np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    Cell (i, j), i <= j, is numbered i * blocks + j; side tells whether the member is of block i (0) or of a later block j (1).
+    """
+    take = np.repeat(np.arange(len(block)), blocks)
+    other = ranges(np.zeros(len(blocks), np.int64), blocks)
+    own = block[take]
+    return take, np.minimum(own, other) * blocks[take] + np.maximum(own, other), (own > other).astype(np.int8)
 
 
-def _first_pivots(docs: pa.Table, extra: pa.Table, buckets: int) -> pa.Table:
-    """For each shared shingle of a slice: the postings of its least id and of its least hashed id."""
+def _cells(docs: pa.Table, extra: pa.Table, buckets: int, hot: int) -> pa.Table:
+    """The postings of a slice under shared shingles, by bucket."""
     if not docs.num_rows or not extra.num_rows:
         return pa.Table.from_pylist([], _PACKED)
     p = Postings(docs)
-    mine, _ = p.only(np.sort(_data(extra)))
-    return _pivot_rows(p.key[mine], p.ids[p.row[mine]], p.n[p.row[mine]], p.pos[mine], p.sketch[p.row[mine]], docs.column("slice")[0].as_py(), buckets)
-
-
-def _least_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of each key's least document and of the one with the least hash."""
-    picks = []
-    for rank in (doc, mix(doc.view(np.uint64), 0x9E3779B97F4A7C15)):
-        order = np.lexsort((rank, key))
-        picks.append(order[np.r_[True, key[order][1:] != key[order][:-1]]] if len(order) else order)
-    return np.unique(np.concatenate(picks))
-
-
-def _pivot_rows(key, doc, n, pos, sketch, number, buckets) -> pa.Table:
-    o = _least_two(key, doc)
-    cols = {"key": key[o], "doc": doc[o], "n": n[o], "pos": pos[o], "sketch": sketch[o]}
-    return pa.Table.from_pylist([{"bucket": b, "slice": number, **_packed(cols, i)} for b, i in split_by((key[o] % np.uint64(buckets)).astype(np.int64))], _PACKED)
-
-
-def _last_pivots(table: pa.Table) -> pa.Table:
-    """Of the pivots of all slices the least ones of each shingle, given back to each slice that has the shingle."""
-    keys = [np.frombuffer(b, np.uint64) for b in table.column("key").to_pylist()]
-    c = _unpacked(table.set_column(table.column_names.index("comp"), "comp", pa.array([b""] * table.num_rows, pa.binary())))
-    o = _least_two(c["key"], c["doc"])
-    o = o[np.argsort(c["key"][o], kind="stable")]
-    have = c["key"][o]
-    out = []
-    for s, k in zip(table.column("slice").to_pylist(), keys, strict=True):
-        lo, hi = np.searchsorted(have, np.unique(k)), np.searchsorted(have, np.unique(k), "right")
-        n = hi - lo
-        take = o[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        out.append({"slice": s, **_packed({f: c[f] for f in ("key", "doc", "n", "pos", "sketch")}, take)})
-    return pa.Table.from_pylist(out, _PACKED)
-
-
-def _passes(na, nb, ia, ib, sa, sb, per: int) -> np.ndarray:
-    """Length, positional and suffix filter on pairs that share the shingles at places ia and ib."""
+    wanted = np.concatenate([np.frombuffer(b, np.uint64) for b in extra.column("key").to_pylist()])
+    number = np.concatenate([np.frombuffer(b, np.int64) for b in extra.column("n").to_pylist()])
+    order = np.argsort(wanted, kind="stable")
+    wanted, number = wanted[order], number[order]
+    at = np.minimum(np.searchsorted(wanted, p.key), len(wanted) - 1)
+    mine = np.flatnonzero(wanted[at] == p.key)
+    blocks = -(-number[at[mine]] // hot)
+    block = (mix(p.ids[p.row[mine]].view(np.uint64), 0xD6E8FEB86659FD93) % blocks.astype(np.uint64)).astype(np.int64)
+    take, cell, side = blocks_of(block, blocks)
+    place = mine[take]
+    row = p.row[place]
+    cols = {"key": p.key[place], "cell": cell, "side": side, "doc": p.ids[row], "n": p.n[row], "pos": p.pos[place], "fame": p.fame[row], "sketch": p.sketch[row]}
+    bucket = (mix(cols["key"] + mix(cell.astype(np.uint64), 0x9E3779B97F4A7C15), 0xA0761D6478BD642F) % np.uint64(buckets)).astype(np.int64)
+    own = docs.column("slice")[0].as_py()
+    rows = [{"bucket": b, "slice": own, **{f: np.ascontiguousarray(cols[f][o].astype(k)).tobytes() for f, k in _FIELDS.items()}} for b, o in split_by(bucket)]
+    return pa.Table.from_pylist(rows, _PACKED)
+
+
+def forest(group: np.ndarray, joined) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph that joined(a, b) -> bool defines on the pairs of members of the same group.
+
+    group: sorted group number of every member. All groups are searched breadth first at the same time; what a search has reached
+    is compared with nothing that was reached before it, so every pair is tested at most once.
+    """
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    slot = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1 if len(group) else np.zeros(0, np.int64)
+    queue = np.empty(len(group), np.int64)  # of each group, in its own places
+    head, tail = first.copy(), first.copy()
+    rest = np.arange(len(group))
+    out_a, out_b = [], []
+    while len(rest):
+        own = slot[rest]
+        lead = np.r_[True, own[1:] != own[:-1]]
+        live = own[lead]
+        idle = head[live] == tail[live]
+        start = rest[lead][idle]  # the first member that is left begins a new tree
+        queue[tail[live[idle]]] = start
+        tail[live[idle]] += 1
+        stay = np.ones(len(rest), bool)
+        stay[np.flatnonzero(lead)[idle]] = False
+        rest = rest[stay]
+        if not len(rest):
+            break
+        source = np.empty(len(first), np.int64)
+        source[live] = queue[head[live]]
+        head[live] += 1
+        own = slot[rest]
+        ok = joined(source[own], rest)
+        new, by = rest[ok], own[ok]
+        if len(new):
+            out_a.append(source[by])
+            out_b.append(new)
+            edge = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+            n = np.diff(np.r_[edge, len(by)])
+            queue[ranges(tail[by[edge]], n)] = new
+            tail[by[edge]] += n
+            rest = rest[~ok]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+
+
+def _sketched(na, nb, ia, ib, sa, sb, per: int) -> np.ndarray:
+    """Length, positional and sketch filter on pairs that share the shingles at places ia and ib."""
     least = need(na, nb, per)
     ok = 100 * np.minimum(na, nb) >= per * np.maximum(na, nb)
     ok &= np.minimum(ia, ib) + np.minimum(na - ia, nb - ib) >= least
-    ok[ok] &= np.bitwise_count(sa[ok] ^ sb[ok]).sum(axis=1).astype(np.int64) <= (na + nb - 2 * least)[ok]
+    some = np.flatnonzero(ok)
+    ok[some] = np.bitwise_count(sa[some] ^ sb[some]).sum(axis=1).astype(np.int64) <= (na + nb - 2 * least)[some]
     return ok
 
 
-_PAIRS = pa.schema([("g", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, g: int | None) -> pa.Table:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.table({"g": pa.array([g] * len(both), pa.int32()), "a": both[:, 0], "b": both[:, 1]}).cast(_PAIRS)
-
-
-def _pivot_pairs(docs: pa.Table, pivots: pa.Table, per: int) -> pa.Table:
-    if not docs.num_rows or not pivots.num_rows:
-        return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    p = Postings(docs)
-    c = _unpacked(pivots.set_column(pivots.column_names.index("comp"), "comp", pa.array([b""] * pivots.num_rows, pa.binary())))
-    order = np.argsort(c["key"], kind="stable")
-    key = c["key"][order]
-    lo, hi = np.searchsorted(key, p.key), np.searchsorted(key, p.key, "right")
-    n = hi - lo
-    mine = np.repeat(np.arange(len(p.key)), n)
-    take = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-    r = p.row[mine]
-    differ = p.ids[r] != c["doc"][take]
-    mine, take, r = mine[differ], take[differ], r[differ]
-    ok = _passes(p.n[r], c["n"][take].astype(np.int64), p.pos[mine], c["pos"][take].astype(np.int64), p.sketch[r], c["sketch"][take], per)
-    return _pairs(p.ids[r[ok]], c["doc"][take[ok]], 0)
-
-
-def _comp_of(extra: pa.Table, ids: np.ndarray) -> np.ndarray:
-    flat = _data(extra, 1).view(np.int64).reshape(-1, 2)
-    out = ids.copy()
-    if len(flat):
-        flat = flat[np.argsort(flat[:, 0])]
-        at = np.minimum(np.searchsorted(flat[:, 0], ids), len(flat) - 1)
-        has = flat[at, 0] == ids
-        out[has] = flat[at[has], 1]
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    differ = a != b
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[differ], axis=0) if differ.any() else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+def _candidates(table: pa.Table, per: int) -> pa.Table:
+    """A spanning forest of the candidates under each shingle of a bucket."""
+    c = {f: np.concatenate([np.frombuffer(b, k) for b in table.column(f).to_pylist()]) for f, k in _FIELDS.items()}
+    sketch = c["sketch"].reshape(-1, SKETCH)
+    order = np.lexsort((c["doc"], -c["fame"], c["cell"], c["key"]))  # the most typical first: its search reaches most
+    key, cell, side, doc, n, pos = (c[f][order] for f in ("key", "cell", "side", "doc", "n", "pos"))
+    n, pos, sketch = n.astype(np.int64), pos.astype(np.int64), sketch[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
+    group = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    mixed = np.maximum.reduceat(side, at)[group] > 0  # two blocks meet here: pairs of one block meet elsewhere
+
+    def joined(a, b):
+        ok = ~mixed[a] | (side[a] != side[b])
+        some = np.flatnonzero(ok)
+        x, y = a[some], b[some]
+        ok[some] = (doc[x] == doc[y]) | _sketched(n[x], n[y], pos[x], pos[y], sketch[x], sketch[y], per)
+        return ok
+
+    a, b = forest(group, joined)
+    out = _edges(doc[a], doc[b])
+    give_back()
     return out
 
 
-def _slice_comps(docs: pa.Table, extra: pa.Table, buckets: int) -> pa.Table:
-    """For each shared shingle of a slice: its components and how many of the slice's documents are in each (as n)."""
-    if not docs.num_rows or not extra.num_rows:
-        return pa.Table.from_pylist([], _PACKED)
-    p = Postings(docs)
-    mine, _ = p.only(np.sort(_data(extra)))
-    key, comp = p.key[mine], _comp_of(extra, p.ids)[p.row[mine]]
-    order = np.lexsort((comp, key))
-    key, comp = key[order], comp[order]
-    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]) if len(key) else np.zeros(0, np.int64)
-    cols = {"key": key[cut], "comp": comp[cut], "n": np.diff(np.r_[cut, len(key)])}
-    number = docs.column("slice")[0].as_py()
-    return pa.Table.from_pylist([{"bucket": b, "slice": number, **_packed(cols, o)} for b, o in split_by((cols["key"] % np.uint64(buckets)).astype(np.int64))], _PACKED)
-
-
-def _open_keys(table: pa.Table, hot: int) -> pa.Table:
-    """Shingles with two components or more, with their largest component and number of salts, for each slice that has them."""
-    keys = [np.frombuffer(b, np.uint64) for b in table.column("key").to_pylist()]
-    key = np.concatenate(keys)
-    comp = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("comp").to_pylist()])
-    n = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("n").to_pylist()]).astype(np.int64)
-    order = np.lexsort((comp, key))
-    key, comp, n = key[order], comp[order], n[order]
-    cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])])
-    key, comp, n = key[cut], comp[cut], np.add.reduceat(n, cut)
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    several = np.diff(np.r_[first, len(key)]) > 1
-    order = np.lexsort((-n, key))
-    most = comp[order][first]  # the largest component stands first in each key
-    salts = -(-np.add.reduceat(n, first) // hot)
-    have, most, salts = key[first][several], most[several], salts[several]
-    out = []
-    for s, k in zip(table.column("slice").to_pylist(), keys, strict=True):
-        k = np.unique(k)
-        at = np.minimum(np.searchsorted(have, k), max(0, len(have) - 1))
-        mine = at[have[at] == k] if len(have) else at[:0]
-        if len(mine):
-            out.append({"slice": s, "data": np.stack([have[mine], most[mine].view(np.uint64), salts[mine].astype(np.uint64)], axis=1).tobytes()})
-    return pa.Table.from_pylist(out, _SHARED)
-
-
-def _open_postings(docs: pa.Table, extra: pa.Table, buckets: int) -> pa.Table:
-    """Postings of a slice under open shingles, by bucket and salt."""
-    if not docs.num_rows or not extra.num_rows:
-        return pa.Table.from_pylist([], _PACKED)
-    p = Postings(docs)
-    opened = _data(extra).reshape(-1, 3)
-    opened = opened[np.argsort(opened[:, 0], kind="stable")]
-    mine, at = p.only(opened[:, 0])
-    doc = p.ids[p.row[mine]]
-    comp = _comp_of(extra, p.ids)[p.row[mine]]
-    salts = opened[at, 2].astype(np.int64)
-    major = comp == opened[at, 1].view(np.int64)
-    n = np.where(major, 1, salts)
-    take = np.repeat(np.arange(len(mine)), n)
-    salt = np.where(major[take], (mix(doc.view(np.uint64), 0xD6E8FEB86659FD93) % np.maximum(1, salts).astype(np.uint64)).astype(np.int64)[take], np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n))
-    row = p.row[mine][take]
-    cols = {"key": p.key[mine][take], "doc": doc[take], "comp": comp[take], "n": p.n[row], "pos": p.pos[mine][take], "sketch": p.sketch[row]}
-    bucket = (cols["key"] % np.uint64(buckets)).astype(np.int64)
-    number = docs.column("slice")[0].as_py()
-    top = int(salt.max(initial=0)) + 1
-    return pa.Table.from_pylist([{"bucket": b // top, "salt": b % top, "slice": number, **_packed(cols, o)} for b, o in split_by(bucket * top + salt)], _PACKED)
-
-
-def _open_pairs(table: pa.Table, per: int) -> pa.Table:
-    """Pairs in different components that share a shingle and pass the filters."""
-    c = _unpacked(table)
-    order = np.argsort(c["key"], kind="stable")
-    key, doc, comp, n, pos, sketch = (c[f][order] for f in ("key", "doc", "comp", "n", "pos", "sketch"))
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-    size = np.diff(cut)
-    found_a, found_b = [], []
-
-    def test(i, j):
-        differ = comp[i] != comp[j]
-        i, j = i[differ], j[differ]
-        ok = _passes(n[i], n[j], pos[i], pos[j], sketch[i], sketch[j], per)
-        if ok.any():
-            pair = np.unique(np.stack([np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])], axis=1), axis=0)
-            found_a.append(pair[:, 0])
-            found_b.append(pair[:, 1])
-
-    small = np.repeat(size <= 64, size)
-    for k in range(1, min(64, int(size.max(initial=1)))):
-        i = np.flatnonzero(small[:-k] & (key[k:] == key[:-k]))
-        if len(i):
-            test(i, i + k)
-    for s, m in zip(cut[:-1][size > 64], size[size > 64], strict=True):
-        step = max(1, 200_000 // int(m))
-        for a in range(0, int(m), step):  # a block of rows against all later ones
-            i = np.repeat(np.arange(a, min(a + step, m)), m)
-            j = np.tile(np.arange(m), len(i) // m)
-            later = j > i
-            test(s + i[later], s + j[later])
-    a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-    b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-    return _pairs(a, b, 0)
-
-
-def _verified(pairs: pa.Table, texts: pa.Table, width: int, per: int) -> pa.Table:
-    """The pairs whose whole sets reach the threshold."""
-    if not pairs.num_rows or not texts.num_rows:
-        return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    sets: dict[int, np.ndarray] = {}
-    for ids, batch in _batches(texts.column("text").combine_chunks(), texts.column("doc_id").combine_chunks()):
-        sets.update(zip(ids.to_pylist(), shingle_sets(batch, width), strict=True))
-    a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-    keep = []
-    for x, y in zip(a, b, strict=True):
-        s, t = sets[x], sets[y]
-        both = np.concatenate([s, t])
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
-        keep.append(100 * same >= per * (len(s) + len(t) - same) and same > 0)
-    mask = np.array(keep, bool)
-    return _pairs(np.array(a, np.int64)[mask], np.array(b, np.int64)[mask], 0)
+def _verified(table: pa.Table, width: int, per: int) -> pa.Table:
+    """A spanning forest of the links inside each family cell. Rows: family, cell, side, doc_id, text."""
+    family, cell = (table.column(f).to_numpy() for f in ("family", "cell"))
+    side, doc = table.column("side").to_numpy(), table.column("doc_id").to_numpy()
+    place = pa.array(np.arange(len(doc)))
+    sets: list[np.ndarray] = []
+    for _, batch in _batches(table.column("text").combine_chunks(), place):
+        sets += shingle_sets(batch, width)
+    n = np.array([len(s) for s in sets], np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((cell, family))
+    new = np.r_[True, (family[order][1:] != family[order][:-1]) | (cell[order][1:] != cell[order][:-1])]
+    group = np.empty(len(doc), np.int64)
+    group[order] = np.cumsum(new) - 1
+    # shingles of a group by number, and how many of its rows have each
+    by = np.lexsort((flat, group[row]))
+    fresh = np.r_[True, (flat[by][1:] != flat[by][:-1]) | (group[row[by]][1:] != group[row[by]][:-1])] if len(flat) else np.zeros(0, bool)
+    number = np.empty(len(flat), np.int64)
+    number[by] = np.cumsum(fresh) - 1
+    have = np.bincount(number, minlength=1)
+    begin = np.cumsum(n) - n
+    fame = np.add.reduceat(np.r_[have[number], 0], np.minimum(begin, len(number))) * (n > 0) / np.maximum(1, n)
+    part = np.bincount(row * SPLITS + (flat >> np.uint64(64 - SPLITS.bit_length() + 1)).astype(np.int64), minlength=len(doc) * SPLITS).reshape(-1, SPLITS).astype(np.int32)
+    order = np.lexsort((doc, -fame, group))  # members by group, the most typical first
+    mixed = np.zeros(len(doc), bool)
+    mixed[group[side > 0]] = True
+    marked = np.zeros(len(have), bool)
+
+    def joined(a, b):
+        a, b = order[a], order[b]
+        ok = (~mixed[group[a]] | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= per * np.maximum(n[a], n[b]))
+        some = np.flatnonzero(ok & (doc[a] != doc[b]))
+        apart = n[a] + n[b] - 2 * need(n[a], n[b], per)
+        for k in range(0, len(some), 4096):  # suffix filter
+            i = some[k : k + 4096]
+            ok[i] = np.abs(part[a[i]] - part[b[i]]).sum(axis=1) <= apart[i]
+        some = some[ok[some]]
+        source = np.unique(a[some])
+        on = number[ranges(begin[source], n[source])]
+        marked[on] = True
+        for k in range(0, len(some), 1024):
+            i = some[k : k + 1024]
+            m = n[b[i]]
+            both = np.add.reduceat(marked[number[ranges(begin[b[i]], m)]], np.cumsum(m) - m, dtype=np.int64) if len(i) else m
+            ok[i] = 100 * both >= per * (n[a[i]] + m - both)
+        marked[on] = False
+        return ok | (doc[a] == doc[b])
+
+    a, b = forest(group[order], joined)
+    out = _edges(doc[order[a]], doc[order[b]])
+    del sets, flat, number, part
+    give_back()
+    return out
 
 
 class Join:
@@ -378,16 +379,37 @@ class Join:
         self.docs, self.width, self.per, self.hot = docs, width, per, hot
         self.scratch: list[str] = []
 
-    def links(self, pairs: DataFrame, slices: int) -> DataFrame:
-        """Verify distinct pairs (a, b); groups follow the second document, so a hot first one is sent once to each.
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        return materialize(df, label, self.scratch)
+
+    def _done(self, since: int = 0) -> None:
+        """Remove the scratch tables written since that number; nothing reads them any more."""
+        gone, self.scratch[since:] = self.scratch[since:], []
+        discard(self.docs.sparkSession, gone)
 
-        The texts are always shuffled, so that disk and time grow in step with the input, whatever the broadcast limit.
-        """
+    def links(self, reps: DataFrame, candidates: DataFrame) -> DataFrame:
+        """A spanning forest of the links in the families that candidates (a, b) form."""
         width, per = self.width, self.per
-        pairs = pairs.select(F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int").alias("g"), "a", "b")
-        wanted = pairs.select("g", F.col("a").alias("doc_id")).union(pairs.select("g", F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(wanted.hint("merge"), "doc_id").select(F.col("g").alias("group"), "doc_id", "text")
-        return pairs.groupBy("g").cogroup(texts.groupBy("group")).applyInArrow(lambda p, t: _verified(p, t, width, per), "g int, a long, b long").select("a", "b")
+        mark = len(self.scratch)
+        families = components(candidates, self.scratch).withColumnRenamed("component", "family")
+        sized = reps.groupBy("doc_id").agg(F.sum(F.lit(8) * F.col("n")).alias("size"))  # one row for each id, but for ids with several texts
+        members = self._keep(sized.join(families.withColumnRenamed("id", "doc_id"), "doc_id"), "members")
+        sizes = members.groupBy("family").agg(F.sum("size").alias("bytes"))
+        total = sizes.agg(F.sum("bytes")).first()[0] or 0
+        parts = int(total // CELL_BYTES) + 1
+        blocks = sizes.select("family", F.ceil(F.col("bytes") / (2 * CELL_BYTES)).alias("blocks"))  # a family that fits into a cell has one block
+        placed = members.join(blocks, "family")
+        block = F.pmod(F.xxhash64("doc_id"), "blocks")
+        placed = placed.select("doc_id", "family", block.alias("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        cell = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+        placed = placed.select("doc_id", "family", cell.alias("cell"), (F.col("block") > F.col("other")).cast("byte").alias("side"))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("family", "cell"), F.lit(parts)).cast("int"))
+        texts = self.docs.join(placed, "doc_id")
+        found = self._keep(texts.groupBy("part").applyInArrow(lambda t: _verified(t, width, per), "a long, b long"), "links")
+        kept = self.scratch.pop()
+        self._done(mark)
+        self.scratch.append(kept)
+        return found
 
     def run(self) -> DataFrame:
         """Rows (doc_id, n_shingles, class_id, component_id)."""
@@ -395,61 +417,46 @@ class Join:
         spark = self.docs.sparkSession
         total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(22, max(12, int(total // 1536).bit_length()))
-        first = materialize(_pass_one(self.docs, width, bits), "sets", self.scratch)
+        first = self._keep(_pass_one(self.docs, width, bits), "sets")
+        table = spark.sparkContext.broadcast(_rarity(first, bits))
         sets = first.filter("part IS NULL").select("doc_id", "n", "s1", "s2")
-        # At most PARTS rows and 2^22 counters: a bound that does not depend on the documents.
-        freq = np.zeros((PARTS, (1 << bits) // PARTS), np.int32)
-        for r in first.filter("part IS NOT NULL").groupBy("part").applyInArrow(_added, "part int, counts binary").collect():
-            freq[r.part] = np.frombuffer(r.counts, np.int32)
-        table = spark.sparkContext.broadcast(freq.reshape(-1))
         classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-        classes = materialize(classes, "classes", self.scratch)
+        classes = self._keep(classes, "classes")
+        mark = len(self.scratch)
         count = classes.count()
-        slices, buckets = count // SLICE_ROWS + 1, count // (2 * SLICE_ROWS) + 8
-        slice_of = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)).cast("int")
+        slices, buckets = max(count // SLICE_ROWS, int(total // SLICE_BYTES)) + 1, count // (2 * SLICE_ROWS) + 8
         prefixes = _pass_two(self.docs, width, per, bits, table).filter("n > 0")
         reps = prefixes.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        reps = materialize(reps.select(slice_of("doc_id").alias("slice"), "doc_id", "n", "prefix", "sketch"), "reps", self.scratch)
-        keys = reps.groupBy("slice").applyInArrow(lambda t: _slice_keys(t, buckets), "bucket int, slice int, data binary")
-        shared = keys.groupBy("bucket").applyInArrow(shared_anchors, "slice int, data binary")
-        shared = materialize(shared.select("slice", F.lit(0).alias("kind"), "data"), "shared", self.scratch)
-        by = lambda df: df.groupBy("slice")
-        pivots = by(reps).cogroup(by(shared)).applyInArrow(lambda a, b: _first_pivots(a, b, buckets), _PACKED_DDL)
-        pivots = pivots.groupBy("bucket").applyInArrow(_last_pivots, _PACKED_DDL)
-        pairs = by(reps).cogroup(by(pivots)).applyInArrow(lambda a, b: _pivot_pairs(a, b, per), "g int, a long, b long")
-        pairs = materialize(pairs.select("a", "b").distinct(), "pairs", self.scratch)
-        links = materialize(self.links(pairs, slices), "links", self.scratch)
-        comps = components(links, self.scratch)
-        known = comps.select(slice_of("id").alias("slice"), F.lit(1).alias("kind"), F.struct("id", "component").alias("c"))
-        known = known.groupBy("slice", "kind").applyInArrow(_pack_comps, "slice int, kind int, data binary")
-        known = materialize(known, "known", self.scratch)
-        open_ = by(reps).cogroup(by(shared.unionByName(known))).applyInArrow(lambda a, b: _slice_comps(a, b, buckets), _PACKED_DDL)
-        open_ = open_.groupBy("bucket").applyInArrow(lambda t: _open_keys(t, hot), "slice int, data binary").select("slice", F.lit(0).alias("kind"), "data")
-        postings = by(reps).cogroup(by(open_.unionByName(known))).applyInArrow(lambda a, b: _open_postings(a, b, buckets), _PACKED_DDL)
-        more = postings.groupBy("bucket", "salt").applyInArrow(lambda t: _open_pairs(t, per), "g int, a long, b long")
-        more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", self.scratch)
-        later = materialize(self.links(more, slices), "links", self.scratch)
-        stars = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        comps = components(stars.unionByName(later), self.scratch)
-        of = classes.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-        rows = sets.join(of, ["n", "s1", "s2"], "left")
-        own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
-
-
-def _pack_comps(table: pa.Table) -> pa.Table:
-    c = table.column("c").combine_chunks()
-    data = np.stack([c.field("id").to_numpy(), c.field("component").to_numpy()], axis=1).astype(np.int64).tobytes()
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "kind": pa.array([1], pa.int32()), "data": pa.array([data], pa.binary())})
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, per: int = 85, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+        reps = self._keep(reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "n", "fame", "prefix", "sketch"), "reps")
+        keys = reps.groupBy("slice").applyInArrow(lambda t: _slice_keys(t, buckets), "bucket int, slice int, key binary, n binary")
+        shared = keys.groupBy("bucket").applyInArrow(_shared_keys, "slice int, key binary, n binary")
+        cells = reps.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(lambda a, b: _cells(a, b, buckets, hot), _PACKED_DDL)
+        candidates = self._keep(cells.groupBy("bucket").applyInArrow(lambda t: _candidates(t, per), "a long, b long").distinct(), "candidates")
+        links = self.links(reps, candidates)
+        # Rows with their class; an empty set is a class of its own id. Ids with several classes join them.
+        rows = sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
+        rows = self._keep(rows.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))), "rows")
+        several = rows.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).filter("least <> most")
+        same = rows.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        comps = self._keep(components(links.unionByName(same), self.scratch), "components")
+        kept = self.scratch[-1]
+        out = rows.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+        mine = next(p for p in self.scratch if "/rows-" in p)
+        self.scratch[mark:] = [p for p in self.scratch[mark:] if p not in (kept, mine)]
+        self._done()
+        self.scratch += [kept, mine]
+        table.unpersist()
+        return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one per row of docs; `per` is the similarity in hundredths."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return Join(rows, width, per, hot).run()
 
 
-def keep_one(docs: DataFrame, width: int = 4, per: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, per: int = 80) -> DataFrame:
     """The document with the least id of each component, with all columns; documents without an id stay."""
     groups = near_duplicates(docs, width, per)
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()

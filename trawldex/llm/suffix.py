@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawldex.llm.arrays import BASE, CHUNK, INVERSE, mix, power, split_by
+from trawldex.llm.arrays import mix, split_by
 
 SLICE_BYTES = 4 << 20
+CHUNK = 1 << 22
 PIECE = 16  # bytes of an anchor
 PART_BYTES = 3 << 20  # bytes of segments in one suffix array
 LEAST_ID = -(2**63)
@@ -81,18 +82,24 @@ def segments(x: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def names(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit name of x[first:first + size] for each first, the same wherever the bytes stand."""
+    """A 64-bit name of x[first:first + size] for each first, the same wherever the bytes stand.
+
+    The bytes are folded eight at a time, each block mixed with its number, so that no simple rule makes names equal."""
     out = np.empty(len(first), np.uint64)
-    for c in range(0, len(x), CHUNK):
-        a, b = np.searchsorted(first, [c, c + CHUNK])
-        if a == b:
-            continue
-        part = x[c : int(min(len(x), c + CHUNK + 512))]
-        table = mix(np.arange(1, 257, dtype=np.uint64), 0xE7037ED1A0B428DB)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * power(BASE, len(part)), out=total[1:])
-        at = first[a:b] - c
-        out[a:b] = mix((total[at + size[a:b]] - total[at]) * power(INVERSE, len(part))[at] + size[a:b].astype(np.uint64), 0x8EBC6AF09C88C6E3)
+    at = 0
+    while at < len(first):  # a bounded number of bytes at a time
+        until = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), CHUNK // 2, "right")) + at)
+        f, n = first[at:until], size[at:until]
+        blocks = (n + 7) // 8
+        base = int(f.min())
+        word = _words(x[base : int((f + n).max())])
+        number = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        value = word[np.repeat(f - base, blocks) + 8 * number]
+        left = np.minimum(8, np.repeat(n, blocks) - 8 * number).astype(np.uint64)
+        value &= ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - left))  # little endian: later bytes are the high ones
+        value = mix(mix(value, 0xE7037ED1A0B428DB) + number.astype(np.uint64), 0x9FB21C651E98DF25)
+        out[at:until] = mix(np.add.reduceat(value, np.cumsum(blocks) - blocks) + n.astype(np.uint64), 0x8EBC6AF09C88C6E3)
+        at = until
     return out
 
 
