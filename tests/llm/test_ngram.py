@@ -149,3 +149,21 @@ def test_forest_tests_each_pair_once():
     for x in range(12):
         for y in range(x):
             assert group[x] != group[y] or (x + y) % 3 or up[x] == up[y]
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 40, 500, 511, 512, 530, 1000, 1100, 4000, 4500, 9000):
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        sets += [base, np.unique(np.r_[base[: n - n // 20], rng.integers(0, 2**64, n // 15, dtype=np.uint64)])]
+    n = np.array([len(s) for s in sets])
+    k = ngram_join.Sketches(n, np.frombuffer(b"".join(map(ngram_join.sketch, sets)), np.uint8))
+    i, j = np.triu_indices(len(sets), 1)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    bound = k.apart(i, j)
+    assert (bound <= real).all()
+    far = (real > 0.9 * (n[i] + n[j])) & (n[i] > 600) & (100 * np.minimum(n[i], n[j]) >= 85 * np.maximum(n[i], n[j]))
+    assert far.any() and (bound[far] > (n[i] + n[j] - 2 * ngram_join.need(n[i], n[j], 85))[far]).all()

@@ -5,7 +5,8 @@ Texts are lower-cased (A-Z) and cut at white space; a document's set is its dist
 1. One pass over the texts names every set (size and 128-bit sum) and counts shingles in a table of fixed size.
    Rows with equal sets form a class; its least id stands for it from here on.
 2. A second pass orders each set rare-first (by the table, then by hash) and keeps its prefix: two sets that reach the
-   threshold share a shingle of both prefixes. A 256-bit parity sketch of the set bounds the symmetric difference from below.
+   threshold share a shingle of both prefixes. A sketch of the set bounds the symmetric difference from below: parities of
+   256 parts of a small set, sizes of n / 16 parts or more of a large one (parities say nothing where each part has many shingles).
 3. Prefix shingles that two representatives or more have are found and counted by hash bucket; all others can link nothing.
 4. The documents of a shared shingle meet in a cell; those of a hot shingle are dealt to blocks, and every two blocks meet in one
    cell, so that each pair meets once. A cell searches the graph of its candidates (pairs that pass the length, positional
@@ -43,8 +44,8 @@ HOT = 4096  # documents of one shingle in a block
 CELL_BYTES = 2 << 20  # of shingle sets in a block of a family
 FAN = 64
 PARTS = 64
-SKETCH = 4  # 64-bit words
-SPLITS = 64  # parts of a sorted set in the suffix filter
+SMALL = 512  # shingles from which on a sketch holds sizes, not parities
+SPLITS = 256  # parts of a sorted set in the suffix filter
 
 
 def _batches(docs: pa.Array, ids: pa.Array):
@@ -63,6 +64,58 @@ def need(a, b, per: int):
     return -(-per * (a + b) // (100 + per))
 
 
+def sketch_bytes(n: np.ndarray) -> np.ndarray:
+    """Length of the sketch of sets of n shingles: 32 for parities, else the power of two from n / 16 on."""
+    return np.where(n < SMALL, 32, 1 << np.ceil(np.log2(np.maximum(n, SMALL) / 16)).astype(np.int64))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The sketch of a set; sizes are kept modulo 256."""
+    if len(s) < SMALL:
+        odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+    m = int(sketch_bytes(np.array([len(s)]))[0])
+    return (np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """Sketches of sets of n shingles, laid end to end in data."""
+
+    def __init__(self, n: np.ndarray, data: np.ndarray):
+        self.size, self.small = sketch_bytes(n), n < SMALL
+        at = np.cumsum(self.size) - self.size
+        self.place = np.zeros(len(n), np.int64)  # row in the matrix of its own size
+        self.half = np.full(len(n), -1, np.int64)  # and of half its size, into which it is folded
+        self.odd = data[ranges(at[self.small], self.size[self.small])].view(np.uint64).reshape(-1, 4)
+        self.place[self.small] = np.arange(len(self.odd))
+        self.sizes: dict[int, np.ndarray] = {}
+        large = [int(m) for m in np.unique(self.size[~self.small])]
+        for m in sorted({k for m in large for k in (m, m // 2)}):
+            own, twice = (np.flatnonzero(~self.small & (self.size == k)) for k in (m, 2 * m))
+            whole = data[ranges(at[own], self.size[own])].reshape(-1, m)
+            both = data[ranges(at[twice], self.size[twice])].reshape(-1, 2 * m)
+            self.place[own] = np.arange(len(own))
+            self.half[twice] = len(own) + np.arange(len(twice))
+            self.sizes[m] = np.concatenate([whole, both[:, :m] + both[:, m:]])
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one of the sets only."""
+        out = np.zeros(len(a), np.int64)
+        odd = np.flatnonzero(self.small[a] & self.small[b])
+        out[odd] = np.bitwise_count(self.odd[self.place[a[odd]]] ^ self.odd[self.place[b[odd]]]).sum(axis=1)
+        large = np.flatnonzero(~self.small[a] & ~self.small[b])
+        least = np.minimum(self.size[a[large]], self.size[b[large]])
+        for m in np.unique(least):
+            mine = large[least == m]
+            row = lambda x: np.where(self.size[x] == m, self.place[x], np.where(self.size[x] == 2 * m, self.half[x], -1))  # noqa: B023, E731
+            for k in range(0, len(mine), max(1, (1 << 21) // int(m))):
+                i = mine[k : k + max(1, (1 << 21) // int(m))]
+                x, y = row(a[i]), row(b[i])
+                d = (self.sizes[int(m)][x] - self.sizes[int(m)][y]).view(np.int8).astype(np.int16)
+                out[i] = np.where((x < 0) | (y < 0), 0, np.abs(d).sum(axis=1))  # sizes further apart than twice tell nothing
+        return out
+
+
 def _pass_one(docs: DataFrame, width: int, bits: int) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
@@ -124,7 +177,7 @@ def _pass_two(docs: DataFrame, width: int, per: int, bits: int, table) -> DataFr
         freq = table.value
         for batch in batches:
             for ids, texts in _batches(batch.column("text"), batch.column("doc_id")):
-                prefix, sketch, n, fame = [], [], [], []
+                prefix, sketches, n, fame = [], [], [], []
                 for s in shingle_sets(texts, width):
                     n.append(len(s))
                     keep = len(s) - (per * len(s) + 99) // 100 + 1 if len(s) else 0
@@ -136,9 +189,8 @@ def _pass_two(docs: DataFrame, width: int, per: int, bits: int, table) -> DataFr
                     else:
                         s_, f_ = s, f
                     prefix.append(s_[np.lexsort((s_, f_))[:keep]].tobytes())
-                    odd = np.bincount((s & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
-                    sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fame, pa.float32()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], schema=kind)
+                    sketches.append(sketch(s))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fame, pa.float32()), pa.array(prefix, pa.binary()), pa.array(sketches, pa.binary())], schema=kind)
         give_back()
 
     return docs.mapInArrow(run, "doc_id long, n int, fame float, prefix binary, sketch binary")
@@ -158,7 +210,7 @@ class Postings:
         self.key = key[order]
         self.pos = ranges(np.zeros(len(long), np.int64), long)[order]
         self.row = np.repeat(np.arange(len(long)), long)[order]
-        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+        self.sketch = table.column("sketch").to_pylist()
 
 
 _KEYS = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
@@ -194,7 +246,10 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _SHARED)
 
 
-_FIELDS = {"key": np.uint64, "cell": np.int64, "side": np.int8, "doc": np.int64, "n": np.int32, "pos": np.int32, "fame": np.float32, "sketch": np.uint64}
+#: A bucket gets each row of a slice once, and the postings refer to it by number (who).
+_POSTING = {"key": np.uint64, "cell": np.int64, "side": np.int8, "pos": np.int32, "who": np.int32}
+_ROW = {"doc": np.int64, "n": np.int32, "fame": np.float32}
+_FIELDS = {**_POSTING, **_ROW, "sketch": np.uint8}
 _PACKED = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), *[(f, pa.binary()) for f in _FIELDS]])
 _PACKED_DDL = "bucket int, slice int, " + ", ".join(f"{f} binary" for f in _FIELDS)
 
@@ -224,13 +279,15 @@ def _cells(docs: pa.Table, extra: pa.Table, buckets: int, hot: int) -> pa.Table:
     blocks = -(-number[at[mine]] // hot)
     block = (mix(p.ids[p.row[mine]].view(np.uint64), 0xD6E8FEB86659FD93) % blocks.astype(np.uint64)).astype(np.int64)
     take, cell, side = blocks_of(block, blocks)
-    place = mine[take]
-    row = p.row[place]
-    cols = {"key": p.key[place], "cell": cell, "side": side, "doc": p.ids[row], "n": p.n[row], "pos": p.pos[place], "fame": p.fame[row], "sketch": p.sketch[row]}
-    bucket = (mix(cols["key"] + mix(cell.astype(np.uint64), 0x9E3779B97F4A7C15), 0xA0761D6478BD642F) % np.uint64(buckets)).astype(np.int64)
-    own = docs.column("slice")[0].as_py()
-    rows = [{"bucket": b, "slice": own, **{f: np.ascontiguousarray(cols[f][o].astype(k)).tobytes() for f, k in _FIELDS.items()}} for b, o in split_by(bucket)]
-    return pa.Table.from_pylist(rows, _PACKED)
+    key, pos, row = p.key[mine][take], p.pos[mine][take], p.row[mine][take]
+    bucket = (mix(key + mix(cell.astype(np.uint64), 0x9E3779B97F4A7C15), 0xA0761D6478BD642F) % np.uint64(buckets)).astype(np.int64)
+    slice_, out = docs.column("slice")[0].as_py(), []
+    for number, o in split_by(bucket):
+        own, who = np.unique(row[o], return_inverse=True)
+        cols = {"key": key[o], "cell": cell[o], "side": side[o], "pos": pos[o], "who": who, "doc": p.ids[own], "n": p.n[own], "fame": p.fame[own]}
+        packed = {f: np.ascontiguousarray(cols[f].astype(k)).tobytes() for f, k in {**_POSTING, **_ROW}.items()}
+        out.append({"bucket": number, "slice": slice_, **packed, "sketch": b"".join(p.sketch[r] for r in own)})
+    return pa.Table.from_pylist(out, _PACKED)
 
 
 def forest(group: np.ndarray, joined) -> tuple[np.ndarray, np.ndarray]:
@@ -276,16 +333,6 @@ def forest(group: np.ndarray, joined) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def _sketched(na, nb, ia, ib, sa, sb, per: int) -> np.ndarray:
-    """Length, positional and sketch filter on pairs that share the shingles at places ia and ib."""
-    least = need(na, nb, per)
-    ok = 100 * np.minimum(na, nb) >= per * np.maximum(na, nb)
-    ok &= np.minimum(ia, ib) + np.minimum(na - ia, nb - ib) >= least
-    some = np.flatnonzero(ok)
-    ok[some] = np.bitwise_count(sa[some] ^ sb[some]).sum(axis=1).astype(np.int64) <= (na + nb - 2 * least)[some]
-    return ok
-
-
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
     differ = a != b
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[differ], axis=0) if differ.any() else np.zeros((0, 2), np.int64)
@@ -294,22 +341,28 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 def _candidates(table: pa.Table, per: int) -> pa.Table:
     """A spanning forest of the candidates under each shingle of a bucket."""
-    c = {f: np.concatenate([np.frombuffer(b, k) for b in table.column(f).to_pylist()]) for f, k in _FIELDS.items()}
-    sketch = c["sketch"].reshape(-1, SKETCH)
-    order = np.lexsort((c["doc"], -c["fame"], c["cell"], c["key"]))  # the most typical first: its search reaches most
-    key, cell, side, doc, n, pos = (c[f][order] for f in ("key", "cell", "side", "doc", "n", "pos"))
-    n, pos, sketch = n.astype(np.int64), pos.astype(np.int64), sketch[order]
+    c = {f: [np.frombuffer(b, k) for b in table.column(f).to_pylist()] for f, k in _FIELDS.items()}
+    rows = np.array([len(x) for x in c["doc"]])
+    who = np.concatenate([x + at for x, at in zip(c["who"], np.cumsum(rows) - rows, strict=True)])
+    c = {f: np.concatenate(x) for f, x in c.items()}
+    ids, size = c["doc"], c["n"].astype(np.int64)
+    sketches = Sketches(size, c["sketch"])
+    order = np.lexsort((ids[who], -c["fame"][who], c["cell"], c["key"]))  # the most typical first: its search reaches most
+    key, cell, side, pos, who = (x[order] for x in (c["key"], c["cell"], c["side"], c["pos"].astype(np.int64), who))
     new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
     group = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    mixed = np.maximum.reduceat(side, at)[group] > 0  # two blocks meet here: pairs of one block meet elsewhere
+    mixed = np.maximum.reduceat(side, np.flatnonzero(new))[group] > 0  # two blocks meet here: pairs of one block meet elsewhere
+    doc, n = ids[who], size[who]
 
     def joined(a, b):
-        ok = ~mixed[a] | (side[a] != side[b])
+        """The pair shares the shingle at the places pos: length, positional and sketch filter."""
+        least = need(n[a], n[b], per)
+        ok = 100 * np.minimum(n[a], n[b]) >= per * np.maximum(n[a], n[b])
+        ok &= np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+        ok &= ~mixed[a] | (side[a] != side[b])
         some = np.flatnonzero(ok)
-        x, y = a[some], b[some]
-        ok[some] = (doc[x] == doc[y]) | _sketched(n[x], n[y], pos[x], pos[y], sketch[x], sketch[y], per)
-        return ok
+        ok[some] = sketches.apart(who[a[some]], who[b[some]]) <= (n[a] + n[b] - 2 * least)[some]
+        return ok | (doc[a] == doc[b])
 
     a, b = forest(group, joined)
     out = _edges(doc[a], doc[b])
@@ -424,7 +477,7 @@ class Join:
         classes = self._keep(classes, "classes")
         mark = len(self.scratch)
         count = classes.count()
-        slices, buckets = max(count // SLICE_ROWS, int(total // SLICE_BYTES)) + 1, count // (2 * SLICE_ROWS) + 8
+        slices, buckets = max(count // SLICE_ROWS, int(total // SLICE_BYTES)) + 1, max(count // (2 * SLICE_ROWS), int(total // SLICE_BYTES)) + 8
         prefixes = _pass_two(self.docs, width, per, bits, table).filter("n > 0")
         reps = prefixes.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         reps = self._keep(reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "n", "fame", "prefix", "sketch"), "reps")
