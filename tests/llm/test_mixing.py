@@ -78,3 +78,61 @@ def test_sample_is_of_labels_with_a_document(spark):
     model = mixing.train(d, spark.createDataFrame(labels + absent, "doc_id long, quality int, toxic int"), sample=len(labels))
     alone = mixing.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert np.array_equal(model.weights, alone.weights) and alone.weights.any()
+
+
+def test_query_against_exact_solver(spark, sf):
+    """Rates of the query are where a projected gradient step leads back to itself, on whole texts."""
+    from trawldex.llm.common import table
+
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    rows = q_mixing.op6_mix_weights(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    model = mixing.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    p, words = model.of([(docs[r.doc_id] or "").encode() for r in rows])
+    assert [r.tokens for r in rows] == words.tolist()
+    assert np.allclose(p, [[r.p_good, r.p_poor, r.p_toxic] for r in rows], atol=1e-6)
+    rate, share, total = np.array([r.rate for r in rows]), np.array(list(q_mixing.WEIGHTS.values())), words.sum()
+    has = words @ p
+    target = np.minimum(share * has[0] / share[0], 4 * has)
+    start = target.sum() / total
+    x = np.full(len(rate), start)
+    y, t = x, 1.0
+    for _ in range(60_000):  # accelerated projected gradient, one row a document
+        residual = ((words * y) @ p - target) / total
+        new = np.clip(y - (p @ residual + 1e-4 * (y - start)) / 1.1, 0, 4)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        if (new - x) @ (y - new) > 0:
+            t = 1.0
+        y, x = new + (before - 1) / t * (new - x), new
+    assert np.abs(x - rate).max() < 1e-3
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+
+
+def test_held_out_recall_on_labels(spark):
+    """On the labelled documents: better than the share of the greatest class, and each class is recognised better than by chance."""
+    from trawldex.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    model = mixing.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    n = {d: c for d, (c, _) in model.report.items()}
+    right = sum(c * r for c, r in model.report.values()) / sum(n.values())
+    assert right > n["good"] / sum(n.values()) + 0.05, model.report
+    assert model.report["poor"][1] > 0.5 and model.report["toxic"][1] > 0.3, model.report
+
+
+def test_ties_repeats_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BATCH_BYTES", 500)
+    docs, labels = _labelled(60)
+    docs += [(7, docs[7][1])] * 3 + [(500, "solid " * 5000), (None, docs[7][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = mixing.mix(d, spark.createDataFrame(labels + [(0, 0, 1)], "doc_id long, quality int, toxic int"), q_mixing.WEIGHTS).collect()
+    assert len(rows) == len(docs) and len({(r.rate, r.copies) for r in rows if r[0].doc_id == 7}) == 1
+    assert [r.tokens for r in rows if r[0].doc_id == 500] == [5000]
+
+
+def test_scarce_domain_gets_what_it_has(spark):
+    docs, labels = _labelled()
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = mixing.plan(d, lab, {"good": 0.2, "poor": 0.7, "toxic": 0.1}, max_rate=1.0)
+    assert m.targets["poor"] < 0.7 * m.targets["good"] / 0.2 and all(0 <= r.rate <= 1 for r in m.rows.collect())
+    assert abs(m.achieved["toxic"] / m.targets["toxic"] - 1) < 0.1, (m.targets, m.achieved)

@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark, sf):
         elif symbols == 0 and repeat < 0.2 * n and 2 * n <= chars <= 40 * n and len(set((t or "").split("\n"))) == len((t or "").split("\n")):
             assert i in kept
     two = materialize(stage["near_duplicates"](spark, one, sf), "t")
-    groups = near_brute([(i, texts[i]) for i in kept])
+    groups = near_brute([(i, texts[i]) for i in kept], 80, 5)
     assert {r.doc_id for r in two.collect()} == {c for _, c in groups.values()}
     three = materialize(stage["decontaminate"](spark, two, sf), "t")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

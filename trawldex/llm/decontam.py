@@ -12,7 +12,7 @@ The benchmark is the stated query set. Its size is measured first; it is sent to
 
 Defined results: a null or empty text has no words and is never contaminated; an item without words has no
 window; an item of fewer than `window` words is one window; repeated document rows are judged one by one and repeated
-items count once; items with a null id are searched like others and count as one item, null (last in `items`), and `remove` leaves them out; empty tables give no hits; other columns are carried, whatever their names. A text longer than a
+items count once; items with a null id are searched like others and count as one item, null (last in `items`); empty tables give no hits; other columns are carried, whatever their names. A text longer than a
 shard is cut into overlapping pieces, so memory is bounded by the shard and not by the text (beyond the row itself).
 """
 
@@ -293,5 +293,5 @@ def contaminated(r: str = "__r") -> Column:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    kept = scan(docs, benchmark.filter("item_id IS NOT NULL"), window, text).filter(~contaminated())
+    kept = scan(docs, benchmark, window, text).filter(~contaminated())
     return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

@@ -117,3 +117,96 @@ class Softmax:
 
             self.temperature = min((float(t) for t in np.geomspace(0.05, 4, 40)), key=loss)
         return self
+
+
+#: Bytes of signs: neither word, nor white space, nor part of a character beyond ASCII.
+_SIGN = ~PLAIN
+_SIGN[[*range(0x09, 0x0E), 0x20]] = False
+
+
+class Bag:
+    """Multinomial logistic regression on the words and runs of signs of a text, weighted by rarity (tf-idf, unit length).
+
+    Fitted without class weights, so that posteriors follow the classes' shares; the temperature is set on a fifth of the texts
+    that the weights have not seen, and `report` holds how many of each class these are and the share that is recognised.
+    """
+
+    def __init__(self, bits: int, classes: list[str]):
+        self.bits, self.classes = bits, classes
+        self.weights = np.zeros((1 << bits, len(classes)), np.float32)
+        self.bias = np.zeros(len(classes), np.float32)
+        self.rarity = np.ones(1 << bits, np.float32)
+        self.temperature = 1.0
+        self.report: dict[str, tuple[int, float]] = {}
+
+    def features(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, times) for every distinct feature, by text, and the number of words of each text."""
+        x = np.frombuffer(b"".join(texts), np.uint8)
+        starts = np.cumsum([0] + [len(t) for t in texts])
+        shift, parts = np.uint64(64 - self.bits), []
+        for letters, key in ((PLAIN, 0xD6E8FEB86659FD93), (_SIGN, 0x9FB21C651E98DF25)):
+            w, at = word_hashes(x, starts, letters)
+            n = np.diff(at)
+            parts.append(np.repeat(np.arange(len(n)), n) << self.bits | (mix(w, key) >> shift).astype(np.int64))
+            if letters is PLAIN:
+                words = n
+        both, times = np.unique(np.concatenate(parts), return_counts=True)
+        return both >> self.bits, both & ((1 << self.bits) - 1), times, words
+
+    def values(self, owner: np.ndarray, feature: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        v = self.rarity[feature] * (1 + np.log(times))
+        size = np.sqrt(np.bincount(owner, v * v, minlength=n))
+        return v / np.maximum(size, 1e-9)[owner]
+
+    def scores(self, owner: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        return self.bias + np.stack([np.bincount(owner, value * self.weights[feature, k], minlength=n) for k in range(len(self.classes))], axis=1)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors and numbers of words of texts."""
+        owner, feature, times, words = self.features(texts)
+        z = self.scores(owner, feature, self.values(owner, feature, times, len(texts)), len(texts)) / self.temperature
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True), words
+
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 100, rate: float = 5.0, ridge: float = 1e-5, held_out: int = 5) -> Bag:
+        """rows: (features, times) of each text. Of all steps, the weights with the least loss on the held-out texts stay."""
+        n = len(rows)
+        owner = np.repeat(np.arange(n), [len(f) for f, _ in rows])
+        feature, times = (np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (0, 1))
+        aside = np.arange(n) % held_out == held_out - 1
+        seen = np.bincount(feature[~aside[owner]], minlength=1 << self.bits)
+        self.rarity = np.log(((~aside).sum() + 1) / (seen + 1)).astype(np.float32)
+        value = self.values(owner, feature, times, n)
+        use = np.flatnonzero(~aside[owner])
+        use = use[np.argsort(feature[use], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, feature[use][1:] != feature[use][:-1]]) if len(use) else use
+        mine = feature[use][cut]
+        y = np.eye(len(self.classes))[labels]
+        grown, grown_bias = np.full((len(mine), y.shape[1]), 1e-8), np.full(y.shape[1], 1e-8)
+        best = (np.inf, self.weights[mine], self.bias.copy())
+        for _ in range(epochs if len(mine) else 0):
+            z = self.scores(owner, feature, value, n)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            lost = -np.log(np.maximum(p[aside, labels[aside]], 1e-300)).mean() if aside.any() else 0.0
+            if lost <= best[0]:
+                best = (lost, self.weights[mine], self.bias.copy())
+            error = (p - y) * (~aside)[:, None] / (~aside).sum()
+            g = np.add.reduceat(value[use, None] * error[owner[use]], cut, axis=0) + ridge * self.weights[mine]
+            grown += g * g
+            self.weights[mine] -= (rate * g / np.sqrt(grown)).astype(np.float32)
+            b = error.sum(axis=0)
+            grown_bias += b * b
+            self.bias -= (rate * b / np.sqrt(grown_bias)).astype(np.float32)
+        self.weights[mine], self.bias = best[1:]
+        if aside.any():
+            z, right = self.scores(owner, feature, value, n)[aside], labels[aside]
+
+            def loss(t: float) -> float:
+                s = z / t - (z / t).max(axis=1, keepdims=True)
+                return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), right]).mean())
+
+            self.temperature = min((float(t) for t in np.geomspace(0.25, 8, 50)), key=loss)
+            named = z.argmax(axis=1)
+            self.report = {c: (int((right == k).sum()), float((named[right == k] == k).mean()) if (right == k).any() else 0.0) for k, c in enumerate(self.classes)}
+        return self

@@ -8,59 +8,92 @@ these few numbers are sought: Newton steps with a line search find the residuals
 pass over the documents is one sum that is combined before its shuffle. What is left of the projected gradient must be below
 `tolerance` of each domain's target; otherwise `solve` raises.
 
-The classifier is fitted on at most `sample` of the labelled rows whose documents are given (those with the least hash of their id);
-everything else covers all documents.
+Texts are scored once; the scores are written beside what is carried, and rates are an expression of the scores. A domain that has less
+than its share of the wanted total even at max_rate gets all it has as target. Posteriors are soft, so targets can still contradict
+each other; `Mix.achieved` has what the rates give beside `Mix.targets`.
 
-Defined results: a null or empty text has no tokens, the prior as posterior and takes part with no weight; a null label counts as 0; labels
-of unknown documents are ignored; without labelled rows the posterior is uniform; repeated rows are rated alike; an empty table gives an empty result; other
-columns are carried, whatever their names.
+The classifier is fitted on at most `sample` of the labelled rows whose documents are given (those with the least hash of their id), of
+which the driver gets the hashed words and signs only, 2^16 numbers a document at most; everything else covers all documents.
+
+Defined results: a null or empty text has no tokens, the prior as posterior and takes part with no weight; a null label counts as 0, and of
+several labels of an id the worst counts; labels of unknown documents are ignored; of the rows of one labelled id the classifier sees one;
+without labelled rows the posterior is uniform; repeated rows are rated alike; an empty table gives an empty result; other columns are
+carried, whatever their names. A text is scored whole, in batches of about a MB: memory is bounded by the longest text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawldex.llm.arrays import give_back
 from trawldex.llm.common import materialize
-from trawldex.llm.linear import Softmax
+from trawldex.llm.linear import Bag
 
 DOMAINS = ["good", "poor", "toxic"]
 SAMPLE = 4000
 BITS = 16
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+
+
+def _batches(texts: pa.Array):
+    """(first, texts) in batches of bounded size."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right")))
+        yield at, [t or b"" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Softmax:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Bag:
     """Domains from the labels: toxic rows are `toxic`, others `good` or `poor` by quality."""
     kind = F.when(F.coalesce("toxic", F.lit(0)) > 0, 2).when(F.coalesce("quality", F.lit(0)) > 0, 0).otherwise(1).alias("kind")
     chosen = labels.filter("doc_id IS NOT NULL").select("doc_id", kind).groupBy("doc_id").agg(F.max("kind").alias("kind"))
     chosen = chosen.join(docs.select("doc_id").filter("doc_id IS NOT NULL"), "doc_id", "left_semi")  # only labels that have a text here
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of the training sample
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).collect()
+    model = Bag(BITS, DOMAINS)
+
+    def run(batches):
+        for batch in batches:
+            for at, texts in _batches(batch.column("text")):
+                owner, feature, times, _ = model.features(texts)
+                cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+                pack = lambda x, kind, cut=cut: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in ("doc_id", "kind")] + [pack(feature, np.uint16), pack(times, np.uint32)], names=["doc_id", "kind", "feature", "times"])
+
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    counted = texts.select("doc_id", "kind", "text").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, kind int, feature binary, times binary")
+    rows = counted.groupBy("doc_id").agg(F.min(F.struct("feature", "times", "kind")).alias("r")).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: r.doc_id)
-    model = Softmax(BITS, 1, DOMAINS)
     if rows:
-        model.fit([(r.text or "").encode() for r in rows], np.array([r.kind for r in rows]))
+        model.fit([(np.frombuffer(r.feature, np.uint16), np.frombuffer(r.times, np.uint32)) for r in rows], np.array([r.kind for r in rows]))
     return model
 
 
-def posteriors(packed: DataFrame, model: Softmax) -> DataFrame:
-    """Column __doc (struct with `text`) plus tokens (words) and posterior."""
+def posteriors(packed: DataFrame, model: Bag, carry: list[str] | None = None) -> DataFrame:
+    """Column __doc (struct with `text`; of its fields those in `carry`, by default all) plus tokens (words) and posterior."""
     sent = packed.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([packed.schema["__doc"], T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    whole = packed.schema["__doc"].dataType
+    names = carry or [f.name for f in whole.fields]
+    kept = T.StructType([f for f in whole.fields if f.name in names]) if carry else whole
+    schema = T.StructType([T.StructField("__doc", kept), T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         m = sent.value
         for batch in batches:
             docs = batch.column("__doc")
-            texts = docs.field("text").cast(pa.binary())
-            for at in range(0, len(texts), 512):
-                part = [t or b"" for t in texts.slice(at, 512).to_pylist()]
-                p, n = zip(*[m.of(part[a : a + 64]) for a in range(0, len(part), 64)], strict=True)
-                yield pa.RecordBatch.from_arrays([docs.slice(at, 512), pa.array(np.concatenate(n).astype(np.int64)), pa.array(list(np.concatenate(p)), pa.list_(pa.float64()))], names=["__doc", "tokens", "posterior"])
+            out = pa.StructArray.from_arrays([docs.field(n) for n in names], names=names) if carry else docs
+            for at, texts in _batches(docs.field("text").cast(pa.binary())):
+                p, n = m.of(texts)
+                yield pa.RecordBatch.from_arrays([out.slice(at, len(texts)), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["__doc", "tokens", "posterior"])
+        give_back()
 
     return packed.mapInArrow(run, schema)
 
@@ -144,32 +177,50 @@ def solve(rows: DataFrame, targets: np.ndarray, max_rate: float, ridge: float =
     raise RuntimeError(f"mixing rates did not settle: {worst(now, u):.1e} of a domain's target is left")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE) -> DataFrame:
-    """Rows (__doc: struct of all columns, tokens, posterior, rate, copies).
+@dataclass
+class Mix:
+    """Rated rows (__doc: struct of the carried columns, tokens, posterior, rate, copies), and how the totals of the domains came out."""
+
+    rows: DataFrame
+    model: Bag
+    targets: dict[str, float]
+    achieved: dict[str, float]
+
+
+def _rate(solver: Solver) -> Column:
+    """The rate of a document as an expression of its posterior."""
+    free = F.lit(float(solver.start))
+    for i, u in enumerate(solver.settled / solver.ridge if solver.settled is not None else ()):
+        free = free - F.col("posterior")[i] * F.lit(float(u))
+    return F.least(F.lit(float(solver.max_rate)), F.greatest(F.lit(0.0), free))
+
+
+def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE, carry: list[str] | None = None) -> Mix:
+    """weights: wanted share of each domain; tokens: wanted total, by default as many as let the first domain keep all it has.
 
-    weights: wanted share of each domain; tokens: wanted total, by default as many as let the first domain keep all it has.
     copies realises the rate: its whole part, and one more with the remainder as probability, decided by the id's hash.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     model = train(docs, labels, sample)
-    rated = posteriors(packed, model)
-    narrow = materialize(rated.select("tokens", "posterior"), "posteriors")
+    rated = materialize(posteriors(packed, model, carry), "scored")
+    has = rated.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first()
     share = np.array([weights[d] for d in DOMAINS], float)
     share = share / share.sum()
     if tokens is None:
-        tokens = (narrow.agg(F.sum(F.col("tokens") * F.col("posterior")[0])).first()[0] or 0.0) / share[0]
-    solver = solve(narrow, share * tokens, max_rate)
-    sent = docs.sparkSession.sparkContext.broadcast(solver)
-
-    @F.pandas_udf("double")
-    def rate_of(p):
-        import pandas as pd
+        tokens = has[0] / share[0]
+    targets = np.minimum(share * tokens, max_rate * np.array(has, float))
+    solver = solve(rated.select("tokens", "posterior"), targets, max_rate)
+    rated = rated.withColumn("rate", _rate(solver))
+    given = rated.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first()
+    luck = (F.pmod(F.xxhash64(F.col("__doc.doc_id"), F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)) if "doc_id" in docs.columns else F.lit(0.5)
+    rated = rated.withColumn("copies", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    named = lambda x: dict(zip(DOMAINS, map(float, x), strict=True))
+    return Mix(rated, model, named(targets), named(given))
 
-        return pd.Series(sent.value.rates(np.stack(p.to_numpy()))[0]) if len(p) else pd.Series([], dtype=float)
 
-    rated = rated.withColumn("rate", rate_of("posterior"))
-    luck = (F.pmod(F.xxhash64(F.col("__doc.doc_id"), F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)) if "doc_id" in docs.columns else F.lit(0.5)
-    return rated.withColumn("copies", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
+    """The rated rows of `plan`."""
+    return plan(docs, labels, weights, tokens, max_rate, sample, carry).rows
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from trawldex.llm import mixing
 from trawldex.llm.common import table
 
-WEIGHTS = {"good": 0.88, "poor": 0.09, "toxic": 0.03}
+WEIGHTS = {"good": 0.84, "poor": 0.11, "toxic": 0.05}
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS)
+    rows = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, carry=["doc_id"])
     parts = [F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
     return rows.select(F.col("__doc.doc_id").alias("doc_id"), "tokens", *parts, F.round("rate", 6).alias("rate"), "copies")
