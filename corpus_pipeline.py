@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import decontam, mixing, ngram_join, q_decontam, q_mixing, q_ngram, q_sharding, quality
+from trawldex.llm import decontam, mixing, ngram_join, q_decontam, q_mixing, q_sharding, quality
 from trawldex.llm.common import materialize, table
 
 
@@ -17,7 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs, q_ngram.WIDTH, q_ngram.PER)
+    """Word shingles of five and a similarity of 0.8 or more; the least id of each group stays."""
+    return ngram_join.keep_one(docs, 5, 80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
