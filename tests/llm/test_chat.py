@@ -61,3 +61,21 @@ def test_hard_conversation(spark, sf):
     r = q_chat.op1_chat_format(spark, sf).filter("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"
     assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.n_turns == 2 and r.loss_chars == len(said)
+
+
+def test_history_of_a_session(spark):
+    rows = [(1, t, ["user", "assistant", "tool", None][t % 4], [None, "", "é", "of some length"][t % 3]) for t in range(24)] + [(1, 5, "assistant", "again"), (1, None, "assistant", "ab")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.turns_to_history(turns)
+    ops = {r.op: r["count"] for r in log.groupBy("op").count().collect()}
+    assert set(ops) == {"start", "delta", "edit", "regenerate", "delete"} and log.selectExpr("max(seq) > 256").first()[0]
+    key = lambda r: (r.turn is not None, r.turn or 0, r.role, r.text)
+    folded = sorted(map(key, chat.fold(log.orderBy(F.rand(3))).collect()))
+    assert folded == sorted(map(key, chat.fold(chat.turns_to_events(turns)).collect()))
+
+
+def test_very_long_text(spark):
+    long = "</s>[INST] \\ ok " * 40_000
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.parse(chat.render(chat.fold(chat.turns_to_history(turns)))).first()
+    assert [t.text for t in r.turns] == ["q", long] and list(r.masked) == [long]

@@ -40,3 +40,18 @@ def test_edges(spark):
     rows = q_sharding.shard_documents(docs).collect()
     assert sorted(r.size for r in rows) == [8, 8, 8, 9] and {r.shard for r in rows if r.doc_id is None} == {jump(0, 24)}
     assert q_sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_repeats(spark):
+    rows = spark.range(50).selectExpr("7L AS doc_id", "'a' AS shard", "2 AS slot", "3 AS shard_", "id AS __cell", "id AS n")
+    out = sharding.assign(rows, "doc_id", 4, 5, ["doc_id"], 3, "n")
+    assert out.columns == ["doc_id", "shard__", "slot_", "shard_", "__cell", "shard", "grown_shard", "slot"]
+    got = out.collect()
+    assert sorted(r.slot for r in got) == list(range(50)) and {(r.shard__, r.slot_, r.shard_) for r in got} == {("a", 2, 3)}
+
+
+def test_ties_and_long_texts(spark):
+    docs = spark.createDataFrame([(3, "same")] * 40 + [(4, "é" * 300_000)], "doc_id long, text string")
+    rows = q_sharding.shard_documents(docs).collect()
+    assert sorted(r.slot for r in rows if r.doc_id == 3) == list(range(40)) or jump(3, 24) == jump(4, 24)
+    assert [r.size for r in rows if r.doc_id == 4] == [600_008]

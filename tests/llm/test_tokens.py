@@ -62,3 +62,29 @@ def test_counts_keep_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a few words", "x")], "doc_id long, text string, n string")
     rows = tokens.count_tokens(docs, q_tokens.VOCABULARY, q_tokens.PATTERN).collect()
     assert [(r.doc_id, r.n, r.tokens) for r in sorted(rows)] == [(1, "x", 0), (2, "x", 0), (3, "x", 3)]
+
+
+def test_batch_names(spark, tmp_path):
+    book = tokens.Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v", 10, None)], COLUMNS)
+    names = ["2026/11/26", "a batch=b", "%2F", "..", "", "née", "x:y*?"]
+    for n, name in enumerate(names, 1):
+        assert book.commit(name, rows) and not book.commit(name, rows)
+        assert _rows(book.rollup()) == {("a", "en", "v"): (n, 10 * n)}
+    assert book.committed() == set(names)
+    book.compact()
+    assert not any(book.commit(name, rows) for name in names) and book.committed() == set(names)
+
+
+def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
+    book, late = (tokens.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    monkeypatch.setattr(late, "_counts", lambda batch: False)  # it looked before the other had ended
+    make = lambda n: spark.createDataFrame([("insert", "a", "en", "v", n, None)], COLUMNS)
+    assert book.commit("1", make(10)) and not late.commit("1", make(99))
+    assert _rows(book.rollup()) == {("a", "en", "v"): (1, 10)}
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "some words " * 60_000)], "doc_id long, text string")
+    enc = tokens.encoder(q_tokens.VOCABULARY, q_tokens.PATTERN)
+    assert tokens.count_tokens(docs, q_tokens.VOCABULARY, q_tokens.PATTERN).first().tokens == len(enc.encode_ordinary("some words " * 60_000))

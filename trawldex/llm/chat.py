@@ -13,8 +13,8 @@ character, so control strings never occur inside them and `parse` gets back the
 
 Defined results: null text and null role count as empty; a null conv_id is a conversation of its own; null turns
 and sequences sort first; events with the same sequence are ordered by op, role and text; an empty log gives no
-rows; a message without `start` begins empty; other columns are ignored. A formatted conversation is one value, so
-it is bounded by Spark's 2 GB limit on a value.
+rows; a message without `start` begins empty; other columns are ignored, whatever their names. A text may be of any length, but a
+formatted conversation is one value, so it is bounded by Spark's 2 GB limit on a value.
 """
 
 from __future__ import annotations
@@ -118,10 +118,32 @@ def parse(formatted: DataFrame) -> DataFrame:
     return lines.select("conv_id", "formatted", F.transform("__lines", parse_turn).alias("turns"), masked.alias("masked"))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) with `part`: rows that share a turn are separate messages, in the order of role and text."""
+    same = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    return turns.select("conv_id", "turn", (F.row_number().over(same) - 1).alias("part"), "role", "text")
+
+
 def turns_to_events(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: one `start` event per row.
+    """A table of finished turns as a log: one `start` event per row."""
+    return numbered(turns).select("conv_id", "turn", "part", F.lit(0).cast("long").alias("seq"), F.lit("start").alias("op"), "role", "text")
 
-    Rows that share a turn are separate messages, in the order of their role and text.
+
+def turns_to_history(turns: DataFrame) -> DataFrame:
+    """A table of finished turns as the log of a session that ends with them.
+
+    An assistant's message is streamed in the wrong order, regenerated and streamed again; any other message starts as a draft and is
+    edited, its second half following as a delta. Every third turn also has a message that is deleted in the end.
+    Sequence numbers are far apart, so that a message's events lie in several blocks.
     """
-    same = W.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return turns.select("conv_id", "turn", (F.row_number().over(same) - 1).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("start").alias("op"), "role", "text")
+    half = F.expr("CAST(char_length(text) DIV 2 AS INT)")
+    a, b = F.substr(F.col("text"), F.lit(1), half), F.substr(F.col("text"), half + 1)
+    step = EVENTS_PER_BLOCK // 2
+    event = lambda k, op, text, role=None, part=0: F.struct(F.lit(part).alias("more"), F.lit(k * step).cast("long").alias("seq"), F.lit(op).alias("op"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.cast("string").alias("text"))
+    role, none = F.col("role"), F.lit(None)
+    streamed = F.array(event(0, "start", none, role), event(1, "delta", b), event(2, "delta", a), event(3, "regenerate", none, role), event(4, "delta", a), event(5, "delta", b))
+    edited = F.array(event(0, "start", F.concat(F.lit("draft "), F.coalesce(b, F.lit(""))), role), event(3, "edit", a), event(4, "delta", b))
+    dropped = F.array(event(0, "start", F.lit("never mind"), F.lit("user"), 1), event(2, "delete", none, None, 1))
+    events = F.concat(F.when(role == "assistant", streamed).otherwise(edited), F.when(F.pmod("turn", F.lit(3)) == 0, dropped).otherwise(F.filter(dropped, lambda x: F.lit(False))))
+    rows = numbered(turns).select("conv_id", "turn", "part", F.explode(events).alias("e"))
+    return rows.select("conv_id", "turn", (F.col("part") * 2 + F.col("e.more")).alias("part"), "e.seq", "e.op", "e.role", "e.text")

@@ -18,16 +18,19 @@ shard is cut into overlapping pieces, so memory is bounded by the shard and not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawldex.llm.arrays import give_back, ranges
 from trawldex.llm.common import materialize
 
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -59,29 +62,28 @@ class Queries:
                 self.vocab.setdefault(w, len(self.vocab) + 1)
         self.bits = max(1, (len(self.vocab) + 1).bit_length())
         self.k = max(1, 63 // self.bits)
-        ids, starts, ends, need, owner = [], [], [], [], []
-        for i, ws in tokens:
-            at = len(ids)
-            ids += [self.vocab[w] for w in ws]
-            own = min(window, len(ws))
-            for s in range(len(ws) - own + 1):
-                starts.append(at + s)
-                ends.append(at + len(ws))
-                need.append(own)
-                owner.append((i, s))
-        self.longest = max((len(w) for _, w in tokens), default=1)
-        self.ids = np.array(ids, np.int64)
-        self.start, self.end, self.need = (np.array(x, np.int64) for x in (starts, ends, need))
-        self.owner = owner
+        none = np.zeros(0, np.int64)
+        self.ids = np.concatenate([none, *(np.fromiter(map(self.vocab.__getitem__, ws), np.int64, len(ws)) for _, ws in tokens)])
+        size = np.array([len(ws) for _, ws in tokens], np.int64)
+        own = np.minimum(size, window)
+        n, begin = size - own + 1, np.cumsum(size) - size
+        self.of, self.items = np.repeat(np.arange(len(tokens)), n), [i for i, _ in tokens]
+        self.word = ranges(np.zeros(len(n), np.int64), n) if len(n) else none
+        self.start, self.end, self.need = begin[self.of] + self.word, (begin + size)[self.of], own[self.of]
+        self.longest = int(size.max(initial=1))
         # Bounds of each query's first words as packed numbers.
         n = np.minimum(self.k, self.need)
-        key = np.zeros(len(starts), np.int64)
+        key = np.zeros(len(self.start), np.int64)
         for j in range(self.k):
             has = j < n
-            key = (key << self.bits) | np.where(has, self.ids[np.minimum(self.start + j, max(0, len(ids) - 1))] if len(ids) else 0, 0)
+            key = (key << self.bits) | np.where(has, self.ids[np.minimum(self.start + j, max(0, len(self.ids) - 1))] if len(self.ids) else 0, 0)
         self.low, self.depth = key, n
         self.high = key | ((np.int64(1) << (self.bits * (self.k - n))) - 1)
 
+    def owner(self, i: int) -> tuple[int | None, int]:
+        """Item and first word of a query."""
+        return self.items[self.of[i]], int(self.word[i])
+
 
 def suffix_array(ids: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """Positions of suffixes that begin with a known word, in order of their first q.longest words, and the packed first words.
@@ -216,14 +218,14 @@ def judge(texts: list[bytes | None], q: Queries, limit: int = SHARD_BYTES) -> li
             at = int(pos[j] - starts[piece[j]]) + offset
             out[d]["ranges"].append((at, at + int(length[j]), int(who[j])))
         for i, where in windows:
-            item = q.owner[i][0]
+            item = q.owner(i)[0]
             for p in np.unique(np.searchsorted(starts, where, "right") - 1):
                 out[pieces[p][0]]["items"].add(item)
     for r in out:
         ranges = r.pop("ranges")
         r["longest"] = max((b - a for a, b, _ in ranges), default=0)
         r["items"] = sorted(r["items"], key=_null_last)
-        _joined(r, [(a, b, *q.owner[i]) for a, b, i in ranges])
+        _joined(r, [(a, b, *q.owner(i)) for a, b, i in ranges])
     return out
 
 
@@ -245,15 +247,14 @@ def merged(a: dict, b: dict) -> dict:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int | None, str | None]]]:
-    """Items in blocks of bounded size; more than one block only if the benchmark's measured size asks for it."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Items in blocks of bounded size, one at a time; more than one block only if the benchmark's measured size asks for it."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [[(r.item_id, r.text) for r in items.collect()]]
     dealt = items.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r.item_id, r.text) for r in dealt.filter(F.col("__b") == b).collect()] for b in range(n)]
+    for b in range(n):
+        yield [(r.item_id, r.text) for r in dealt.filter(F.col("__b") == b).distinct().collect()]
 
 
 def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window: int, text: str) -> DataFrame:
@@ -272,6 +273,8 @@ def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window:
                 if earlier:
                     rows = [merged(a, b) for a, b in zip(batch.column("__r").slice(at, 1024).to_pylist(), rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([docs.slice(at, 1024), pa.array(rows, kind)], names=["__doc", "__r"])
+        del q
+        give_back()
 
     return packed.mapInArrow(run, schema)
 
@@ -280,8 +283,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "t
     """Rows (__doc: struct of all columns, __r: RESULT): every document with its matches."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     blocks = _blocks(benchmark, block_bytes)
-    out = _pass(packed, blocks[0], window, text)
-    for block in blocks[1:]:
+    out = _pass(packed, next(blocks), window, text)
+    for block in blocks:
         out = _pass(materialize(out, "decontam"), block, window, text)
     return out
 

@@ -1,4 +1,5 @@
-"""op1: all conversations, and one that speaks the template's own control strings, formatted and read back."""
+"""op1: all conversations, and one that speaks the template's own control strings, as session logs with drafts, streams,
+regenerations and deletions that are folded, formatted and read back."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    done = chat.render(chat.fold(chat.turns_to_events(turns.unionByName(hard))))
+    done = chat.render(chat.fold(chat.turns_to_history(turns.unionByName(hard))))
     back = chat.parse(done)
     digest = lambda parts: F.sha2(F.array_join(parts, ""), 256)
     loss = F.array_join("masked", "")

@@ -7,7 +7,8 @@ cells are counted with map-side combining, and a row's slot is its cell's offset
 
 Defined results: a null key counts as 0; a null text counts as empty; repeated rows are separate rows
 with separate slots (which of two equal rows gets which slot cannot be told from the result); an empty
-table gives an empty result; other columns are carried, whatever their names.
+table gives an empty result; other columns are carried, and one that is called like a column of the result gets underscores behind its name;
+texts are read once for size and checksum, whatever their length.
 """
 
 from __future__ import annotations
@@ -49,20 +50,33 @@ def jump_hash(key: str, shards: int) -> Column:
     return F.expr(f"aggregate(array({first}), {start}, (z, f) -> CASE WHEN f.j >= {shards} THEN f ELSE {rest} END, z -> CAST(z.b AS INT))")
 
 
-def assign(rows: DataFrame, key: str, shards: int, grown: int | None = None, order: list[str] | None = None, blocks: int = 32) -> DataFrame:
+CELL_ROWS = 50_000
+
+
+def assign(rows: DataFrame, key: str, shards: int, grown: int | None = None, order: list[str] | None = None, blocks: int = 32, salt: str | None = None) -> DataFrame:
     """rows plus shard, slot and, if asked for, grown_shard (the shard among `grown`).
 
     Slots follow no meaning beyond being gapless; they are fixed by `order` (default: the key). `blocks` is the
-    number of cells a shard is numbered in: raise it so that a cell's narrow rows fit a task.
+    number of cells a shard is numbered in (`blocks_for` has one that fits the rows). Rows that agree in all of `order` share a cell
+    unless `salt`, a column that stays the same when the rows are read again, parts them.
     """
-    order = order or [key]
-    out = rows.withColumn("shard", jump_hash(key, shards))
-    if grown is not None:
-        out = out.withColumn("grown_shard", jump_hash(key, grown))
-    out = out.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    order = [*(order or [key]), *([salt] if salt else [])]
+    result = {"shard", "slot", *(["grown_shard"] if grown is not None else [])}
+    carried = {c: c for c in rows.columns if c != salt}
+    for c in result & set(carried):
+        while carried[c] in result or list(carried.values()).count(carried[c]) > 1 or carried[c] in set(rows.columns):
+            carried[c] += "_"
+    sort = [F.col(f"__row.`{c}`") for c in order]
+    out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), jump_hash(key, shards).alias("shard"), *([] if grown is None else [jump_hash(key, grown).alias("grown_shard")]))
+    out = out.withColumn("__cell", F.pmod(F.xxhash64(*sort), F.lit(blocks)).cast("int"))
     counts = out.groupBy("shard", "__cell").agg(F.count("*").alias("__n"))
     before = W.partitionBy("shard").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(W.partitionBy("shard", "__cell").orderBy(*order)) - 1
-    # At most shards * blocks rows: a bound known beforehand, whatever the input.
-    return out.withColumn("__place", place).join(F.broadcast(offsets), ["shard", "__cell"]).withColumn("slot", (F.col("__before") + F.col("__place")).cast("long")).drop("__cell", "__place", "__before")
+    place = F.row_number().over(W.partitionBy("shard", "__cell").orderBy(*sort)) - 1
+    out = out.withColumn("__place", place).join(offsets, ["shard", "__cell"]).withColumn("slot", (F.col("__before") + F.col("__place")).cast("long"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(n) for c, n in carried.items()], "shard", *([] if grown is None else ["grown_shard"]), "slot")
+
+
+def blocks_for(rows: int, shards: int) -> int:
+    """Cells a shard, so that a cell has about CELL_ROWS rows."""
+    return max(32, -(-rows // (shards * CELL_ROWS)))

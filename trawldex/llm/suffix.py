@@ -397,7 +397,7 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = int(total // slice_bytes) + 1
     buckets = slices // 4 + 8
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))  # by id and text, so that rows of one id spread
     by_slice = lambda df: df.groupBy("slice")
     ddl = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary"}
     of = lambda s: ", ".join(f"{f.name} {ddl.get(f.type, 'array<struct<start:bigint,end:bigint>>')}" for f in s)

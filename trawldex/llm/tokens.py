@@ -5,8 +5,9 @@ A batch is a table of changes (op, source, lang, version, tokens, old_tokens): `
 tokenizer version; the sums are combined before their shuffle, so one source may hold any part of the rows.
 
 `Ledger` keeps the sums of each batch as a table of its own. A commit is whole once its success marker stands: a batch that
-failed half-way is written again, and a batch that is committed twice counts once. `compact` folds committed batches into
-a base that names them, so they still count once if they come again.
+failed half-way is written again, and a batch that is committed twice counts once. A batch is written to a folder of its own and then
+renamed into place, so of two writers of one batch the first to end counts and the other changes nothing. `compact` folds committed
+batches into a base that names them, so they still count once if they come again. Any string may name a batch.
 
 Defined results: null texts count no tokens; null counts are 0; null sources and languages are groups of their own; rows
 with an unknown op are an error; groups whose documents and tokens are both 0 are left out; empty batches are recorded
@@ -16,9 +17,12 @@ and change nothing; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import lru_cache
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,10 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*GROUP).agg(F.sum(docs).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
 
 
+def _name(folder: str) -> str:
+    return unquote(folder.rsplit("/batch=", 1)[1])
+
+
 class Ledger:
     """Rollup sums by batch in a folder that driver and executors share."""
 
@@ -85,17 +93,39 @@ class Ledger:
 
     def committed(self) -> set[str]:
         """Names of the batches that count (one name per commit, not per row)."""
-        own = {f.rsplit("batch=", 1)[1] for f in self._folders("batches")}
+        own = {_name(f) for f in self._folders("batches")}
         base = self._base()
         return own | ({r.batch for r in self.spark.read.parquet(f"{base}").select("batch").filter("batch IS NOT NULL").collect()} if base else set())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it was committed before."""
-        if batch in self.committed():
+        if self._counts(batch):
+            return False
+        # quoting keeps separators out of the path; the file system bounds its length
+        final, attempt = f"{self.path}/batches/batch={quote(batch, safe='')}", f"{self.path}/attempts/{uuid.uuid4().hex}"
+        signed(changes).write.parquet(attempt)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (attempt, final))
+        fs = target.getFileSystem(conf)
+        if fs.exists(target) and not self._has(f"{final}/_SUCCESS"):
+            fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(source, target, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception):
+                raise
+            fs.delete(source, True)
             return False
-        signed(changes).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
         return True
 
+    def _counts(self, batch: str) -> bool:
+        base = self._base()
+        if self._has(f"{self.path}/batches/batch={quote(batch, safe='')}/_SUCCESS"):
+            return True
+        return base is not None and not self.spark.read.parquet(base).filter(F.col("batch") == batch).isEmpty()
+
     def _live(self) -> DataFrame | None:
         base = self._base()
         done = set()
@@ -104,7 +134,7 @@ class Ledger:
             rows = self.spark.read.parquet(base)
             done = {r.batch for r in rows.select("batch").filter("batch IS NOT NULL").collect()}
             parts.append(rows.filter("batch IS NULL").select(*GROUP, "docs", "tokens"))
-        folders = [f for f in self._folders("batches") if f.rsplit("batch=", 1)[1] not in done]
+        folders = [f for f in self._folders("batches") if _name(f) not in done]
         if folders:
             parts.append(self.spark.read.parquet(*folders).select(*GROUP, "docs", "tokens"))
         out = None

@@ -5,13 +5,14 @@ Records (record_id, url, ts, kind, status, headers: map<string,string>): `respon
 same canonical URL; its validator must agree with that response's; the headers that a not-modified answer may
 update are then merged over the response's.
 
-The as-of join works in blocks of time: within (url, block) a window looks back, and for revisits with no response in
-their block the last response of an earlier block is found among one row per (url, block). A URL with very many captures is
-dealt over its blocks; only narrow columns are shuffled, never bodies.
+The as-of join works in blocks: records are dealt by ranges of (url, time, id), so that a URL with very many captures is spread over
+blocks of about equal size, and written with the number of their block. Within (url, block) a window looks back, and for revisits
+with no response in their block the last response of an earlier block is found among one row per (url, block). Only narrow
+columns are shuffled, never bodies; records without a usable URL or time are split off before.
 
 Verdicts: `resolved`, `no_earlier_response`, `validator_mismatch` (the latest earlier response is another version; an older
 one is not taken instead), `no_validator` (the revisit names none). Equal times are ordered by record id, so a response counts as earlier
-than a revisit of the same time if its id is smaller. Defined results: a null url or time has no earlier response; null or empty headers
+than a revisit of the same time if its id is smaller. Defined results: a null or empty url, one without scheme and host, or a null time has no earlier response; null or empty headers
 have no validators; repeated rows are resolved alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -21,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from trawldex.llm.common import materialize
+
 #: Headers that a 304 answer may update (lower case).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-BLOCK_SECONDS = 86_400
 
 
 def canonical_url(url: Column) -> Column:
@@ -50,20 +52,28 @@ def _tag(h: Column) -> Column:
     return F.regexp_replace(F.trim(F.element_at(h, "etag")), "^W/", "")
 
 
-def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """One row per revisit: record_id, url, ts, response_id, response_ts, verdict, headers (merged if resolved)."""
+def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
+    """One row per revisit: record_id, url, ts, response_id, response_ts, verdict, headers (merged if resolved).
+
+    blocks: number of ranges, by default that of shuffle partitions.
+    """
+    blocks = blocks or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "kind", "status", lower_keys(F.coalesce("headers", F.expr("CAST(map() AS map<string,string>)"))).alias("headers"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    rows = rows.filter(full | (F.col("kind") == "revisit")).withColumn("__b", F.floor(F.col("ts") / block_seconds))
-    usable = F.col("url").isNotNull() & F.col("ts").isNotNull()
-    answer = F.when(full & usable, F.struct("ts", "record_id", "headers"))
-    look = W.partitionBy("url", "__b").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
-    near = rows.withColumn("near", F.last(answer, ignorenulls=True).over(look)).filter(F.col("kind") == "revisit")
-    latest = rows.filter(full & usable).groupBy("url", "__b").agg(F.max_by(F.struct("ts", "record_id", "headers"), F.struct("ts", "record_id")).alias("top"))
-    # one row per (url, block) that has responses or revisits
-    blocks = rows.filter(usable).select("url", "__b").distinct().join(latest, ["url", "__b"], "left")
-    earlier = blocks.select("url", "__b", F.last("top", ignorenulls=True).over(W.partitionBy("url").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("far"))
-    found = near.join(earlier.filter("far IS NOT NULL"), ["url", "__b"], "left").withColumn("hit", F.coalesce("near", "far"))
+    usable = F.coalesce(F.col("url").rlike("^[a-z][a-z0-9+.-]*://[^/?]") & F.col("ts").isNotNull(), F.lit(False))
+    alone = rows.filter(~usable & (F.col("kind") == "revisit"))
+    dealt = rows.filter(usable & (full | (F.col("kind") == "revisit"))).repartitionByRange(blocks, "url", "ts", "record_id")
+    # written, so that every reader sees the same blocks
+    rows = materialize(dealt.withColumn("block", F.spark_partition_id()), "captures")
+    answer = F.struct("ts", "record_id", "headers")
+    look = W.partitionBy("url", "block").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
+    near = rows.withColumn("near", F.last(F.when(full, answer), ignorenulls=True).over(look)).filter(F.col("kind") == "revisit")
+    latest = F.max_by(F.when(full, answer), F.when(full, F.struct("ts", "record_id")))
+    # one row per (url, block); a block is a range, so few urls have more than one
+    tops = rows.groupBy("url", "block").agg(latest.alias("top"))
+    earlier = tops.select("url", "block", F.last("top", ignorenulls=True).over(W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("far"))
+    found = near.join(earlier.filter("far IS NOT NULL"), ["url", "block"], "left").withColumn("hit", F.coalesce("near", "far"))
+    found = found.select("record_id", "url", "ts", "headers", "hit").unionByName(alone.select("record_id", "url", "ts", "headers", F.lit(None).cast(found.schema["hit"].dataType).alias("hit")))
     mine, theirs = F.col("headers"), F.col("hit.headers")
     agrees = (
         F.when(_tag(mine).isNotNull(), F.coalesce(_tag(mine) == _tag(theirs), F.lit(False)))
