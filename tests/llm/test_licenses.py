@@ -1,5 +1,21 @@
 from trawldex.llm import licenses, q_licenses
 
+#: Licences of no listed family, and prose with licence words; the classifier has seen none of them.
+UNLISTED = [
+    "This library is distributed under the Eclipse Public License 2.0.",
+    "Use of this software is governed by the Artistic License.",
+    "The contents of this file are subject to the Common Development and Distribution License.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This code is licensed under the zlib license.",
+    "The software is provided as is and the authors disclaim all warranties.",
+]
+PROSE = [
+    "The mayor gave the circus permission to use the old market place for a week.",
+    "Nobody knew who had reserved the table near the window.",
+    "His pilot licence had expired in the spring and he did not fly again.",
+    "The editor kept a copy of every letter that came in that year.",
+]
+
 
 def _scanner():
     return licenses.Scanner([f"plain words of paragraph {i} about nothing in particular" for i in range(300)])
@@ -22,8 +38,12 @@ def test_held_out_paragraphs():
 def test_clean_and_unknown():
     s = _scanner()
     assert s.scan([b"", b"\n \n", b"plain words about nothing in particular"]) == [(0, []), (0, []), (1, [])]
-    found = s.scan([b"Licensed under the Something Else License."])[0][1]
-    assert not found or found[0]["family"] in ("unknown", "apache", "mit", "gpl", "cc", "bsd")
+    assert [f["family"] for f in s.scan([b"Licensed under the Something Else License."])[0][1]] == ["unknown"]
+    for text in UNLISTED:
+        n, found = s.scan([text.encode()])[0]
+        assert n == 1 and {f["family"] for f in found} == {"unknown"}, (text, found)
+    for text in PROSE:
+        assert s.scan([text.encode()]) == [(1, [])], text
 
 
 def test_query_finds_planted_lines(spark, sf):
@@ -74,3 +94,41 @@ def test_training_sample_of_whole_distinct_paragraphs(spark, monkeypatch):
     assert len(set(seen[0])) == len(seen.pop()) == 2
     licenses.train(docs, sample_bytes=100)
     assert seen.pop() == ["another line", "the same line"]
+
+
+def test_recall_of_held_out_templates():
+    """A statement that the classifier has never seen, whole, is still seen as a licence."""
+    prose = [f"plain words of paragraph {i} about nothing in particular" for i in range(300)]
+    seen = total = 0
+    for fold in range(3):
+        k = -1
+        learned, held = {}, []
+        for family, statements in licenses.TEMPLATES.items():
+            learned[family] = []
+            for t in statements:
+                k += 1
+                (held if k % 3 == fold else learned[family]).append(t)
+        s = licenses.Scanner(prose, learned)
+        total += len(held)
+        seen += sum(bool(s.scan([t.encode()])[0][1]) for t in held)
+    assert seen >= 0.9 * total, (seen, total)
+
+
+def test_very_long_text_counts_every_paragraph():
+    s = _scanner()
+    text = ("plain words of a paragraph about nothing in particular\n" * 20_000 + "Released under the MIT License.\n").encode()
+    n, found = s.scan([text])[0]
+    assert n == 20_001 and [(f["paragraph"], f["family"]) for f in found] == [(20_000, "mit")]
+
+
+def test_query_against_brute_force(spark, sf):
+    """Counts of paragraphs, and licences one text at a time by the same scanner."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    s = licenses.train(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in q_licenses.op5_license_scan(spark, sf).collect():
+        lines = [x for x in texts[r.doc_id].split("\n") if licenses._words(x.encode())]
+        alone = [{f["family"] for f in s.scan([x.encode()])[0][1]} for x in lines]
+        assert r.n_paragraphs == len(lines)
+        assert (r.n_license, r.n_unknown) == (sum(map(bool, alone)), sum("unknown" in a for a in alone)), r
+        assert r.families == ",".join(sorted(set().union(*alone, set()) - {"unknown"}))
