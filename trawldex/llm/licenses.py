@@ -168,7 +168,7 @@ class Scanner:
         texts += [b" ".join(b"\x80%d" % next(new) for _ in range(1 + k % WINDOW)) for k in range(UNSEEN)]
         hard = [_words(t.encode()) for t in HARD]
         line, start, end = _windows(np.array([len(ws) for ws in hard], np.int64))
-        texts += [b" ".join(hard[i][a:b]) for i, a, b in zip(line, start, end, strict=True) for _ in range(8)]
+        texts += [b" ".join(hard[i][a:b]) for i, a, b in zip(line, start, end, strict=True) for _ in range(VARIANTS // 3)]  # as often as a statement
         labels = [0] * len(texts)
         for c, statements in enumerate([*(templates[f] for f in TEMPLATES), OTHER], 1):
             for t in statements:
