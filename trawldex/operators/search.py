@@ -16,7 +16,7 @@ class SearchError(ValueError):
 def validate(query: str, site: str | None, offset: int, limit: int) -> None:
     import re
 
-    if site is not None and not re.match(HTTP_URL, site):
+    if site is not None and not re.fullmatch(HTTP_URL, site):
         raise SearchError("the site is not a valid url")
     if limit < 0:
         raise SearchError("limit must not be negative")
@@ -49,5 +49,10 @@ def relevance(pages: DataFrame) -> DataFrame:
 
 def ranked(scores: DataFrame, offset: int = 0, limit: int | None = 20) -> DataFrame:
     """Rounded before sorting; equal scores by site and page."""
-    rows = scores.withColumn("relevance", round_half_up(F.col("relevance"))).orderBy(F.desc("relevance"), "site", "page_id")
+    rows = in_order(scores.withColumn("relevance", round_half_up(F.col("relevance"))))
     return rows if limit is None else rows.offset(offset).limit(limit)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Best first. Joins lose an order, so this comes last."""
+    return rows.orderBy(F.desc("relevance"), "site", "page_id")

@@ -81,6 +81,9 @@ def sql() -> dict[str, str]:
     page = "SELECT site, page_id, uri, title, relevance FROM res"
     order = "ORDER BY relevance DESC, site, page_id"
     return {
+        "build_index": _with("ok df tf", "SELECT 'pages' AS name, count(*) AS n FROM ok UNION ALL SELECT 'lemmas', count(*) FROM df UNION ALL SELECT 'postings', count(*) FROM tf"),
+        "crawl_links": _with("nl", f"""SELECT site, node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT site, {_key('url')} AS node, 0 AS depth FROM raw UNION ALL
+            SELECT site, {_key('link')}, 1 FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}) GROUP BY site, node"""),
         "scan_pages": "SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",
         "pages_of_site": _with("raw one", "SELECT site, page_id, url FROM raw WHERE site = (SELECT site FROM one)"),
         "site_by_url": _with("raw one", "SELECT DISTINCT site FROM raw WHERE site = (SELECT site FROM one)"),
@@ -95,7 +98,7 @@ def sql() -> dict[str, str]:
         "valid_site_url": _with("raw", f"SELECT page_id, regexp_matches(site, {_text(HTTP_URL)}) AS valid, regexp_matches(url, {_text(HTTP_URL)}) AS url_valid FROM raw"),
         "dedupe_urls": _with("raw", f"SELECT {_key('url')} AS url_key, min(page_id) AS page_id, count(*) AS n FROM raw GROUP BY 1"),
         "resolve_links": _with("nl", f"SELECT DISTINCT site, page_id, url AS src, link AS dst FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}"),
-        "site_routing": _with("raw", "SELECT page_id, site AS routed_to FROM raw"),
+        "site_routing": _with("raw", "SELECT page_id, (SELECT min(c.site) FROM (SELECT DISTINCT site FROM raw ORDER BY site LIMIT 20) c WHERE contains(raw.url, c.site)) AS routed_to FROM raw"),
         "crawl_reach": _with("raw", "SELECT site, node, min(depth) AS depth FROM r GROUP BY site, node", """nd AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM raw),
             r(site, node, depth) AS (SELECT site, k, CAST(0 AS BIGINT) FROM nd WHERE k = 1 UNION ALL
             SELECT r.site, nd.k, r.depth + 1 FROM r JOIN nd ON nd.site = r.site AND (nd.k = 2 * r.node OR nd.k = 2 * r.node + 1))"""),
@@ -134,8 +137,8 @@ def sql() -> dict[str, str]:
         "merge_intervals": _with("mw", f"""SELECT page_id, min(a) AS start, max(b) AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM (
             SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
             SELECT page_id, CAST(greatest(first_pos + 1 - {RADIUS}, 1) AS BIGINT) AS a, CAST(first_pos + 1 + {RADIUS} AS BIGINT) AS b FROM mw))) GROUP BY page_id, i"""),
-        "highlight": _with("mw ok", """SELECT page_id, word, CASE WHEN strpos(title, word) > 0 THEN substr(title, 1, strpos(title, word) - 1) || '<b>' || word || '</b>'
-            || substr(title, strpos(title, word) + length(word)) ELSE title END AS marked FROM mw JOIN ok USING (page_id)"""),
+        "highlight": _with("mw ok", """SELECT page_id, word, CASE WHEN strpos(content, word) > 0 THEN substr(content, 1, strpos(content, word) - 1) || '<b>' || word || '</b>'
+            || substr(content, strpos(content, word) + length(word)) ELSE content END AS marked FROM mw JOIN ok USING (page_id)"""),
         "reindex_cleanup": _with("tf raw", "SELECT site, page_id, lemma, rank FROM tf WHERE site NOT IN (SELECT site FROM raw ORDER BY page_id LIMIT 10)"),
         "upsert_page": _with("tf rv rt", "SELECT site, page_id, lemma, rank FROM tf WHERE (site, page_id) NOT IN (SELECT (site, page_id) FROM rv) UNION ALL SELECT site, page_id, lemma, rank FROM rt"),
         "upsert_lemma_df": _with("tf rv rt", "SELECT site, lemma, count(*) AS frequency FROM (SELECT site, page_id, lemma FROM tf WHERE (site, page_id) NOT IN (SELECT (site, page_id) FROM rv) UNION ALL SELECT site, page_id, lemma FROM rt) GROUP BY site, lemma"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from trawldex.functions import html, numbers, urls
 from trawldex.operators import analyzer, graph, index, search, snippets, stats
-from trawldex.plans import oracle, views
+from trawldex.plans import oracle, results, views
+from trawldex.plans.store import Store
 from trawldex.sources import tables
+from trawldex.sources.config import Site
+from trawldex.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +33,13 @@ def _of_first_site(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(_first_site(spark, sf)), "site", "left_semi")
 
 
+def build_index(spark, sf):
+    """A full build into a new folder; its size by table."""
+    at = Store(spark, f"{scratch_dir(spark)}/trawldex/build-{uuid.uuid4().hex}", views.lex(spark)).build(tables.load(spark, sf, "pages"))
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in (("pages", at.pages()), ("lemmas", at.lemmas()), ("postings", at.postings()))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def scan_pages(spark, sf):
     return tables.load(spark, sf, "pages").select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"))
 
@@ -90,10 +101,16 @@ def resolve_links(spark, sf):
 
 
 def site_routing(spark, sf):
-    """Each page with its configured site; every crawled site is configured, so the pair is an equi-join on the derived site."""
-    sites = _raw(spark, sf).select(F.col("site").alias("cfg")).distinct()
-    rows = _raw(spark, sf).select("page_id", "url", "site")
-    return rows.join(sites, F.col("site") == F.col("cfg"), "left").select("page_id", F.col("cfg").alias("routed_to"))
+    """Each page with the first configured site that its url contains, or null; twenty sites are configured, a list of fixed length."""
+    sites = [Site(r.site, "") for r in _raw(spark, sf).select("site").distinct().orderBy("site").limit(20).collect()]
+    return _raw(spark, sf).select("page_id", tables.route(F.col("url"), sites).alias("routed_to"))
+
+
+def crawl_links(spark, sf):
+    """Reachability over the links that the pages really have: from every page over its links in scope."""
+    links = resolve_links(spark, sf).select("site", urls.key(F.col("src")).alias("src"), urls.key(F.col("dst")).alias("dst"))
+    seeds = _raw(spark, sf).select("site", urls.key(F.col("url")).alias("node"))
+    return graph.reach(links, seeds, ["site"]).select("site", "node", F.col("depth").cast("long").alias("depth"))
 
 
 def crawl_reach(spark, sf):
@@ -146,39 +163,41 @@ def doc_postings(spark, sf):
 
 
 def lemmas_of_site(spark, sf):
-    return _of_first_site(doc_freq(spark, sf), spark, sf)
+    return _of_first_site(views.store(spark, sf).lemmas(), spark, sf).select("site", "lemma", "frequency")
 
 
 def lemma_in_list(spark, sf):
-    return doc_freq(spark, sf).join(F.broadcast(views.wanted(spark)), "lemma", "left_semi").select("site", "lemma", "frequency")
+    at = views.store(spark, sf)
+    return at.lemmas(results.query_lemmas(at, views.QUERY))
 
 
 def postings_of_page(spark, sf):
     one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
-    return views.term_rows(spark, sf).join(F.broadcast(one), "page_id", "left_semi").select("page_id", "lemma", "rank")
+    return views.store(spark, sf).postings().join(F.broadcast(one), "page_id", "left_semi").select("page_id", "lemma", "rank")
 
 
 def postings_semi(spark, sf):
-    return _of_first_site(views.query_terms(spark, sf), spark, sf).select("site", "page_id", "lemma", "rank")
+    at = views.store(spark, sf)
+    return _of_first_site(at.postings(results.query_lemmas(at, views.QUERY)), spark, sf).select("site", "page_id", "lemma", "rank")
 
 
 def lemmas_of_page(spark, sf):
     """Stored lemma rows of the lemmas that the first page holds."""
     page = _of_first_page(spark, sf)
-    return doc_freq(spark, sf).join(page.select("site", "lemma"), ["site", "lemma"], "left_semi")
+    return views.store(spark, sf).lemmas().join(page.select("site", "lemma"), ["site", "lemma"], "left_semi")
 
 
 def _of_first_page(spark, sf):
     one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
-    return views.term_rows(spark, sf).join(F.broadcast(one), "page_id", "left_semi")
+    return views.store(spark, sf).postings().join(F.broadcast(one), "page_id", "left_semi")
 
 
 def pages_per_site(spark, sf):
-    return stats.pages_per_site(views.pages(spark, sf).select("site"))
+    return stats.pages_per_site(views.store(spark, sf).pages().select("site"))
 
 
 def lemmas_per_site(spark, sf):
-    return stats.lemmas_per_site(doc_freq(spark, sf))
+    return stats.lemmas_per_site(views.store(spark, sf).lemmas())
 
 
 def _configured(spark, sf):
@@ -188,13 +207,15 @@ def _configured(spark, sf):
 
 
 def total_stats(spark, sf):
-    return stats.total_stats(_configured(spark, sf), views.pages(spark, sf), doc_freq(spark, sf))
+    at = views.store(spark, sf)
+    return stats.total_stats(_configured(spark, sf), at.pages(), at.lemmas())
 
 
 def site_stats(spark, sf):
     at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
     stored = tables.mark_sites(_configured(spark, sf).filter("url NOT LIKE '%never%'"), "INDEXED", at)
-    return stats.site_stats(_configured(spark, sf), stored, views.pages(spark, sf).select("site"), doc_freq(spark, sf), at)
+    built = views.store(spark, sf)
+    return stats.site_stats(_configured(spark, sf), stored, built.pages().select("site"), built.lemmas(), at)
 
 
 def fmt_status_time(spark, sf):
@@ -202,7 +223,7 @@ def fmt_status_time(spark, sf):
 
 
 def high_freq_filter(spark, sf):
-    return search.keep_rare(doc_freq(spark, sf), pages_per_site(spark, sf), views.MOST)
+    return search.keep_rare(views.store(spark, sf).lemmas(), pages_per_site(spark, sf), views.MOST)
 
 
 def rare_first(spark, sf):
@@ -230,8 +251,9 @@ def search_top(spark, sf):
 
 
 def search_site(spark, sf):
-    site = _first_site(spark, sf).first()[0]
-    return views.results(spark, sf, site=site, limit=None)
+    at = views.store(spark, sf)
+    found = _of_first_site(results.matches(at, views.QUERY, views.MOST), spark, sf)
+    return results.page(at, found, limit=None)
 
 
 def search_page2(spark, sf):
@@ -265,19 +287,14 @@ def merge_intervals(spark, sf):
 
 
 def highlight(spark, sf):
-    rows = matched_words(spark, sf).join(views.pages(spark, sf).select("page_id", "title"), "page_id")
-    return rows.select("page_id", "word", snippets.highlight_first(F.col("title"), F.col("word")).alias("marked"))
+    rows = matched_words(spark, sf).join(views.pages(spark, sf).select("page_id", "content"), "page_id")
+    return rows.select("page_id", "word", snippets.highlight_first(F.col("content"), F.col("word")).alias("marked"))
 
 
 def snippets_top(spark, sf):
     """The first result page with snippets: they are cut from its rows only."""
-    top = views.results(spark, sf)
-    body = tables.load(spark, sf, "pages").select("page_id", html.strip_inline_tags(F.col("html")).alias("body"))
-    body = top.select("page_id").join(body, "page_id")
-    words = analyzer.token_rows(body, ["page_id"], "body")
-    found = analyzer.matched_words(words, views.lex(spark), F.broadcast(views.wanted(spark)), ["page_id"])
-    listed = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("first_pos", "word"))).alias("w")).select("page_id", F.col("w.word").alias("words"))
-    return snippets.snippets(top.join(body, "page_id").join(listed, "page_id", "left"), views.RADIUS).drop("body", "words")
+    at = views.store(spark, sf)
+    return results.with_snippets(at, views.results(spark, sf), views.QUERY, views.RADIUS)
 
 
 def reindex_cleanup(spark, sf):
@@ -309,7 +326,7 @@ def upsert_lemma_df(spark, sf):
 
 _NAMES = {"search_top": "search", "snippets_top": "snippets"}
 _ALL: list[Query] = [
-    scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, strip_inline_tags, extract_links, normalize_url,
+    build_index, crawl_links, scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, strip_inline_tags, extract_links, normalize_url,
     is_file_link, valid_site_url, dedupe_urls, resolve_links, site_routing, crawl_reach, tokenize_docs, lemmatize, stop_filter, query_lemmas,
     matched_words, term_freq, doc_freq, postings, doc_postings, lemmas_of_site, lemma_in_list, postings_of_page, postings_semi, lemmas_of_page,
     pages_per_site, lemmas_per_site, total_stats, site_stats, fmt_status_time, high_freq_filter, rare_first, pages_all_lemmas, relevance,

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawldex.operators import analyzer, index, search, stats
+from trawldex.operators import analyzer, index, search
+from trawldex.plans import results as search_results
+from trawldex.plans.store import Store, opened
 from trawldex.sources import tables
+from trawldex.sources.scratch import scratch_dir
 
 QUERY = "the is that zzzz"
 MOST = 0.95
@@ -41,25 +44,18 @@ def wanted(spark: SparkSession, query: str = QUERY) -> DataFrame:
     return analyzer.query_lemmas(spark, query, lex(spark))
 
 
-def query_terms(spark: SparkSession, sf: str, query: str = QUERY) -> DataFrame:
-    """Term rows of the query's lemmas only: other tokens are dropped before anything is shuffled."""
-    hits = analyzer.lemmas(words(spark, sf), lex(spark)).join(F.broadcast(wanted(spark, query)), "lemma", "left_semi")
-    return index.term_freq(hits)
+def store(spark: SparkSession, sf: str) -> Store:
+    """The persisted index of the folder's pages."""
+    return opened(spark, sf, lex(spark), scratch_dir(spark))
 
 
 def scores(spark: SparkSession, sf: str, query: str = QUERY, most: float = MOST) -> DataFrame:
     """site, page_id, total, top of the pages that hold all kept lemmas."""
-    tf = query_terms(spark, sf, query)
-    kept = search.keep_rare(index.doc_freq(tf), stats.pages_per_site(pages(spark, sf).select("site")), most)
-    return search.pages_with_all(tf, kept)
+    return search_results.scores(store(spark, sf), query, most)
 
 
 def results(spark: SparkSession, sf: str, site: str | None = None, offset: int = 0, limit: int | None = 20, query: str = QUERY) -> DataFrame:
-    """site, page_id, uri, title, relevance: the page is cut first, then titles are read for its rows."""
+    """site, page_id, uri, title, relevance, best first."""
     search.validate(query, site, offset, 0 if limit is None else limit)
-    found = search.relevance(scores(spark, sf, query))
-    if site is not None:
-        found = found.filter(F.col("site") == site)
-    top = search.ranked(found, offset, limit)
-    info = pages(spark, sf).select("page_id", F.col("path").alias("uri"), "title")
-    return top.join(info, "page_id").select("site", "page_id", "uri", "title", "relevance")
+    at = store(spark, sf)
+    return search_results.page(at, search_results.matches(at, query, MOST, site), offset, limit)

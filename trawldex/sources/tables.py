@@ -20,9 +20,9 @@ def site_pages(pages: DataFrame, code: Column | None = None) -> DataFrame:
 
     Pages with an answer of 302 and pages without text are left out.
     """
-    rows = pages if code is None else pages.filter(code != 302)
+    rows = pages.withColumn("code", F.lit(200) if code is None else code.cast("int")).filter("code IS NULL OR code <> 302")
     site = urls.site_of(F.col("url"))
-    rows = rows.select(site.alias("site"), "page_id", "url", urls.path_of(F.col("url"), site).alias("path"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("content"), "html")
+    rows = rows.select(site.alias("site"), "page_id", "url", "code", urls.path_of(F.col("url"), site).alias("path"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("content"), "html")
     return rows.filter("site <> '' AND content <> ''")
 
 
@@ -37,6 +37,10 @@ def route(url: Column, sites: Sequence[Site]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def site_of_pages() -> Column:
+    return urls.site_of(F.col("url"))
+
+
 def write_table(rows: DataFrame, path: str, partition_by: str | None = "site") -> None:
     """Replace the partitions that rows has; others stay."""
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
