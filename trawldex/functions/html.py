@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,15 +11,27 @@ from pyspark.sql import functions as F
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG = r"<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LINK = r"<a\s[^>]*href=\"([^\"]*)\""
+LINK = r"(?i)<a\s(?:[^>]*[\s\"'])?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 INLINE = r"</?(?:b|i|t|em|strong|font|a|br)(?:>| [^>]+>)"
 ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")]
 
 
+#: Names of entities and their characters, from Python's table of the HTML standard; the space that does not break is a plain one.
+_NAMED = {f"&{name};": " " if name == "nbsp" else chr(point) for name, point in sorted(name2codepoint.items())} | dict(ENTITIES)
+
+
 def decode(text: Column) -> Column:
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """Entities as characters: named and numeric ones, each once (`&amp;lt;` is `&lt;`). Others stay as they are."""
+    named = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    digits = lambda e: F.regexp_extract(e, "([0-9A-Fa-f]+);$", 1)
+    point = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(digits(e), 16, 10)).otherwise(digits(e)).cast("long")
+    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")
+    usable = lambda p: p.between(1, 0xD7FF) | p.between(0xE000, 0x10FFFF)
+    value = lambda e: F.when(F.startswith(e, F.lit("&#")), F.when(usable(point(e)), letter(point(e)))).otherwise(F.element_at(named, e))
+    found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), lambda e: F.struct((value(e) == "&").alias("last"), e.alias("e"), value(e).alias("v"))), lambda x: x["v"].isNotNull())
+    plain = F.aggregate(F.array_sort(found), text, lambda t, x: F.replace(t, x["e"], x["v"]))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def title(html: Column) -> Column:
@@ -31,7 +45,9 @@ def text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(LINK), 1)
+    """Targets of all anchors: attributes and names of any case, values in double quotes, single quotes or none."""
+    whole = F.regexp_extract_all(html, F.lit(LINK), 0)
+    return F.transform(whole, lambda x: F.concat(*[F.regexp_extract(x, LINK, i) for i in (1, 2, 3)]))
 
 
 def strip_inline_tags(html: Column) -> Column:

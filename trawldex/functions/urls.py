@@ -46,3 +46,8 @@ def in_scope(url: Column, site: Column) -> Column:
 def key(url: Column) -> Column:
     """Two urls are leniently equal when their keys are: one trailing slash does not count (urls of one character stay as they are)."""
     return F.when(F.char_length(url) <= 1, url).when(url.endswith("/"), url).otherwise(F.concat(url, F.lit("/")))
+
+
+def contains_leniently(urls_: Column, url: Column) -> Column:
+    """Whether an array of urls holds one that is leniently equal to url."""
+    return F.exists(urls_, lambda u: key(u) == key(url))

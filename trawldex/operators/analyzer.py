@@ -29,6 +29,14 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(lexicon_rows(), "word string, base_form string, pos string")
 
 
+def load_lexicon(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """A lexicon of any size from a table (word, base_form, pos): parquet, or csv with tabs. Words are folded as tokens are; repeated rows count once.
+
+    Spark broadcasts it if it is small and joins by sorting otherwise."""
+    rows = spark.read.parquet(path) if kind == "parquet" else spark.read.option("sep", "\t").schema("word string, base_form string, pos string").csv(path)
+    return rows.select(F.lower("word").alias("word"), F.lower("base_form").alias("base_form"), F.upper("pos").alias("pos")).filter("word IS NOT NULL AND base_form IS NOT NULL").distinct()
+
+
 def tokens(text: Column, profile: str = "latin") -> Column:
     """Array of words. Other characters than letters, spaces and hyphens are deleted, as are hyphens with a neighbour that is
     no letter on both sides (with those neighbours); hyphens inside and at the edge of words stay."""

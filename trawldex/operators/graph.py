@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -40,3 +41,27 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int |
         visited = visited.unionByName(frontier)
         if depth % 32 == 0:
             visited = materialize(visited, "reach")
+
+
+def crawl(roots: DataFrame, get: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
+    """Rows (site, url, depth, code, html) of every page that roots (site, url) reach over links in their site's scope.
+
+    get: gives (url, code, html) of addresses (url). Each round fetches what the last one found and nothing has visited under a leniently
+    equal address; answers of 302 are dropped and not followed. If there is more after max_depth rounds, this raises.
+    """
+    frontier = materialize(roots.select("site", "url").groupBy(urls.key(F.col("url")).alias("key")).agg(F.min_by("site", "url").alias("site"), F.min("url").alias("url")), "crawl")
+    seen, pages = frontier.select("key"), None
+    for depth in count(0):
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"pages lie more than {max_depth} links from the roots")
+        got = frontier.select("site", "url").join(get(frontier.select("url")).select("url", "code", "html"), "url")
+        got = materialize(got.filter("code IS NULL OR code <> 302").withColumn("depth", F.lit(depth)), "crawl")
+        pages = got if pages is None else pages.unionByName(got)
+        links = resolved_links(page_links(got.withColumn("page_id", F.lit(0))))
+        step = links.select(urls.key(F.col("dst")).alias("key"), "site", F.col("dst").alias("url")).groupBy("key").agg(F.min_by("site", "url").alias("site"), F.min("url").alias("url"))
+        frontier = materialize(step.join(seen, "key", "left_anti"), "crawl")
+        if frontier.isEmpty():
+            return pages.select("site", "url", "depth", "code", "html")
+        seen = seen.unionByName(frontier.select("key"))
+        if depth % 32 == 31:
+            seen, pages = materialize(seen, "crawl"), materialize(pages, "crawl")

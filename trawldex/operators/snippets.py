@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 
+from collections import deque
+from itertools import islice
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
 
-def _part(c: str) -> bool:
-    """Letters and hyphens belong to words, digits and others do not."""
-    return c == "-" or c.isalpha()
+#: Letters and hyphens make words; digits and others do not.
+WORD = regex.compile(r"[\p{L}-]+")
 
 
 def border(content: str, start: int, radius: int, right: bool) -> int:
     """Where a window of `radius` words beyond start ends: at a tag's bracket or the text's end at the latest.
 
-    To the right the end is exclusive, to the left it is the first character of the window.
+    To the right the end is exclusive, to the left it is the first character of the window: the one before the last word, if there is one.
     """
-    step, bracket, n, pos = (1, "<", len(content), start) if right else (-1, ">", len(content), start)
-    inside = lambda p: 0 <= p < n
-    for _ in range(radius):
-        while inside(pos) and not _part(content[pos]) and content[pos] != bracket:
-            pos += step
-        while inside(pos) and _part(content[pos]):
-            pos += step
-        if not inside(pos) or content[pos] == bracket:
-            break
     if right:
-        return min(pos, n)
-    return max(0, pos + 1) if not inside(pos) or content[pos] == bracket else pos
+        end = content.find("<", start)
+        end = len(content) if end < 0 else end
+        words = list(islice(WORD.finditer(content, start, end), radius))
+        return words[-1].end() if len(words) == radius else max(start, end)
+    begin = content.rfind(">", 0, start + 1) + 1
+    words = deque(WORD.finditer(content, begin, start + 1), maxlen=radius)
+    return max(begin, words[0].start() - 1) if len(words) == radius else begin
 
 
 def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -43,7 +43,7 @@ _CTE = {
     "sc": ("hit kept", "SELECT site, page_id, total / top AS relevance FROM hit JOIN (SELECT site, count(*) AS k FROM kept GROUP BY site) USING (site) WHERE n = k"),
     "res": ("sc ok", "SELECT sc.site, sc.page_id, path AS uri, title, floor(relevance * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS relevance FROM sc JOIN ok USING (page_id)"),
     "one": ("raw", "SELECT arg_min(site, page_id) AS site, min(page_id) AS page_id FROM raw"),
-    "ln": ("raw", rf"""SELECT site, page_id, url, unnest(regexp_extract_all(html, {_text(html.LINK)}, 1)) AS href FROM raw"""),
+    "ln": ("raw", rf"""SELECT site, page_id, url, unnest(list_transform(regexp_extract_all(html, {_text(html.LINK)}, 0), lambda x: regexp_extract(x, {_text(html.LINK)}, 1) || regexp_extract(x, {_text(html.LINK)}, 2) || regexp_extract(x, {_text(html.LINK)}, 3))) AS href FROM raw"""),
     "nl": ("ln", rf"""SELECT *, CASE WHEN contains(l, '?') THEN split_part(l, '?', 1) WHEN strpos(l, '#') > 1 THEN split_part(l, '#', 1) ELSE l END AS link FROM (
         SELECT *, CASE WHEN starts_with(h, '/') THEN regexp_replace(site, '/$', '') || h ELSE h END AS l FROM (
         SELECT *, CASE WHEN href = '/' OR regexp_matches(href, '{_FILE}') THEN site ELSE href END AS h FROM ln))"""),

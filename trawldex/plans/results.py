@@ -36,11 +36,11 @@ def page(store: Store, found: DataFrame, offset: int = 0, limit: int | None = 20
 
 
 def with_snippets(store: Store, top: DataFrame, query: str, radius: int) -> DataFrame:
-    """The rows of one result page with snippets, cut from their texts only."""
-    body = store.pages().select("site", "page_id", "body").join(top.select("site", "page_id"), ["site", "page_id"], "left_semi")
-    words = analyzer.token_rows(body, ["site", "page_id"], "body", store.profile)
+    """The rows of one result page with snippets: words are found in the visible texts of these rows, windows are cut from their markup."""
+    body = store.pages().select("site", "page_id", "body", "content").join(top.select("site", "page_id"), ["site", "page_id"], "left_semi")
+    words = analyzer.token_rows(body, ["site", "page_id"], "content", store.profile)
     wanted = analyzer.query_lemmas(store.spark, query, store.lex, store.profile)
     found = analyzer.matched_words(words, store.lex, wanted, ["site", "page_id"])
     listed = found.groupBy("site", "page_id").agg(F.sort_array(F.collect_list(F.struct("first_pos", "word"))).alias("w")).select("site", "page_id", F.col("w.word").alias("words"))
     keys = ["site", "page_id"]
-    return search.in_order(snippets.snippets(top.join(body, keys).join(listed, keys, "left"), radius).drop("body", "words"))
+    return search.in_order(snippets.snippets(top.join(body.drop("content"), keys).join(listed, keys, "left"), radius).drop("body", "words"))

@@ -62,14 +62,16 @@ class Store:
     def _done(self, layer: int, parts: int, base: bool = False) -> None:
         files.touch(self.spark, f"{self.path}/done/layer-{layer}-{parts}-{'base' if base else 'more'}")
 
+    def _table(self, name: str, layer: int) -> DataFrame:
+        schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("layer"))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/layer={layer}")
+
     def _read(self, name: str) -> DataFrame:
         """All rows of the layers that count, with their layer."""
-        schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("layer"))
         out = None
         for n, _ in self.layers():
-            folder = f"{self.path}/{name}/layer={n}"
-            if files.exists(self.spark, folder):
-                rows = self.spark.read.schema(schema).parquet(folder).withColumn("layer", F.lit(n))
+            if files.exists(self.spark, f"{self.path}/{name}/layer={n}"):
+                rows = self._table(name, n).withColumn("layer", F.lit(n))
                 out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], TABLES[name]) if out is None else out
 
@@ -96,7 +98,7 @@ class Store:
 
     def _layer(self, pages: DataFrame, layer: int, parts: int) -> None:
         self._write(pages.withColumn("part", _part("site", parts)), "pages", layer, ["site", "path"])
-        written = self.spark.read.parquet(f"{self.path}/pages/layer={layer}")
+        written = self._table("pages", layer)
         terms = self._terms(written.select("site", "page_id", "content")).withColumn("part", _part("lemma", parts))
         self._write(terms, "postings", layer, ["lemma", "site"])
 
@@ -107,7 +109,7 @@ class Store:
             parts = min(MOST_PARTS, int(size // PART_BYTES) + 1)
         layer = self._next()
         self._layer(self._page_rows(pages, code), layer, parts)
-        written = self.spark.read.parquet(f"{self.path}/postings/layer={layer}")
+        written = self._table("postings", layer)
         self._write(index.doc_freq(written).withColumn("part", _part("lemma", parts)), "lemmas", layer, ["lemma", "site"])
         self._done(layer, parts, base=True)
         return self
@@ -123,7 +125,7 @@ class Store:
         # what the replaced pages held, read before the layer counts
         gone = self.postings().join(keys, ["site", "page_id"], "left_semi")
         self._layer(come, layer, parts)
-        fresh = self.spark.read.parquet(f"{self.path}/postings/layer={layer}").select("site", "lemma", F.lit(1).cast("long").alias("d"))
+        fresh = self._table("postings", layer).select("site", "lemma", F.lit(1).cast("long").alias("d"))
         delta = gone.select("site", "lemma", F.lit(-1).cast("long").alias("d")).unionByName(fresh).groupBy("site", "lemma").agg(F.sum("d").alias("frequency")).filter("frequency <> 0")
         self._write(delta.withColumn("part", _part("lemma", parts)), "lemmas", layer, ["lemma", "site"])
         self._write(keys, "gone", layer, [])

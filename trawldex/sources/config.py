@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawldex.sources import files
+
 
 @dataclass(frozen=True)
 class Site:
@@ -52,5 +55,69 @@ class Settings:
             web_request=WebRequest(request.get("user-agent", "trawldex"), request.get("referrer", "")),
         )
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str) -> Settings:
+        """From a YAML file in any store that Spark reads."""
+        return cls.from_mapping(parse_yaml(files.text(spark, path)))
+
     def site_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s.url, s.name) for s in self.sites], "url string, name string")
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1]
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return None if text in ("", "~", "null") else text
+
+
+def parse_yaml(text: str):
+    """The part of YAML that settings use: nested mappings and lists by indentation, plain and quoted scalars, comments."""
+    lines = []
+    for raw in text.splitlines():
+        body = re.sub(r"(^|\s)#.*$", "", raw) if not re.search(r"['\"].*#", raw) else raw
+        if body.strip() and body.strip() != "---":
+            lines.append((len(body) - len(body.lstrip(" ")), body.strip()))
+    at = 0
+
+    def block(indent: int):
+        nonlocal at
+        out: dict | list | None = None
+        while at < len(lines) and lines[at][0] == indent:
+            body = lines[at][1]
+            dash = body.startswith("- ") or body == "-"
+            if out is not None and dash != isinstance(out, list):
+                break  # a list may stand at the indentation of the name that it belongs to
+            if dash:
+                out = [] if out is None else out
+                inner = body[1:].lstrip()
+                if re.match(r"[^'\"{\[][^:]*:(\s|$)", inner):  # a mapping begins on the dash's line
+                    lines[at] = (indent + len(body) - len(inner), inner)
+                    out.append(block(lines[at][0]))
+                else:
+                    at += 1
+                    out.append(_scalar(inner) if inner else block(lines[at][0]))
+                continue
+            name, colon, rest = body.partition(":")
+            if not colon:
+                raise ValueError(f"not a mapping: {body}")
+            out = {} if out is None else out
+            at += 1
+            if rest.strip():
+                out[_scalar(name)] = _scalar(rest)
+            elif at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("-")):
+                out[_scalar(name)] = block(lines[at][0])
+            else:
+                out[_scalar(name)] = None
+        if at < len(lines) and lines[at][0] > indent:
+            raise ValueError(f"unexpected indentation: {lines[at][1]}")
+        return out
+
+    return block(lines[0][0]) if lines else {}

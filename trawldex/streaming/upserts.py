@@ -9,32 +9,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from trawldex.operators import analyzer, index
+from trawldex.sources import files
 from trawldex.sources.tables import write_table
 
+PARTS = 64
+
 
 def replace_in(path: str, lex: DataFrame, profile: str = "latin") -> Callable[[DataFrame, int], None]:
     """A sink that replaces the term rows of each micro-batch's pages (site, page_id, content, version) in the table at path.
 
-    Only the partitions of the sites in the batch are rewritten. Of several versions of a page in a batch the greatest
-    counts. A batch that runs again writes the same rows, so a retry after a lost executor changes nothing.
+    The table is laid out by hash parts of the site; only the parts of the batch's sites are rewritten, and a part that nothing is left of is
+    removed. Of several versions of a page in a batch the greatest counts. A batch that runs again writes the same rows, so a
+    retry after a lost executor changes nothing.
     """
 
+    part = F.pmod(F.xxhash64("site"), F.lit(PARTS)).cast("int")
+
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("site", "page_id").agg(F.max_by("content", "version").alias("content"))
         come = index.term_freq(analyzer.lemmas(analyzer.token_rows(newest, ["site", "page_id"], profile=profile), lex))
+        come = come.withColumn("part", part)
         try:
             old = spark.read.parquet(path)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-            write_table(come, path)
+            write_table(come, path, "part")
             return
-        sites = newest.select("site").distinct()
-        mine = old.select(*come.columns).join(sites, "site", "left_semi")
-        # checkpoint: the table is read before its partitions are replaced
+        touched = {r.part for r in newest.select(part.alias("part")).distinct().collect()}  # PARTS numbers at most
+        mine = old.filter(F.col("part").isin(*touched)).select(*come.columns)
+        # checkpoint: the table is read before its parts are replaced
         rows = index.replace_pages(mine, come, ["site", "page_id"], newest).checkpoint()
-        write_table(rows, path)
+        left = {r.part for r in rows.select("part").distinct().collect()}
+        write_table(rows, path, "part")
+        for gone in sorted(touched - left):
+            files.delete(spark, f"{path}/part={gone}")
 
     return sink
 
