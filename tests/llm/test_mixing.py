@@ -80,6 +80,23 @@ def test_sample_is_of_labels_with_a_document(spark):
     assert np.array_equal(model.weights, alone.weights) and alone.weights.any()
 
 
+def exact(p, words, share, most):
+    """Rates by accelerated projected gradient, one number a document."""
+    total, has = words.sum(), words @ p
+    target = np.minimum(share * has[0] / share[0], most * has)
+    start = min(most, target.sum() / total)
+    x = np.full(len(p), start)
+    y, t = x, 1.0
+    for _ in range(60_000):
+        residual = ((words * y) @ p - target) / total
+        new = np.clip(y - (p @ residual + 1e-4 * (y - start)) / 1.1, 0, most)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        if (new - x) @ (y - new) > 0:
+            t = 1.0
+        y, x = new + (before - 1) / t * (new - x), new
+    return x
+
+
 def test_query_against_exact_solver(spark, sf):
     """Rates of the query are where a projected gradient step leads back to itself, on whole texts."""
     from trawldex.llm.common import table
@@ -91,20 +108,8 @@ def test_query_against_exact_solver(spark, sf):
     p, words = model.of([(docs[r.doc_id] or "").encode() for r in rows])
     assert [r.tokens for r in rows] == words.tolist()
     assert np.allclose(p, [[r.p_good, r.p_poor, r.p_toxic] for r in rows], atol=1e-6)
-    rate, share, total = np.array([r.rate for r in rows]), np.array(list(q_mixing.WEIGHTS.values())), words.sum()
-    has = words @ p
-    target = np.minimum(share * has[0] / share[0], 4 * has)
-    start = target.sum() / total
-    x = np.full(len(rate), start)
-    y, t = x, 1.0
-    for _ in range(60_000):  # accelerated projected gradient, one row a document
-        residual = ((words * y) @ p - target) / total
-        new = np.clip(y - (p @ residual + 1e-4 * (y - start)) / 1.1, 0, 4)
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        if (new - x) @ (y - new) > 0:
-            t = 1.0
-        y, x = new + (before - 1) / t * (new - x), new
-    assert np.abs(x - rate).max() < 1e-3
+    x = exact(p, words, np.array(list(q_mixing.WEIGHTS.values())), 4)
+    assert np.abs(x - np.array([r.rate for r in rows])).max() < 1e-3
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
 
 
