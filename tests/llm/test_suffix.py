@@ -69,3 +69,19 @@ def test_edges(spark):
     rows = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, len(bytes(r.kept))) for r in suffix.dedup(docs).collect())
     assert rows == [(False, 0, 400, 400)] * 2 + [(True, 1, 400, 0)] * 2 + [(True, 2, 0, 0), (True, 3, 0, 0), (True, 4, 5, 5), (True, 5, 400, 0)]
     assert suffix.dedup(docs.limit(0)).count() == 0
+
+
+def test_bytes_that_are_no_text(spark):
+    random.seed(12)
+    every = bytes(range(256))
+    docs = [(1, every * 2), (2, b"\xff" * 60 + b"\x00" * 60), (3, b"x" + b"\xff" * 55 + every[10:80] + b"\x00" * 52), (4, every[::-1])]
+    rows = suffix.dedup(spark.createDataFrame([(i, bytearray(t)) for i, t in docs], "doc_id long, text binary")).collect()
+    assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in rows} == brute(docs, 50)
+
+
+def test_rows_of_one_id_and_long_text(spark):
+    texts = [f"{k} " + " ".join(f"word{i % 997}-{i % 1009}" for i in range(k, k + 9000)) for k in range(4)]
+    docs = [(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, texts[3])]
+    rows = suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"), slice_bytes=1 << 16).collect()
+    got = {(r.doc_id, r.n_bytes): len(bytes(r.kept)) for r in rows}
+    assert all(got[i, len(t)] == len(t) for i, t in docs if i is None) and got[8, len(texts[2])] < 100 and got[7, len(texts[0])] < 100

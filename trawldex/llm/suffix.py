@@ -15,7 +15,7 @@ Steps, each over bounded groups:
 A passage that very many documents share reaches step 4 once per slice, however many documents have it.
 
 Defined results: null text counts as empty; a null id counts as the smallest; rows with the same id do not remove each
-other's bytes; an empty table gives an empty result; other columns are ignored, whatever their names. A text is processed in
+other's bytes; an empty table gives an empty result; other columns are ignored, whatever their names; bytes that are no UTF-8 count as they are. A text is processed in
 chunks, so memory beyond the text itself is bounded.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawldex.llm.arrays import mix, split_by
+from trawldex.llm.arrays import give_back, mix, ranges, split_by
 
 SLICE_BYTES = 4 << 20
 CHUNK = 1 << 22
@@ -179,13 +179,25 @@ def common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
 
 def least_ids(strings: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For segments laid end to end in `strings`: of every string of `length` bytes in them, the least id (per segment, in order)."""
-    # bytes move up by one, so that 0 can part the segments (UTF-8 has no byte 255)
     ends = np.cumsum(sizes + 1)
     begin = ends - sizes - 1
+    present = np.bincount(strings, minlength=256) > 0
+    if present.all():  # never in UTF-8; a text of invalid bytes leaves no number to part the segments
+        owner = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
+        offset = ranges(np.zeros(len(sizes), np.int64), np.maximum(0, sizes - length + 1))
+        at = np.lib.stride_tricks.sliding_window_view(strings, length)[(np.cumsum(sizes) - sizes)[owner] + offset]
+        _, which = np.unique(np.ascontiguousarray(at).view(f"S{length}").ravel(), return_inverse=True)
+        least = np.full(which.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[owner])
+        out = np.empty(int(ends[-1]), np.int64)
+        out[begin[owner] + offset] = least[which]
+        return begin, out
+    # bytes are numbered from one, so that 0 can part the segments
+    number = np.cumsum(present).astype(np.uint8)
     t = np.zeros(int(ends[-1]) + 64, np.uint8)
     keep = np.ones(int(ends[-1]), bool)
     keep[ends - 1] = False
-    t[: len(keep)][keep] = strings + np.uint8(1)
+    t[: len(keep)][keep] = number[strings]
     t = t[: len(keep)] if len(keep) else t[:1]
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     is_start = np.arange(len(t)) + length <= (ends - 1)[owner]
@@ -337,6 +349,7 @@ def bucket_removals(table: pa.Table, length: int) -> pa.Table:
     order = np.argsort(which, kind="stable")
     starts, ends, ids, which = starts[order], ends[order], ids[order], which[order]
     at = np.searchsorted(which, np.arange(len(one) + 1))
+    give_back()
     out = []
     for s, o in split_by(of.astype(np.int64)):
         n = at[group[o] + 1] - at[group[o]]
