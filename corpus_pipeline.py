@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run` writes each
 stage's result as Parquet into the shared scratch folder and reads it back as the next one's input.
+
+Defined results: documents with a null or empty text fail the quality rules; rows without an id pass every stage by their text (they are not
+taken as copies) and are rated alike by the mix; repeated rows of an id are one document, so they stay or go together; ties between near
+copies go to the least id; an empty table stays empty; extra columns are carried, whatever their names, up to the last stage, which returns
+narrow rows without the text; a text of any length is read whole.
 """
 
 from __future__ import annotations
