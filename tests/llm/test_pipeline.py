@@ -67,3 +67,15 @@ def test_every_stage_on_odd_inputs(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     last = dict(corpus_pipeline.STAGES)["shard"]
     assert last(spark, docs, sf).count() == len(rows) and last(spark, docs.limit(0), sf).count() == 0
+
+
+def test_run_leaves_what_its_result_reads(spark, sf):
+    from pathlib import Path
+
+    from trawldex.llm.common import scratch_dir
+
+    top = Path(scratch_dir(spark).removeprefix("file:")) / "trawldex"
+    before = set(top.iterdir()) if top.exists() else set()
+    rows = corpus_pipeline.run(spark, sf)
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before}
+    assert left == {"mix_sources", "sizes"} and rows.count() > 0

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawldex.sources.scratch import scratch_dir
 
-__all__ = ["WS_CHARS", "WS_CLASS", "discard", "materialize", "scratch_dir", "table", "text_bytes"]
+__all__ = ["WS_CHARS", "WS_CLASS", "discard", "materialize", "scope", "scratch_dir", "table", "text_bytes"]
 
 #: White space between words, as a Java regular expression and as plain characters.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -20,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Scratch tables that are written inside are removed at the end, but for those taken out of the list that this gives."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        discard(spark, made)
+
+
 def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
     """Write df to a new folder of the shared scratch space and read it back.
 
@@ -32,6 +48,8 @@ def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> Dat
     df.write.option("compression", "zstd").parquet(path)
     if keep is not None:
         keep.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
