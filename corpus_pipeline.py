@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trawldex.llm import decontam, mixing, ngram_join, q_decontam, q_mixing, q_sharding, quality
-from trawldex.llm.common import materialize, table
+from trawldex.llm.common import materialize, scope, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope(spark) as made:  # what a stage writes on its way goes, and so does its input
+            own: list[str] = []
+            docs = materialize(stage(spark, docs, sf_dir), name, own)
+            made[:] = [p for p in made if p not in own] + before
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)

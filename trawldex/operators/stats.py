@@ -17,9 +17,10 @@ def lemmas_per_site(df: DataFrame) -> DataFrame:
 
 
 def total_stats(sites: DataFrame, pages: DataFrame, df: DataFrame, indexing: bool = False) -> DataFrame:
-    one = lambda rows, name: rows.agg(F.count("*").alias(name))
-    # three rows of one count each
-    return one(sites, "sites").join(one(pages, "pages"), F.lit(True)).join(one(df, "lemmas"), F.lit(True)).withColumn("indexing", F.lit(indexing))
+    names = ["sites", "pages", "lemmas"]
+    rows = [one.select(*[F.lit(int(n == name)).cast("long").alias(n) for n in names]) for name, one in zip(names, (sites, pages, df), strict=True)]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return both.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names]).withColumn("indexing", F.lit(indexing))
 
 
 def site_stats(configured: DataFrame, stored: DataFrame, pages: DataFrame, df: DataFrame, now=None) -> DataFrame:

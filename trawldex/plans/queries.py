@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 from trawldex.functions import html, numbers, urls
 from trawldex.operators import analyzer, graph, index, search, snippets, stats
 from trawldex.plans import oracle, results, views
-from trawldex.plans.store import Store
+from trawldex.plans.store import opened
 from trawldex.sources import tables
 from trawldex.sources.config import Site
-from trawldex.sources.scratch import scratch_dir
+from trawldex.sources.scratch import materialize, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +33,8 @@ def _of_first_site(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_index(spark, sf):
-    """A full build into a new folder; its size by table."""
-    at = Store(spark, f"{scratch_dir(spark)}/trawldex/build-{uuid.uuid4().hex}", views.lex(spark)).build(tables.load(spark, sf, "pages"))
+    """A full build, which later queries of the session read; its size by table."""
+    at = opened(spark, sf, views.lex(spark), scratch_dir(spark), anew=True)
     counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in (("pages", at.pages()), ("lemmas", at.lemmas()), ("postings", at.postings()))]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -153,13 +152,12 @@ def doc_freq(spark, sf):
 
 
 def postings(spark, sf):
-    tf = views.term_rows(spark, sf)
+    tf = materialize(views.term_rows(spark, sf), "terms")  # read twice
     return index.postings(tf, index.doc_freq(tf))
 
 
 def doc_postings(spark, sf):
-    tf = views.doc_terms(spark, sf)
-    return index.postings(tf, index.doc_freq(tf)).groupBy("site", "lemma").agg(F.sum("rank").alias("occurrences"), F.max("frequency").alias("frequency"))
+    return views.doc_terms(spark, sf).groupBy("site", "lemma").agg(F.sum("rank").alias("occurrences"), F.count("*").alias("frequency"))
 
 
 def lemmas_of_site(spark, sf):
@@ -300,12 +298,12 @@ def snippets_top(spark, sf):
 def reindex_cleanup(spark, sf):
     """Postings that stay when the sites of the ten first pages are indexed anew."""
     again = _raw(spark, sf).select("page_id", F.col("site").alias("url")).orderBy("page_id").limit(10)
-    return tables.without_sites(views.term_rows(spark, sf), again)
+    return tables.without_sites(views.store(spark, sf).postings(), again).select("site", "page_id", "lemma", "rank")
 
 
 def _revised(spark, sf):
     """New content for the first page of each site: its title, twice."""
-    rows = views.pages(spark, sf)
+    rows = views.store(spark, sf).pages()
     first = rows.groupBy("site").agg(F.min("page_id").alias("page_id"))
     return rows.join(first, ["site", "page_id"], "left_semi").select("site", "page_id", F.concat_ws(" ", "title", "title").alias("content"))
 
@@ -315,13 +313,13 @@ def _revised_terms(spark, sf):
 
 
 def upsert_page(spark, sf):
-    return index.replace_pages(views.term_rows(spark, sf), _revised_terms(spark, sf), ["site", "page_id"], _revised(spark, sf))
+    return index.replace_pages(views.store(spark, sf).postings().select("site", "page_id", "lemma", "rank"), _revised_terms(spark, sf), ["site", "page_id"], _revised(spark, sf))
 
 
 def upsert_lemma_df(spark, sf):
-    tf = views.term_rows(spark, sf)
-    gone = tf.join(_revised(spark, sf).select("site", "page_id"), ["site", "page_id"], "left_semi")
-    return index.update_doc_freq(index.doc_freq(tf), gone, _revised_terms(spark, sf))
+    at = views.store(spark, sf)
+    gone = at.postings().join(_revised(spark, sf).select("site", "page_id"), ["site", "page_id"], "left_semi")
+    return index.update_doc_freq(at.lemmas(), gone, _revised_terms(spark, sf))
 
 
 _NAMES = {"search_top": "search", "snippets_top": "snippets"}

@@ -21,6 +21,7 @@ from trawldex.operators import analyzer, index
 from trawldex.sources import files, tables
 
 PART_BYTES = 64 << 20
+LEAST_BYTES = 1 << 20
 MOST_PARTS = 4096
 TABLES = {
     "pages": "site string, page_id long, url string, path string, code int, title string, content string, body string, part int, layer int",
@@ -106,7 +107,8 @@ class Store:
         """Index pages (page_id, url, html) anew: every page is read and parsed once. Older layers no longer count."""
         if parts is None:
             size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-            parts = min(MOST_PARTS, int(size // PART_BYTES) + 1)
+            # parts of 64 MB; smaller ones where that keeps all cores busy, but no less than 1 MB
+            parts = min(MOST_PARTS, max(int(size // PART_BYTES) + 1, min(self.spark.sparkContext.defaultParallelism, int(size // LEAST_BYTES) + 1)))
         layer = self._next()
         self._layer(self._page_rows(pages, code), layer, parts)
         written = self._table("postings", layer)
@@ -174,10 +176,10 @@ class Store:
 _BUILT: dict[tuple, Store] = {}
 
 
-def opened(spark: SparkSession, folder: str, lex: DataFrame, scratch: str) -> Store:
+def opened(spark: SparkSession, folder: str, lex: DataFrame, scratch: str, anew: bool = False) -> Store:
     """The index of a folder's pages table; built in the scratch folder when first asked for, and anew when the table changes."""
     key = (spark.sparkContext.applicationId, scratch, files.signature(spark, f"{folder}/pages.parquet"))
-    if key not in _BUILT or not _BUILT[key].exists():
+    if anew or key not in _BUILT or not _BUILT[key].exists():
         path = f"{scratch}/trawldex/index-{abs(hash(key)):x}-{time.time_ns():x}"
         _BUILT[key] = Store(spark, path, lex).build(tables.load(spark, folder, "pages"))
     return _BUILT[key]

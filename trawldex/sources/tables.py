@@ -22,8 +22,10 @@ def site_pages(pages: DataFrame, code: Column | None = None) -> DataFrame:
     """
     rows = pages.withColumn("code", F.lit(200) if code is None else code.cast("int")).filter("code IS NULL OR code <> 302")
     site = urls.site_of(F.col("url"))
-    rows = rows.select(site.alias("site"), "page_id", "url", "code", urls.path_of(F.col("url"), site).alias("path"), html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("content"), "html")
-    return rows.filter("site <> '' AND content <> ''")
+    # a generator over one text or none: as a filter, the text would be worked out twice
+    content = F.explode(F.filter(F.array(html.text(F.col("html"))), lambda t: t != ""))
+    rows = rows.filter(site != "").select(site.alias("site"), "page_id", "url", "code", urls.path_of(F.col("url"), site).alias("path"), html.title(F.col("html")).alias("title"), content.alias("content"), "html")
+    return rows
 
 
 def corpus_pages(documents: DataFrame) -> DataFrame:
