@@ -94,6 +94,7 @@ def test_rows_of_one_id_are_one_document(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     assert _groups(spark, [(3, a), (5, a), (5, b), (9, b), (12, c)]) == {(3, 3), (5, 3), (9, 3), (12, 12)}
     assert _groups(spark, [(5, a), (5, b), (7, b + " end"), (5, None), (8, None)]) == {(5, 5), (7, 5), (8, 8)}
+    assert _groups(spark, [(5, a), (5, ""), (7, a + " end"), (7, None), (8, "")]) == {(5, 5), (7, 5), (8, 8)}
 
 
 def test_complementary_words_differ(spark):

@@ -400,7 +400,7 @@ def _verified(table: pa.Table, width: int, per: int) -> pa.Table:
 
     def joined(a, b):
         a, b = order[a], order[b]
-        ok = (~mixed[group[a]] | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= per * np.maximum(n[a], n[b]))
+        ok = (n[a] > 0) & (~mixed[group[a]] | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= per * np.maximum(n[a], n[b]))
         some = np.flatnonzero(ok & (doc[a] != doc[b]))
         apart = n[a] + n[b] - 2 * need(n[a], n[b], per)
         for k in range(0, len(some), 4096):  # suffix filter
