@@ -161,6 +161,27 @@ def test_reach_has_no_silent_bound(spark):
     assert sorted((r.node, r.depth) for r in graph.reach(edges, seeds, ["site"]).collect()) == [(i, i) for i in range(41)]
 
 
+def test_reach_removes_what_nothing_reads(spark):
+    import pytest
+
+    from trawldex.operators import graph
+    from trawldex.sources import files
+    from trawldex.sources.scratch import scratch_dir
+
+    def tables():
+        return {n for n in files.names(spark, f"{scratch_dir(spark)}/trawldex") if n.startswith("reach-")}
+
+    edges = spark.createDataFrame([("s", i, i + 1) for i in range(36)], "site string, src int, dst int")
+    seeds = spark.createDataFrame([("s", 0)], "site string, node int")
+    before = tables()
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, seeds, ["site"], max_depth=2)
+    assert tables() == before
+    rows = graph.reach(edges, seeds, ["site"])
+    assert len(tables() - before) == 6  # what was visited after 32 rounds, the frontier of then, and four since
+    assert sorted((r.node, r.depth) for r in rows.collect()) == [(i, i) for i in range(37)]
+
+
 def test_route(spark):
     from trawldex.sources import tables
 

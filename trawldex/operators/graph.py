@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawldex.functions import html, urls
-from trawldex.sources.scratch import materialize
+from trawldex.sources.scratch import discard, materialize
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -27,20 +27,24 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int |
     """keys, node, depth of every node that seeds (keys, node) reach over edges (keys, src, dst).
 
     Each round expands only the last frontier, until there is none; if there still is one after max_depth rounds, this raises.
-    What is visited is a table in the scratch folder, written anew every 32 rounds, so lineage stays short.
+    What is visited is a table in the scratch folder, written anew every 32 rounds, so lineage stays short; the tables that it replaces go.
     """
-    visited = materialize(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "reach")
+    spark, made = seeds.sparkSession, []
+    visited = materialize(seeds.select(*keys, "node").distinct().withColumn("depth", F.lit(0)), "reach", made)
     frontier = visited
     for depth in count(1):
         step = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(visited, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        frontier = materialize(step.join(visited, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach", made)
         if frontier.isEmpty():
+            discard(spark, [made.pop()])
             return visited
         if max_depth is not None and depth > max_depth:
+            discard(spark, made)
             raise RuntimeError(f"nodes lie more than {max_depth} links from the seeds")
         visited = visited.unionByName(frontier)
         if depth % 32 == 0:
-            visited = materialize(visited, "reach")
+            visited = materialize(visited, "reach", made)
+            discard(spark, made, 2)  # the frontier and what is visited
 
 
 def crawl(roots: DataFrame, get: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
@@ -49,19 +53,23 @@ def crawl(roots: DataFrame, get: Callable[[DataFrame], DataFrame], max_depth: in
     get: gives (url, code, html) of addresses (url). Each round fetches what the last one found and nothing has visited under a leniently
     equal address; answers of 302 are dropped and not followed. If there is more after max_depth rounds, this raises.
     """
-    frontier = materialize(roots.select("site", "url").groupBy(urls.key(F.col("url")).alias("key")).agg(F.min_by("site", "url").alias("site"), F.min("url").alias("url")), "crawl")
+    spark, made = roots.sparkSession, []
+    frontier = materialize(roots.select("site", "url").groupBy(urls.key(F.col("url")).alias("key")).agg(F.min_by("site", "url").alias("site"), F.min("url").alias("url")), "crawl", made)
     seen, pages = frontier.select("key"), None
     for depth in count(0):
         if max_depth is not None and depth > max_depth:
+            discard(spark, made)
             raise RuntimeError(f"pages lie more than {max_depth} links from the roots")
         got = frontier.select("site", "url").join(get(frontier.select("url")).select("url", "code", "html"), "url")
-        got = materialize(got.filter("code IS NULL OR code <> 302").withColumn("depth", F.lit(depth)), "crawl")
+        got = materialize(got.filter("code IS NULL OR code <> 302").withColumn("depth", F.lit(depth)), "crawl", made)
         pages = got if pages is None else pages.unionByName(got)
         links = resolved_links(page_links(got.withColumn("page_id", F.lit(0))))
         step = links.select(urls.key(F.col("dst")).alias("key"), "site", F.col("dst").alias("url")).groupBy("key").agg(F.min_by("site", "url").alias("site"), F.min("url").alias("url"))
-        frontier = materialize(step.join(seen, "key", "left_anti"), "crawl")
+        frontier = materialize(step.join(seen, "key", "left_anti"), "crawl", made)
         if frontier.isEmpty():
+            discard(spark, [made.pop()])
             return pages.select("site", "url", "depth", "code", "html")
         seen = seen.unionByName(frontier.select("key"))
         if depth % 32 == 31:
-            seen, pages = materialize(seen, "crawl"), materialize(pages, "crawl")
+            seen, pages = materialize(seen, "crawl", made), materialize(pages, "crawl", made)
+            discard(spark, made, 3)  # the frontier, what is seen and the pages

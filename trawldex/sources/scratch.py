@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawldex.sources import files
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where the session names none, a temporary folder on one machine, and an error on a cluster."""
@@ -19,8 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the scratch folder and read it back: this cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """Write df to the scratch folder and read it back: this cuts the lineage and survives lost executors. `made` gets the path."""
     path = f"{scratch_dir(df.sparkSession)}/trawldex/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, made: list[str], last: int = 0) -> None:
+    """Remove the tables at the paths in made, but for the last ones, and take them out of the list."""
+    for path in made[: len(made) - last]:
+        files.delete(spark, path)
+    del made[: len(made) - last]
