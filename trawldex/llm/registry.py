@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawldex.llm import q_chat, q_decontam, q_licenses, q_lines, q_mixing, q_ngram, q_quality, q_sharding, q_suffix, q_tokens, q_warc
+from trawldex.llm import q_chat, q_decontam, q_licenses, q_lines, q_mixing, q_ngram, q_quality, q_repair, q_sharding, q_suffix, q_tokens, q_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_ngram_jaccard": q_ngram.op9_ngram_jaccard,
         "op10_quality_rules": q_quality.op10_quality_rules,
         "op12_line_dedup": q_lines.op12_line_dedup,
+        "op13_conversation_repair": q_repair.op13_conversation_repair,
     }
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard": q_ngram.OP9_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
         "op12_line_dedup": q_lines.OP12_SQL,
+        "op13_conversation_repair": q_repair.OP13_SQL,
     }
