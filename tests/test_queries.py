@@ -11,7 +11,7 @@ def test_query_matches_sql(name, same):
 
 
 def test_every_query_is_checked_by_sql_or_here():
-    assert set(core.queries()) - set(SQL) == {"snippets"}
+    assert set(core.queries()) == set(SQL)
 
 
 def test_snippets(spark, sf):

@@ -85,10 +85,9 @@ def test_relevance(spark, ranks, value):
         ("слово раз", 3, "слово раз"),
     ],
 )
-def test_snippet_borders(content, radius, cut):
+def test_snippet_borders(spark, content, radius, cut):
     at = content.index("слово")
-    left = snippets.border(content, max(0, at - 1), radius, False)
-    right = snippets.border(content, at + 5, radius, True)
+    left, right = spark.range(1).select(snippets.border(F.lit(content), F.lit(max(0, at - 1)), radius, False), snippets.border(F.lit(content), F.lit(at + 5), radius, True)).first()
     assert content[left:right] == cut
 
 
@@ -97,14 +96,16 @@ def test_snippet_borders(content, radius, cut):
     [([(0, 5), (3, 9), (20, 25)], [(0, 9), (20, 25)]), ([(0, 5), (5, 8)], [(0, 8)]), ([(0, 10), (2, 3)], [(0, 10)]), ([(0, 5), (6, 8)], [(0, 5), (6, 8)])],
 )
 def test_merge(spark, given, merged):
-    assert snippets.merge(given) == merged
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in given])
+    assert [tuple(s) for s in spark.range(1).select(snippets.merge(spans).alias("m")).first().m] == merged
     rows = spark.createDataFrame([(1, a, b) for a, b in given], "k int, start int, end int")
     assert sorted((r.start, r.end) for r in snippets.merge_intervals(rows, ["k"]).collect()) == merged
 
 
-def test_snippet_text():
-    assert snippets.snippet("<p>One two word three</p>", ["word"], 1) == "...  two <b>word</b> three ..."
-    assert snippets.snippet("nothing here", ["word"], 3) == ""
+def test_snippet_text(spark):
+    cut = lambda text, words, n: spark.range(1).select(snippets.snippet(F.lit(text), F.array(*map(F.lit, words)), n).alias("s")).first().s
+    assert cut("<p>One two word three</p>", ["word"], 1) == "...  two <b>word</b> three ..."
+    assert cut("nothing here", ["word"], 3) == ""
 
 
 def test_settings():
@@ -133,9 +134,8 @@ def test_statistics_defaults(spark):
 
     cfg = spark.createDataFrame([("http://a.b", "A"), ("http://c.d", "C")], "url string, name string")
     stored = spark.createDataFrame([("http://a.b", "INDEXED", None)], "url string, status string, last_error string").withColumn("status_time", F.timestamp_millis(F.lit(5000)))
-    pages = spark.createDataFrame([("http://a.b",)], "site string")
-    df = spark.createDataFrame([("http://a.b", "x", 1)], "site string, lemma string, frequency long")
-    rows = {r.url: r for r in stats.site_stats(cfg, stored, pages, df, F.timestamp_millis(F.lit(7000))).collect()}
+    counts = spark.createDataFrame([("http://a.b", 1, 1)], "site string, pages long, lemmas long")
+    rows = {r.url: r for r in stats.site_stats(cfg, stored, counts, F.timestamp_millis(F.lit(7000))).collect()}
     a, c = rows["http://a.b"], rows["http://c.d"]
     assert (a.status, a.status_time, a.error, a.pages, a.lemmas) == ("INDEXED", 5000, "", 1, 1)
     assert (c.status, c.status_time, c.error, c.pages, c.lemmas) == ("NOT INDEXED", 7000, "", 0, 0)

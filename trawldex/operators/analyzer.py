@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawldex.operators import morphology
+
 #: Letters of each profile, as the inside of a character class.
 ALPHABETS = {"ru": "А-Яа-яёЁ", "latin": r"\p{L}"}
 
@@ -51,15 +53,28 @@ def token_rows(rows: DataFrame, keys: list[str], text: str = "content", profile:
     return rows.select(*keys, F.posexplode(tokens(F.col(text), profile)).alias("pos", "word"))
 
 
-def analyses(words: DataFrame, lex: DataFrame) -> DataFrame:
-    """words plus lemma and part of speech of each analysis, prepositions, conjunctions and interjections included."""
-    found = words.join(lex, "word", "left")
-    return found.withColumn("lemma", F.coalesce("base_form", "word")).drop("base_form")
+def page_words(rows: DataFrame, keys: list[str], profile: str = "latin", text: str = "content") -> DataFrame:
+    """keys, word, n, pos (first place): distinct words, counted map-side, so that a lexicon meets each word of a page once."""
+    return token_rows(rows, keys, text, profile).groupBy(*keys, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
+def analyses(words: DataFrame, lex: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """words plus lemma and part of speech of each analysis, prepositions, conjunctions and interjections included.
+
+    A word that the lexicon does not list stands for itself or, with a model (see morphology.learn), for what its ending says. Then distinct words
+    are looked up and guessed, each once, and what they stand for is joined to the rows.
+    """
+    if model is None:
+        found = words.join(lex, "word", "left")
+        return found.withColumn("lemma", F.coalesce("base_form", "word")).drop("base_form")
+    listed = words.select("word").distinct().join(lex, "word", "left")
+    known = listed.filter("base_form IS NOT NULL").select("word", F.col("base_form").alias("lemma"), "pos_tag")
+    return words.join(known.unionByName(morphology.guess(listed.filter("base_form IS NULL").select("word"), model)), "word")
 
 
-def lemmas(words: DataFrame, lex: DataFrame) -> DataFrame:
+def lemmas(words: DataFrame, lex: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """words plus lemma: one row for each analysis that is kept."""
-    return analyses(words, lex).filter(F.coalesce(~F.col("pos_tag").isin(*STOP_POS), F.lit(True))).drop("pos_tag")
+    return analyses(words, lex, model).filter(F.coalesce(~F.col("pos_tag").isin(*STOP_POS), F.lit(True))).drop("pos_tag")
 
 
 def lexicon_for_join(lex: DataFrame) -> DataFrame:
@@ -67,10 +82,10 @@ def lexicon_for_join(lex: DataFrame) -> DataFrame:
     return lex.select("word", "base_form", F.col("pos").alias("pos_tag"))
 
 
-def query_lemmas(spark: SparkSession, query: str, lex: DataFrame, profile: str = "latin") -> DataFrame:
+def query_lemmas(spark: SparkSession, query: str, lex: DataFrame, profile: str = "latin", model: DataFrame | None = None) -> DataFrame:
     """Distinct lemmas of a query: as many rows as the query has words, at most a few more."""
     row = spark.range(1).select(F.lit(query).alias("content"))
-    return lemmas(token_rows(row, [], profile=profile), lex).select("lemma").distinct()
+    return lemmas(token_rows(row, [], profile=profile), lex, model).select("lemma").distinct()
 
 
 def matched_words(words: DataFrame, lex: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

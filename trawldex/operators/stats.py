@@ -16,17 +16,17 @@ def lemmas_per_site(df: DataFrame) -> DataFrame:
     return df.groupBy("site").agg(F.count("*").alias("n_lemmas"))
 
 
-def total_stats(sites: DataFrame, pages: DataFrame, df: DataFrame, indexing: bool = False) -> DataFrame:
-    names = ["sites", "pages", "lemmas"]
-    rows = [one.select(*[F.lit(int(n == name)).cast("long").alias(n) for n in names]) for name, one in zip(names, (sites, pages, df), strict=True)]
-    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return both.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names]).withColumn("indexing", F.lit(indexing))
+def total_stats(sites: DataFrame, counts: DataFrame, indexing: bool = False) -> DataFrame:
+    """Configured sites, and the sums of what is counted for each stored site (site, pages, lemmas)."""
+    none = F.lit(0).cast("long")
+    both = sites.select(F.lit(1).cast("long").alias("sites"), none.alias("pages"), none.alias("lemmas")).unionByName(counts.select(none.alias("sites"), "pages", "lemmas"))
+    return both.agg(*[F.coalesce(F.sum(n), none).alias(n) for n in both.columns]).withColumn("indexing", F.lit(indexing))
 
 
-def site_stats(configured: DataFrame, stored: DataFrame, pages: DataFrame, df: DataFrame, now=None) -> DataFrame:
-    """Every configured site (url, name) with status, counts and last error; sites that are not stored get defaults."""
+def site_stats(configured: DataFrame, stored: DataFrame, counts: DataFrame, now=None) -> DataFrame:
+    """Every configured site (url, name) with status, counts (site, pages, lemmas) and last error; sites that are not stored get defaults."""
     rows = configured.join(stored.select("url", "status", "status_time", "last_error"), "url", "left")
-    rows = rows.join(pages_per_site(pages).withColumnRenamed("site", "url"), "url", "left").join(lemmas_per_site(df).withColumnRenamed("site", "url"), "url", "left")
+    rows = rows.join(counts.select(F.col("site").alias("url"), F.col("pages").alias("n_pages"), F.col("lemmas").alias("n_lemmas")), "url", "left")
     has = F.col("status").isNotNull()
     zero = lambda c: F.when(has, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
     return rows.select(

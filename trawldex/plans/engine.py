@@ -31,11 +31,11 @@ class Engine:
     job group, so that stopping cancels its jobs; a build that is stopped or fails leaves the index as it was.
     """
 
-    def __init__(self, spark: SparkSession, settings: Settings, path: str, source: Callable[[], DataFrame], lex: DataFrame | None = None, profile: str = "latin"):
+    def __init__(self, spark: SparkSession, settings: Settings, path: str, source: Callable[[], DataFrame], lex: DataFrame | None = None, profile: str = "latin", model: DataFrame | None = None):
         self.spark, self.settings, self.path, self.source = spark, settings, path.rstrip("/"), source
         self.lex = analyzer.lexicon_for_join(analyzer.lexicon(spark) if lex is None else lex)
         self.profile = profile
-        self.store = Store(spark, f"{self.path}/index", self.lex, profile)
+        self.store = Store(spark, f"{self.path}/index", self.lex, profile, model)
         self._lock, self._worker, self._stopped = Lock(), None, False
         if settings.debug:
             log.setLevel(logging.DEBUG)
@@ -136,7 +136,7 @@ class Engine:
         found = results.matches(self.store, query, self.settings.max_relative_frequency, site).persist()
         try:
             count = found.count()
-            page = results.with_snippets(self.store, results.page(self.store, found, offset, limit), query, self.settings.snippet_radius)
+            page = results.with_snippets(self.store, found, query, self.settings.snippet_radius, offset, limit)
             rows = page.collect()  # at most `limit` rows
         finally:
             found.unpersist()
@@ -145,7 +145,7 @@ class Engine:
 
     def statistics(self) -> dict:
         """{result, statistics: {total, detailed}}: one item for each configured site."""
-        configured, pages, lemmas = self.settings.site_table(self.spark), self.store.pages().select("site"), self.store.lemmas()
-        total = stats.total_stats(configured, pages, lemmas, self.is_indexing()).first().asDict()
-        detailed = [r.asDict() for r in stats.site_stats(configured, self.sites(), pages, lemmas).orderBy("url").collect()]  # one row a configured site
+        configured, counts = self.settings.site_table(self.spark), self.store.counts()
+        total = stats.total_stats(configured, counts, self.is_indexing()).first().asDict()
+        detailed = [r.asDict() for r in stats.site_stats(configured, self.sites(), counts).orderBy("url").collect()]  # one row a configured site
         return {"result": True, "statistics": {"total": total, "detailed": detailed}}

@@ -22,6 +22,8 @@ _TOKENS = r"""list_filter(string_split(lower(regexp_replace(regexp_replace(regex
 _FILE = r"[.](?:[^h/][^/]*|h|h[^t/][^/]*|ht|ht[^m/][^/]*)$"
 _STOP = ", ".join(map(_text, STOP_POS))
 
+_ENDINGS = "(VALUES ('s', 'NOUN'), ('e', 'ADJ'), ('n', 'VERB'), ('en', 'VERB'), ('er', 'NOUN'), ('er', 'ADJ'), ('ment', 'ADV')) AS e(e, pos_tag)"
+
 _CTE = {
     "raw": ("", "SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site FROM pages"),
     "pg": ("raw", rf"""SELECT site, page_id, url, CASE WHEN url = site THEN '/' ELSE replace(url, site, '') END AS path,
@@ -47,12 +49,15 @@ _CTE = {
     "nl": ("ln", rf"""SELECT *, CASE WHEN contains(l, '?') THEN split_part(l, '?', 1) WHEN strpos(l, '#') > 1 THEN split_part(l, '#', 1) ELSE l END AS link FROM (
         SELECT *, CASE WHEN starts_with(h, '/') THEN regexp_replace(site, '/$', '') || h ELSE h END AS l FROM (
         SELECT *, CASE WHEN href = '/' OR regexp_matches(href, '{_FILE}') THEN site ELSE href END AS h FROM ln))"""),
+    "bd": ("", f"SELECT page_id, replace(regexp_replace(html, {_text(html.INLINE)}, '', 'g'), chr(10), ' ') AS body FROM pages"),
     "mw": ("lm q", "SELECT page_id, word, min(pos) AS first_pos FROM lm WHERE lemma IN (SELECT lemma FROM q) GROUP BY page_id, word"),
     "cfg": ("raw", "SELECT url, regexp_replace(url, '^https?://', '') AS name FROM (SELECT DISTINCT site AS url FROM raw UNION ALL SELECT 'http://never.example.com')"),
     "rv": ("ok", "SELECT site, page_id, concat_ws(' ', title, title) AS content FROM ok WHERE (site, page_id) IN (SELECT (site, min(page_id)) FROM ok GROUP BY site)"),
     "rw": ("rv", f"SELECT site, page_id, unnest({_TOKENS.format('content')}) AS word FROM rv"),
     "rt": ("rw lex", f"SELECT site, page_id, coalesce(base_form, rw.word) AS lemma, CAST(count(*) AS DOUBLE) AS rank FROM rw LEFT JOIN lex ON lex.word = rw.word WHERE coalesce(pos_tag, '') NOT IN ({_STOP}) GROUP BY ALL"),
     "dk": ("", f"SELECT source AS site, doc_id AS page_id, unnest({_TOKENS.format('text')}) AS word FROM documents WHERE text <> ''"),
+    "vw": ("dk", "SELECT DISTINCT word FROM dk"),
+    "dl": ("vw", f"SELECT v.word, b.word AS base_form, pos_tag FROM vw v JOIN {_ENDINGS} ON ends_with(v.word, e) JOIN vw b ON b.word = left(v.word, length(v.word) - length(e)) WHERE length(b.word) >= 4"),
     "dt": ("dk lex", f"SELECT site, page_id, coalesce(base_form, dk.word) AS lemma, CAST(count(*) AS DOUBLE) AS rank FROM dk LEFT JOIN lex ON lex.word = dk.word WHERE coalesce(pos_tag, '') NOT IN ({_STOP}) GROUP BY ALL"),
 }
 
@@ -72,6 +77,26 @@ def _with(uses: str, body: str, recursive: str = "") -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body if parts else body
 
 
+
+def _taught(lexicon: str) -> str:
+    """CTEs `nd` (suffix, rules) that the entries of a relation teach."""
+    return f"""ru AS (SELECT word, length(word) - stem AS strip, substr(base_form, stem + 1) AS ending, pos_tag FROM (SELECT DISTINCT word, base_form, pos_tag,
+        len(list_filter(range(1, least(length(word), length(base_form)) + 1), lambda i: substr(word, 1, i) = substr(base_form, 1, i))) AS stem FROM {lexicon}) WHERE stem >= 2 AND length(word) - stem <= 8),
+    sx AS (SELECT *, unnest(range(greatest(strip, 1), least(length(word), 8) + 1)) AS k FROM ru),
+    ct AS (SELECT right(word, k) AS suffix, strip, ending, pos_tag, count(*) AS n FROM sx GROUP BY ALL),
+    kp AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY suffix) AS most FROM ct) WHERE n >= 2 AND n >= most * 0.25),
+    nx AS (SELECT suffix, list({{'strip': strip, 'ending': ending, 'pos_tag': pos_tag}} ORDER BY strip, ending, pos_tag) AS rules FROM kp GROUP BY suffix),
+    nd AS MATERIALIZED (SELECT a.suffix, a.rules FROM nx a LEFT JOIN nx b ON b.suffix = right(a.suffix, length(a.suffix) - 1) WHERE b.rules IS NULL OR b.rules <> a.rules)"""
+
+
+def _guessed(words: str) -> str:
+    """CTE `gs` (word, lemma, pos_tag) of distinct words."""
+    return f"""cd AS (SELECT word, unnest(range(1, least(length(word), 8) + 1)) AS k FROM {words}),
+    bs AS (SELECT word, arg_max(rules, k) AS rules FROM cd JOIN nd ON nd.suffix = right(word, k) GROUP BY word),
+    us AS (SELECT u.word, list_filter(coalesce(rules, []), lambda r: length(u.word) - r.strip >= 2) AS rules FROM {words} u LEFT JOIN bs USING (word)),
+    gs AS MATERIALIZED (SELECT word, substr(word, 1, length(word) - r.strip) || r.ending AS lemma, r.pos_tag AS pos_tag FROM (SELECT word, unnest(rules) AS r FROM us) UNION ALL SELECT word, word, NULL FROM us WHERE len(rules) = 0)"""
+
+
 def _key(u: str) -> str:
     return f"CASE WHEN length({u}) <= 1 OR ends_with({u}, '/') THEN {u} ELSE {u} || '/' END"
 
@@ -105,6 +130,15 @@ def sql() -> dict[str, str]:
         "tokenize_docs": _with("dk", "SELECT page_id, count(*) AS n_tokens, count(DISTINCT word) AS n_distinct FROM dk GROUP BY page_id"),
         "lemmatize": _with("an", "SELECT site, page_id, pos, word, lemma, pos_tag FROM an"),
         "stop_filter": _with("lm", "SELECT page_id, pos, lemma FROM lm"),
+        "morph_rules": _with("dl", "SELECT suffix, r.strip AS strip, r.ending AS ending, r.pos_tag AS pos_tag FROM (SELECT suffix, unnest(rules) AS r FROM nd)", _taught("dl")),
+        "morph_pages": _with("dl w lex", "SELECT word, lemma, coalesce(pos_tag, '') AS pos_tag FROM gs UNION ALL SELECT word, base_form, pos_tag FROM lex WHERE word IN (SELECT word FROM w)",
+            f"{_taught('dl')}, uw AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM lex)), {_guessed('uw')}"),
+        "morph_terms": _with("dl dk lex", f"""SELECT site, lemma, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS frequency FROM (SELECT site, page_id, lemma, count(*) AS n FROM dk JOIN an2 USING (word) WHERE coalesce(pos_tag, '') NOT IN ({_STOP})
+            GROUP BY site, page_id, lemma) GROUP BY site, lemma""", f"{_taught('dl')}, uw AS (SELECT DISTINCT word FROM dk WHERE word NOT IN (SELECT word FROM lex)), {_guessed('uw')}, an2 AS (SELECT * FROM gs UNION ALL SELECT word, base_form, pos_tag FROM lex)"),
+        "morph_accuracy": _with("dl", """SELECT count(*) AS words, CAST(count(*) FILTER (list_has_any(wl, gl)) AS BIGINT) AS hits, CAST(count(*) FILTER (wa = ga) AS BIGINT) AS exact FROM
+            (SELECT word, list(DISTINCT base_form) AS wl, list_sort(list(DISTINCT base_form || ' ' || pos_tag)) AS wa FROM dl WHERE unicode(word) % 5 = 0 GROUP BY word) JOIN
+            (SELECT word, list(DISTINCT lemma) AS gl, list_sort(list(DISTINCT lemma || ' ' || coalesce(pos_tag, '?'))) AS ga FROM gs GROUP BY word) USING (word)""",
+            f"tr AS (SELECT * FROM dl WHERE unicode(word) % 5 <> 0), {_taught('tr')}, uw AS (SELECT DISTINCT word FROM dl WHERE unicode(word) % 5 = 0), {_guessed('uw')}"),
         "query_lemmas": _with("q", "SELECT lemma FROM q"),
         "matched_words": _with("mw", "SELECT page_id, word, first_pos FROM mw"),
         "term_freq": _with("tf", "SELECT site, page_id, lemma, rank FROM tf"),
@@ -139,6 +173,21 @@ def sql() -> dict[str, str]:
             SELECT page_id, CAST(greatest(first_pos + 1 - {RADIUS}, 1) AS BIGINT) AS a, CAST(first_pos + 1 + {RADIUS} AS BIGINT) AS b FROM mw))) GROUP BY page_id, i"""),
         "highlight": _with("mw ok", """SELECT page_id, word, CASE WHEN strpos(content, word) > 0 THEN substr(content, 1, strpos(content, word) - 1) || '<b>' || word || '</b>'
             || substr(content, strpos(content, word) + length(word)) ELSE content END AS marked FROM mw JOIN ok USING (page_id)"""),
+        "snippets": _with("res mw bd", f"""SELECT site, page_id, uri, title, relevance, CASE WHEN pieces IS NULL THEN '' ELSE list_reduce(words, lambda t, w: CASE WHEN strpos(lower(t), w) = 0 THEN t ELSE
+            substr(t, 1, strpos(lower(t), w) - 1) || '<b>' || substr(t, strpos(lower(t), w), length(w)) || '</b>' || substr(t, strpos(lower(t), w) + length(w)) END, '... ' || pieces || ' ...') END AS snippet
+            FROM tw LEFT JOIN pc USING (page_id)""", rf"""top AS ({page} {order} LIMIT 20),
+            tw AS MATERIALIZED (SELECT site, page_id, uri, title, relevance, body, list(word ORDER BY first_pos, word) FILTER (word IS NOT NULL) AS words FROM top JOIN bd USING (page_id) LEFT JOIN mw USING (page_id) GROUP BY ALL),
+            oc AS (SELECT page_id, body, w, strpos(lower(body), w) - 1 AS p FROM (SELECT page_id, body, unnest(words) AS w FROM tw)),
+            sd AS (SELECT *, regexp_extract(substr(body, 1, greatest(p - 1, 0) + 1), '[^>]*\z') AS l, regexp_extract(substr(body, p + length(w) + 1), '^[^<]*') AS r FROM oc WHERE p >= 0),
+            we AS (SELECT *, regexp_extract(l, '(?:^|[^\p{{L}}-])[\p{{L}}-]+(?:[^\p{{L}}-]+[\p{{L}}-]+){{{RADIUS - 1}}}[^\p{{L}}-]*\z') AS lw, regexp_extract(r, '^[^\p{{L}}-]*[\p{{L}}-]+(?:[^\p{{L}}-]+[\p{{L}}-]+){{{RADIUS - 1}}}') AS rw FROM sd),
+            iv AS (SELECT page_id, body, greatest(p - 1, 0) + 1 - length(CASE WHEN lw <> '' THEN lw ELSE l END) AS a, p + length(w) + length(CASE WHEN rw <> '' THEN rw ELSE r END) AS b FROM we),
+            fr AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM iv),
+            il AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM fr),
+            pc AS (SELECT page_id, string_agg(substr(body, a + 1, b - a), ' ... <...> ... ' ORDER BY a) AS pieces FROM (SELECT page_id, any_value(body) AS body, i, min(a) AS a, max(b) AS b FROM il GROUP BY page_id, i) GROUP BY page_id)"""),
+        "search_blocks": _with("tf kept df", """SELECT site, lemma, count(*) AS n_blocks, CAST(count(*) FILTER (r.block IS NOT NULL) AS BIGINT) AS n_read, CAST(count(*) FILTER (r.block IS NULL) AS BIGINT) AS n_skipped
+            FROM bl LEFT JOIN ra r USING (site, block) GROUP BY site, lemma""", """bl AS MATERIALIZED (SELECT DISTINCT site, lemma, page_id // 256 AS block FROM tf JOIN kept USING (site, lemma)),
+            fi AS (SELECT site, arg_min(lemma, (frequency, lemma)) AS lemma FROM df JOIN kept USING (site, lemma) GROUP BY site),
+            ra AS MATERIALIZED (SELECT site, block FROM bl JOIN fi USING (site, lemma))"""),
         "reindex_cleanup": _with("tf raw", "SELECT site, page_id, lemma, rank FROM tf WHERE site NOT IN (SELECT site FROM raw ORDER BY page_id LIMIT 10)"),
         "upsert_page": _with("tf rv rt", "SELECT site, page_id, lemma, rank FROM tf WHERE (site, page_id) NOT IN (SELECT (site, page_id) FROM rv) UNION ALL SELECT site, page_id, lemma, rank FROM rt"),
         "upsert_lemma_df": _with("tf rv rt", "SELECT site, lemma, count(*) AS frequency FROM (SELECT site, page_id, lemma FROM tf WHERE (site, page_id) NOT IN (SELECT (site, page_id) FROM rv) UNION ALL SELECT site, page_id, lemma FROM rt) GROUP BY site, lemma"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawldex.functions import html, numbers, urls
-from trawldex.operators import analyzer, graph, index, search, snippets, stats
+from trawldex.operators import analyzer, graph, index, morphology, search, snippets, stats
 from trawldex.plans import oracle, results, views
 from trawldex.plans.store import opened
 from trawldex.sources import tables
@@ -56,9 +56,10 @@ def page_path(spark, sf):
 
 
 def page_by_path(spark, sf):
+    """The page with the path that the first page has, by the stored paths: one key, one part."""
     rows = _raw(spark, sf).select("site", "page_id", urls.path_of(F.col("url"), F.col("site")).alias("path"))
-    one = rows.agg(F.min_by(F.struct("site", "path"), "page_id").alias("k")).select("k.site", "k.path")
-    return rows.join(F.broadcast(one), ["site", "path"], "left_semi").select("site", "path", "page_id")
+    one = rows.agg(F.min_by(F.struct("site", "path"), "page_id").alias("k")).select("k.site", "k.path").first()
+    return views.store(spark, sf).by_path(one.site, one.path).select("site", "path", "page_id")
 
 
 def page_title(spark, sf):
@@ -135,6 +136,30 @@ def stop_filter(spark, sf):
     return analyzer.lemmas(views.words(spark, sf), views.lex(spark)).select("page_id", "pos", "lemma")
 
 
+def morph_rules(spark, sf):
+    """The trie of endings that the documents teach: one row for each rule of a suffix."""
+    return views.model(spark, sf).select("suffix", F.explode("rules").alias("r")).select("suffix", F.col("r.strip").cast("long").alias("strip"), "r.ending", "r.pos_tag")
+
+
+def morph_pages(spark, sf):
+    """Analyses of every word of the pages: listed, guessed by its ending, or itself."""
+    words = views.words(spark, sf).select("word").distinct()
+    return analyzer.analyses(words, views.lex(spark), views.model(spark, sf)).select("word", "lemma", F.coalesce("pos_tag", F.lit("")).alias("pos_tag"))
+
+
+def morph_terms(spark, sf):
+    """Occurrences and documents of each kept lemma by source, with guessed lemmas: words are counted before they are analysed."""
+    words = analyzer.page_words(tables.corpus_pages(tables.load(spark, sf, "documents")), ["site", "page_id"])
+    kept = analyzer.lemmas(words, views.lex(spark), views.model(spark, sf)).groupBy("site", "page_id", "lemma").agg(F.sum("n").alias("n"))
+    return kept.groupBy("site", "lemma").agg(F.sum("n").alias("occurrences"), F.count("*").alias("frequency"))
+
+
+def morph_accuracy(spark, sf):
+    """Held-out words of the documents' own lexicon, and how many of them the rest teaches."""
+    lex = materialize(views.derived_lex(spark, sf), "derived")
+    return morphology.accuracy(lex.filter(~views.held_out()), lex.filter(views.held_out()))
+
+
 def query_lemmas(spark, sf):
     return views.wanted(spark)
 
@@ -170,8 +195,7 @@ def lemma_in_list(spark, sf):
 
 
 def postings_of_page(spark, sf):
-    one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
-    return views.store(spark, sf).postings().join(F.broadcast(one), "page_id", "left_semi").select("page_id", "lemma", "rank")
+    return _of_first_page(spark, sf).select("page_id", "lemma", "rank")
 
 
 def postings_semi(spark, sf):
@@ -181,21 +205,22 @@ def postings_semi(spark, sf):
 
 def lemmas_of_page(spark, sf):
     """Stored lemma rows of the lemmas that the first page holds."""
-    page = _of_first_page(spark, sf)
-    return views.store(spark, sf).lemmas().join(page.select("site", "lemma"), ["site", "lemma"], "left_semi")
+    at, page = views.store(spark, sf), _of_first_page(spark, sf)
+    return at.lemmas_of(page).join(page.select("site", "lemma"), ["site", "lemma"], "left_semi")
 
 
 def _of_first_page(spark, sf):
-    one = _raw(spark, sf).agg(F.min("page_id").alias("page_id"))
-    return views.store(spark, sf).postings().join(F.broadcast(one), "page_id", "left_semi")
+    """Postings of the page with the least id, by its key in the forward index."""
+    one = _raw(spark, sf).agg(F.min_by(F.struct("site", "page_id"), "page_id").alias("k")).select("k.*").first()
+    return views.store(spark, sf).postings_of([(one.site, one.page_id)])
 
 
 def pages_per_site(spark, sf):
-    return stats.pages_per_site(views.store(spark, sf).pages().select("site"))
+    return views.store(spark, sf).counts().select("site", F.col("pages").alias("n_pages"))
 
 
 def lemmas_per_site(spark, sf):
-    return stats.lemmas_per_site(views.store(spark, sf).lemmas())
+    return views.store(spark, sf).counts().filter("lemmas > 0").select("site", F.col("lemmas").alias("n_lemmas"))
 
 
 def _configured(spark, sf):
@@ -205,15 +230,13 @@ def _configured(spark, sf):
 
 
 def total_stats(spark, sf):
-    at = views.store(spark, sf)
-    return stats.total_stats(_configured(spark, sf), at.pages(), at.lemmas())
+    return stats.total_stats(_configured(spark, sf), views.store(spark, sf).counts())
 
 
 def site_stats(spark, sf):
     at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
     stored = tables.mark_sites(_configured(spark, sf).filter("url NOT LIKE '%never%'"), "INDEXED", at)
-    built = views.store(spark, sf)
-    return stats.site_stats(_configured(spark, sf), stored, built.pages().select("site"), built.lemmas(), at)
+    return stats.site_stats(_configured(spark, sf), stored, views.store(spark, sf).counts(), at)
 
 
 def fmt_status_time(spark, sf):
@@ -249,9 +272,18 @@ def search_top(spark, sf):
 
 
 def search_site(spark, sf):
+    at, site = views.store(spark, sf), _first_site(spark, sf).first().site
+    return results.page(at, results.matches(at, views.QUERY, views.MOST, site), limit=None)
+
+
+def search_blocks(spark, sf):
+    """Blocks of postings of each kept lemma, and how many of them a search opens: those where the site's rarest lemma has pages."""
     at = views.store(spark, sf)
-    found = _of_first_site(results.matches(at, views.QUERY, views.MOST), spark, sf)
-    return results.page(at, found, limit=None)
+    lemmas = results.query_lemmas(at, views.QUERY)
+    every, wanted = results.candidate_blocks(at, results.kept_lemmas(at, lemmas, views.MOST), lemmas)
+    count = lambda rows, n: rows.groupBy("site", "lemma").agg(F.count("*").alias(n))
+    rows = count(every, "n_blocks").join(count(wanted, "n_read"), ["site", "lemma"], "left").withColumn("n_read", F.coalesce("n_read", F.lit(0).cast("long")))
+    return rows.select("site", "lemma", "n_blocks", "n_read", (F.col("n_blocks") - F.col("n_read")).alias("n_skipped"))
 
 
 def search_page2(spark, sf):
@@ -292,7 +324,7 @@ def highlight(spark, sf):
 def snippets_top(spark, sf):
     """The first result page with snippets: they are cut from its rows only."""
     at = views.store(spark, sf)
-    return results.with_snippets(at, views.results(spark, sf), views.QUERY, views.RADIUS)
+    return results.with_snippets(at, results.matches(at, views.QUERY, views.MOST), views.QUERY, views.RADIUS)
 
 
 def reindex_cleanup(spark, sf):
@@ -325,10 +357,10 @@ def upsert_lemma_df(spark, sf):
 _NAMES = {"search_top": "search", "snippets_top": "snippets"}
 _ALL: list[Query] = [
     build_index, crawl_links, scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, strip_inline_tags, extract_links, normalize_url,
-    is_file_link, valid_site_url, dedupe_urls, resolve_links, site_routing, crawl_reach, tokenize_docs, lemmatize, stop_filter, query_lemmas,
+    is_file_link, valid_site_url, dedupe_urls, resolve_links, site_routing, crawl_reach, tokenize_docs, lemmatize, stop_filter, morph_rules, morph_pages, morph_terms, morph_accuracy, query_lemmas,
     matched_words, term_freq, doc_freq, postings, doc_postings, lemmas_of_site, lemma_in_list, postings_of_page, postings_semi, lemmas_of_page,
     pages_per_site, lemmas_per_site, total_stats, site_stats, fmt_status_time, high_freq_filter, rare_first, pages_all_lemmas, relevance,
-    round_relevance, search_all, search_top, search_site, search_page2, search_count, word_positions, snippet_window, merge_intervals, highlight,
+    round_relevance, search_all, search_top, search_blocks, search_site, search_page2, search_count, word_positions, snippet_window, merge_intervals, highlight,
     snippets_top, reindex_cleanup, upsert_page, upsert_lemma_df,
 ]
 

@@ -1,11 +1,16 @@
-"""The persisted index: sites, pages, lemmas and postings, written once and kept up to date by small layers.
+"""The persisted index: pages, forward index, postings, lemmas and counts, written once and kept up to date by small layers.
 
-A full build is layer 0. Each later change writes a layer of its own: the pages that it replaces or removes (`gone`), their new rows, and
-signed document frequencies. Readers take a page's rows from its latest layer and add up frequencies; `compact` folds all layers into a
-new base. A layer counts once its marker stands, so a build or an update that is lost half-way changes nothing.
+A full build is layer 0. Each later change writes a layer of its own: the keys that it replaces or removes (`gone`), their new rows, and
+signed document frequencies and counts. Readers take a page's rows from its latest layer and add up frequencies and counts; `fold` makes one
+layer of the small ones, `compact` makes a new base. A layer counts once its marker stands, so a build or an update that is lost half-way
+changes nothing; its number is claimed first, so two sessions never write the same one. Folding and compacting want no other writer beside them.
 
-Tables are laid out by hash parts: pages by site, lemmas and postings by lemma, sorted inside, and written through a rebalance that
-splits large parts and joins small ones. A search reads the parts of its lemmas only; lemma and site filters reach the Parquet scan.
+Two orders are kept of the same terms. Forward, by page: every (lemma, word) of a page with its count and first place, laid out by hash parts of
+the page's key, as the pages are. Inverted, by lemma: blocks of BLOCK page ids, each holding offsets and ranks of the pages in it, laid out by hash
+parts of the lemma. A page lies in the same block for all lemmas, so where a rare lemma has no page the blocks of a frequent one are not read.
+Replacing a page reads its own rows of the forward index and the lemmas that change; a layer of less than 1 MB is one file a table.
+
+Pages given twice count once: of leniently equal addresses of a site the least page id stays.
 """
 
 from __future__ import annotations
@@ -23,69 +28,128 @@ from trawldex.sources import files, tables
 PART_BYTES = 64 << 20
 LEAST_BYTES = 1 << 20
 MOST_PARTS = 4096
+MOST_LAYERS = 16  # more small ones than this are folded
+MOST_KEYS = 1000  # keys that become literals of a filter
+BITS = 8
+BLOCK = 1 << BITS
+ANY = -1  # the part of small layers: one file, read for every key
+TERMS = "array<struct<lemma:string,word:string,pos:int,n:bigint>>"
 TABLES = {
     "pages": "site string, page_id long, url string, path string, code int, title string, content string, body string, part int, layer int",
-    "postings": "site string, page_id long, lemma string, rank double, part int, layer int",
+    "paths": "site string, path string, page_id long, part int, layer int",
+    "forward": f"site string, page_id long, terms {TERMS}, part int, layer int",
+    "postings": "site string, lemma string, block long, n int, lo long, hi long, offsets array<smallint>, ranks array<double>, part int, layer int",
     "lemmas": "site string, lemma string, frequency long, part int, layer int",
+    "counts": "site string, pages long, lemmas long, layer int",
     "gone": "site string, page_id long, layer int",
 }
+SORTED = {"pages": ["site", "page_id"], "paths": ["site", "path"], "forward": ["site", "page_id"], "postings": ["lemma", "site", "block"], "lemmas": ["lemma", "site"]}
+KEYED = {"pages": ("site", "page_id"), "paths": ("site", "path"), "forward": ("site", "page_id"), "postings": ("lemma",), "lemmas": ("lemma",)}
+PAGE = ("site", "page_id")
+
+
+def _part(names: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+
+
+def _blocks(terms: DataFrame) -> DataFrame:
+    """Postings (site, page_id, lemma, rank) as rows of at most BLOCK pages."""
+    rows = terms.withColumn("block", F.shiftright("page_id", BITS))
+    held = rows.groupBy("site", "lemma", "block").agg(F.array_sort(F.collect_list(F.struct((F.col("page_id") - F.col("block") * BLOCK).cast("smallint").alias("o"), F.col("rank").alias("r")))).alias("h"))
+    at = lambda i: F.col("block") * BLOCK + F.element_at("h", i)["o"]
+    return held.select("site", "lemma", "block", F.size("h").alias("n"), at(1).alias("lo"), at(-1).alias("hi"), F.col("h.o").alias("offsets"), F.col("h.r").alias("ranks"))
 
 
-def _part(column: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+def unblocked(blocks: DataFrame) -> DataFrame:
+    """The postings that blocks hold."""
+    rows = blocks.select(*[c for c in blocks.columns if c not in ("n", "lo", "hi", "offsets", "ranks")], F.explode(F.arrays_zip("offsets", "ranks")).alias("p"))
+    kept = [c for c in rows.columns if c not in ("p", "block")]
+    return rows.select(*kept, (F.col("block") * BLOCK + F.col("p.offsets")).alias("page_id"), F.col("p.ranks").alias("rank"))
 
 
 class Store:
     """An index in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, lex: DataFrame, profile: str = "latin"):
-        self.spark, self.path, self.lex, self.profile = spark, path.rstrip("/"), lex, profile
+    def __init__(self, spark: SparkSession, path: str, lex: DataFrame, profile: str = "latin", model: DataFrame | None = None):
+        self.spark, self.path, self.lex, self.profile, self.model = spark, path.rstrip("/"), lex, profile, model
 
     # layers
 
+    def _markers(self) -> list[tuple[int, int, str, str]]:
+        """(layer, parts, kind, tag) of every layer that was finished."""
+        found = [n.split("-", 4) for n in files.names(self.spark, f"{self.path}/done")]
+        return sorted((int(f[1]), int(f[2]), f[3], f[4] if len(f) > 4 else "") for f in found)
+
     def layers(self) -> list[tuple[int, int]]:
-        """(layer, parts) of the layers that count: from the latest base on."""
-        found = sorted((int(n.split("-")[1]), int(n.split("-")[2]), n.endswith("-base")) for n in files.names(self.spark, f"{self.path}/done"))
-        start = max((i for i, f in enumerate(found) if f[2]), default=0)
-        return [(n, parts) for n, parts, _ in found[start:]]
+        """(layer, parts) of the layers that count: the latest base, the latest fold on it, and what came after."""
+        found = self._markers()
+        start = max((i for i, f in enumerate(found) if f[2] == "base"), default=0)
+        fold = max((i for i, f in enumerate(found) if f[2] == "fold" and i > start), default=start + 1)
+        return [f[:2] for f in found[start : start + 1] + found[fold:]]
 
     def _next(self) -> int:
-        return max((int(n.split("-")[1]) for n in files.names(self.spark, f"{self.path}/done")), default=-1) + 1
-
-    def _write(self, rows: DataFrame, name: str, layer: int, sort: Sequence[str]) -> None:
-        names = [c.split()[0] for c in TABLES[name].split(", ") if not c.startswith("layer")]
-        rows = rows.select(*names)
-        if "part" in names:
-            rows.hint("rebalance", "part").sortWithinPartitions("part", *sort).write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/{name}/layer={layer}")
-        else:
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/layer={layer}")
-
-    def _done(self, layer: int, parts: int, base: bool = False) -> None:
-        files.touch(self.spark, f"{self.path}/done/layer-{layer}-{parts}-{'base' if base else 'more'}")
-
-    def _table(self, name: str, layer: int) -> DataFrame:
-        schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("layer"))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/layer={layer}")
+        """The number of a new layer, claimed for this session."""
+        n = max((int(x.split("-")[1]) for x in files.names(self.spark, f"{self.path}/claims")), default=-1) + 1
+        while not files.claim(self.spark, f"{self.path}/claims/layer-{n}"):
+            n += 1
+        return n
+
+    def _write(self, rows: DataFrame, name: str, layer: int, parts: int) -> None:
+        """A table of a layer: by hash parts, or (parts 0) as one file."""
+        names = [c.split()[0] for c in TABLES[name].split(", ") if c.split()[0] not in ("layer", "part")]
+        rows, at = rows.select(*names), f"{self.path}/{name}/layer={layer}"
+        if name not in SORTED:
+            (rows if parts else rows.coalesce(1)).write.mode("overwrite").parquet(at)
+            return
+        rows = rows.withColumn("part", _part(KEYED[name], parts) if parts else F.lit(ANY))
+        rows = rows.hint("rebalance", "part") if parts else rows.coalesce(1)
+        writer = rows.sortWithinPartitions("part", *SORTED[name]).write.partitionBy("part").mode("overwrite")
+        writer.option(f"parquet.bloom.filter.enabled#{KEYED[name][-1]}", "true").parquet(at)
+
+    def _done(self, layer: int, parts: int, kind: str = "more", tag: str = "") -> None:
+        files.touch(self.spark, f"{self.path}/done/layer-{layer}-{parts}-{kind}-{tag}")
+
+    def _of_layers(self, name: str, layers: Sequence[int]) -> DataFrame:
+        """Rows of some layers, as one scan."""
+        found = [f"{self.path}/{name}/layer={n}" for n in layers]
+        found = [p for p in found if files.exists(self.spark, p)]
+        if not found:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*found)
 
     def _read(self, name: str) -> DataFrame:
-        """All rows of the layers that count, with their layer."""
-        out = None
-        for n, _ in self.layers():
-            if files.exists(self.spark, f"{self.path}/{name}/layer={n}"):
-                rows = self._table(name, n).withColumn("layer", F.lit(n))
-                out = rows if out is None else out.unionByName(rows)
-        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
+        return self._of_layers(name, [n for n, _ in self.layers()])
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         """Rows of pages that no later layer replaces."""
-        if len(self.layers()) > 1:
-            last = self._read("gone").groupBy("site", "page_id").agg(F.max("layer").alias("last"))
-            rows = rows.join(last, ["site", "page_id"], "left").filter("last IS NULL OR layer >= last").drop("last")
+        layers = self.layers()
+        if len(layers) > 1:
+            last = self._of_layers("gone", [n for n, _ in layers[1:]]).groupBy(*PAGE).agg(F.max("layer").alias("last"))
+            rows = rows.join(last, list(PAGE), "left").filter("last IS NULL OR layer >= last").drop("last")
         return rows.drop("layer", "part")
 
     def exists(self) -> bool:
         return bool(self.layers())
 
+    # keys
+
+    def _of(self, rows: DataFrame, name: str, keys: Sequence[tuple]) -> DataFrame:
+        """Rows with one of at most MOST_KEYS keys: a filter on their parts, which prunes folders, and filters that are pushed to the scan."""
+        columns, parts = KEYED[name], self.layers()[0][1] if self.exists() else 1
+        kinds = dict(c.split()[:2] for c in TABLES[name].split(", "))
+        wanted = self.spark.createDataFrame(list(keys), ", ".join(f"{c} {kinds[c]}" for c in columns))
+        mine = {r[0] for r in wanted.select(_part(columns, parts)).distinct().collect()}
+        mine |= {ANY} if any(k != "base" for _, _, k, _ in self._markers()) else set()
+        rows = rows.filter(F.col("part").isin(*sorted(mine)))
+        for i, c in enumerate(columns):
+            rows = rows.filter(F.col(c).isin(*sorted({k[i] for k in keys})))
+        return rows.join(F.broadcast(wanted.distinct()), list(columns), "left_semi") if len(columns) > 1 else rows
+
+    def _few(self, keys: DataFrame) -> list[tuple] | None:
+        """The keys as literals, if they are few."""
+        found = [tuple(r) for r in keys.limit(MOST_KEYS + 1).collect()]
+        return found if len(found) <= MOST_KEYS else None
+
     # writing
 
     def _page_rows(self, pages: DataFrame, code: Column | None) -> DataFrame:
@@ -94,83 +158,161 @@ class Store:
         body = html.strip_inline_tags(F.col("html"))
         return rows.select("site", "page_id", "url", "path", "code", "title", "content", body.alias("body"))
 
-    def _terms(self, pages: DataFrame) -> DataFrame:
-        return index.term_freq(analyzer.lemmas(analyzer.token_rows(pages, ["site", "page_id"], profile=self.profile), self.lex))
-
     def _layer(self, pages: DataFrame, layer: int, parts: int) -> None:
-        self._write(pages.withColumn("part", _part("site", parts)), "pages", layer, ["site", "path"])
-        written = self._table("pages", layer)
-        terms = self._terms(written.select("site", "page_id", "content")).withColumn("part", _part("lemma", parts))
-        self._write(terms, "postings", layer, ["lemma", "site"])
+        """Pages, paths, forward index and postings of a layer."""
+        self._write(pages, "pages", layer, parts)
+        written = self._of_layers("pages", [layer])
+        self._write(written, "paths", layer, parts)
+        words = analyzer.page_words(written.select(*PAGE, "content"), list(PAGE), self.profile)
+        terms = analyzer.lemmas(words, self.lex, self.model).select(*PAGE, F.struct("lemma", "word", "pos", "n").alias("t"))
+        self._write(terms.groupBy(*PAGE).agg(F.array_sort(F.collect_list("t")).alias("terms")), "forward", layer, parts)
+        self._write(_blocks(self._ranks(self._of_layers("forward", [layer]))), "postings", layer, parts)
+
+    @staticmethod
+    def _ranks(forward: DataFrame) -> DataFrame:
+        """site, page_id, lemma, rank of pages of the forward index."""
+        return forward.select(*PAGE, F.explode("terms").alias("t")).groupBy(*PAGE, "t.lemma").agg(F.sum("t.n").cast("double").alias("rank"))
 
     def build(self, pages: DataFrame, code: Column | None = None, parts: int | None = None) -> Store:
-        """Index pages (page_id, url, html) anew: every page is read and parsed once. Older layers no longer count."""
+        """Index pages (page_id, url, html) anew: every page is parsed once. Older layers no longer count."""
         if parts is None:
             size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
             # parts of 64 MB; smaller ones where that keeps all cores busy, but no less than 1 MB
             parts = min(MOST_PARTS, max(int(size // PART_BYTES) + 1, min(self.spark.sparkContext.defaultParallelism, int(size // LEAST_BYTES) + 1)))
         layer = self._next()
-        self._layer(self._page_rows(pages, code), layer, parts)
-        written = self._table("postings", layer)
-        self._write(index.doc_freq(written).withColumn("part", _part("lemma", parts)), "lemmas", layer, ["lemma", "site"])
-        self._done(layer, parts, base=True)
+        self._layer(self._page_rows(tables.one_of_each(pages), code), layer, parts)
+        self._write(self._of_layers("postings", [layer]).groupBy("site", "lemma").agg(F.sum("n").alias("frequency")), "lemmas", layer, parts)
+        self._count(layer, self._of_layers("pages", [layer]), self._of_layers("lemmas", [layer]), parts)
+        self._done(layer, parts, "base")
         return self
 
-    def upsert(self, pages: DataFrame, keys: DataFrame | None = None, code: Column | None = None) -> None:
-        """Replace pages (page_id, url, html). keys (site, page_id): pages that go, by default those that come."""
+    def _count(self, layer: int, pages: DataFrame, lemmas: DataFrame, parts: int) -> None:
+        """Signed counts of sites: pages and lemmas have a column `d` (1 if they have none)."""
+        one = lambda rows: F.col("d") if "d" in rows.columns else F.lit(1)
+        none = F.lit(0)
+        both = pages.select("site", one(pages).cast("long").alias("pages"), none.cast("long").alias("lemmas")).unionByName(lemmas.select("site", none.cast("long").alias("pages"), one(lemmas).cast("long").alias("lemmas")))
+        self._write(both.groupBy("site").agg(F.sum("pages").alias("pages"), F.sum("lemmas").alias("lemmas")).filter("pages <> 0 OR lemmas <> 0"), "counts", layer, parts)
+
+    def upsert(self, pages: DataFrame, keys: DataFrame | None = None, code: Column | None = None, tag: str = "") -> bool:
+        """Replace pages (page_id, url, html). keys (site, page_id): pages that go, by default those that come.
+
+        tag names a change that must count once: if a layer bears it, nothing is done and the answer is False.
+        """
+        if tag and any(t == tag for *_, t in self._markers()):
+            return False
         layers = self.layers()
-        layer, parts = self._next(), layers[-1][1] if layers else 1
-        come = self._page_rows(pages, code)
+        layer, parts = self._next(), layers[0][1] if layers else 1
+        size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
         if keys is None:
             keys = pages.select(tables.site_of_pages().alias("site"), "page_id")
-        keys = keys.select("site", "page_id").distinct()
+        keys = keys.select(*PAGE).distinct()
+        few = self._few(keys)
+        into = 0 if size < LEAST_BYTES and few is not None else parts
         # what the replaced pages held, read before the layer counts
-        gone = self.postings().join(keys, ["site", "page_id"], "left_semi")
-        self._layer(come, layer, parts)
-        fresh = self._table("postings", layer).select("site", "lemma", F.lit(1).cast("long").alias("d"))
-        delta = gone.select("site", "lemma", F.lit(-1).cast("long").alias("d")).unionByName(fresh).groupBy("site", "lemma").agg(F.sum("d").alias("frequency")).filter("frequency <> 0")
-        self._write(delta.withColumn("part", _part("lemma", parts)), "lemmas", layer, ["lemma", "site"])
-        self._write(keys, "gone", layer, [])
-        self._done(layer, parts)
+        old = self.terms_of(few) if few is not None else self._latest(self._read("forward")).join(keys, list(PAGE), "left_semi")
+        self._write(keys, "gone", layer, into)
+        self._layer(self._page_rows(tables.one_of_each(pages), code), layer, into)
+        gone = old.select("site", F.explode(F.array_distinct("terms.lemma")).alias("lemma"), F.lit(-1).cast("long").alias("d"))
+        come = self._of_layers("postings", [layer]).select("site", "lemma", F.col("n").cast("long").alias("d"))
+        delta = gone.unionByName(come).groupBy("site", "lemma").agg(F.sum("d").alias("frequency")).filter("frequency <> 0")
+        self._write(delta, "lemmas", layer, into)
+        # lemmas that a site gains or loses: their frequencies before, of the changed lemmas only
+        delta = self._of_layers("lemmas", [layer]).select("site", "lemma", F.col("frequency").alias("d"))
+        held = delta.join(self.lemmas_of(delta), ["site", "lemma"], "left").withColumn("f", F.coalesce("frequency", F.lit(0)))
+        turned = held.select("site", ((F.col("f") + F.col("d") > 0).cast("int") - (F.col("f") > 0).cast("int")).alias("d"))
+        moved = self._of_layers("pages", [layer]).select("site", F.lit(1).alias("d")).unionByName(old.select("site", F.lit(-1).alias("d")))
+        self._count(layer, moved, turned, into)
+        self._done(layer, parts, tag=tag)
+        if len(layers) >= MOST_LAYERS:
+            self.fold()
+        return True
 
     def remove_sites(self, sites: DataFrame) -> None:
         """Drop all pages of the given sites (column url)."""
-        keys = self.pages().join(sites.select(F.col("url").alias("site")).distinct(), "site", "left_semi").select("site", "page_id")
+        keys = self.pages().join(sites.select(F.col("url").alias("site")).distinct(), "site", "left_semi").select(*PAGE)
         none = self.spark.createDataFrame([], "page_id long, url string, html string")
         self.upsert(none, keys)
 
+    def fold(self) -> None:
+        """One layer of all after the base; the base is not read. The older ones stay until the caller removes them."""
+        more = [n for n, _ in self.layers()[1:]]
+        layer, parts = self._next(), self.layers()[0][1]
+        last = self._of_layers("gone", more).groupBy(*PAGE).agg(F.max("layer").alias("last"))
+        for name in ("pages", "paths", "forward", "postings"):
+            rows = self._of_layers(name, more)
+            rows = unblocked(rows) if name == "postings" else rows
+            rows = rows.join(last, list(PAGE), "left").filter("last IS NULL OR layer >= last")
+            self._write(_blocks(rows) if name == "postings" else rows, name, layer, parts)
+        self._write(self._of_layers("lemmas", more).groupBy("site", "lemma").agg(F.sum("frequency").alias("frequency")).filter("frequency <> 0"), "lemmas", layer, parts)
+        self._write(self._of_layers("counts", more).groupBy("site").agg(F.sum("pages").alias("pages"), F.sum("lemmas").alias("lemmas")), "counts", layer, parts)
+        self._write(last, "gone", layer, parts)
+        self._done(layer, parts, "fold")
+
     def compact(self) -> None:
         """Fold all layers into a new base; the older ones stay until the caller removes them."""
-        layer, parts = self._next(), self.layers()[-1][1]
-        self._write(self.pages().withColumn("part", _part("site", parts)), "pages", layer, ["site", "path"])
-        self._write(self.postings().withColumn("part", _part("lemma", parts)), "postings", layer, ["lemma", "site"])
-        self._write(self.lemmas().withColumn("part", _part("lemma", parts)), "lemmas", layer, ["lemma", "site"])
-        self._done(layer, parts, base=True)
+        layer, parts = self._next(), self.layers()[0][1]
+        self._write(self.pages(), "pages", layer, parts)
+        self._write(self._of_layers("pages", [layer]), "paths", layer, parts)
+        self._write(self._latest(self._read("forward")), "forward", layer, parts)
+        self._write(_blocks(self.postings()), "postings", layer, parts)
+        self._write(self.lemmas(), "lemmas", layer, parts)
+        self._write(self.counts(), "counts", layer, parts)
+        self._done(layer, parts, "base")
 
     # reading
 
     def pages(self, sites: Sequence[str] | None = None) -> DataFrame:
-        return self._latest(self._of(self._read("pages"), "site", sites))
+        rows = self._read("pages")
+        return self._latest(rows if sites is None else rows.filter(F.col("site").isin(*sites)))
+
+    def pages_of(self, keys: Sequence[tuple[str, int]]) -> DataFrame:
+        """Pages by (site, page_id), few at a time."""
+        return self._latest(self._of(self._read("pages"), "pages", keys)) if keys else self.pages().limit(0)
+
+    def terms_of(self, keys: Sequence[tuple[str, int]]) -> DataFrame:
+        """site, page_id, terms of pages by (site, page_id), few at a time."""
+        rows = self._read("forward")
+        return self._latest(self._of(rows, "forward", keys) if keys else rows.filter("false"))
+
+    def postings_of(self, keys: Sequence[tuple[str, int]]) -> DataFrame:
+        """site, page_id, lemma, rank of pages by (site, page_id), from the forward index."""
+        return self._ranks(self.terms_of(keys))
+
+    def by_path(self, site: str, path: str) -> DataFrame:
+        """site, path, page_id of a page by its path."""
+        return self._latest(self._of(self._read("paths"), "paths", [(site, path)]))
+
+    def blocks(self, lemmas: Sequence[str] | None = None) -> DataFrame:
+        """Blocks of postings, of all layers that count; those of replaced pages go when they are opened (see opened)."""
+        rows = self._read("postings")
+        if lemmas is None:
+            return rows
+        return self._of(rows, "postings", [(x,) for x in lemmas]) if lemmas else rows.filter("false")
+
+    def opened(self, blocks: DataFrame) -> DataFrame:
+        """site, lemma, page_id, rank that blocks hold, without pages that a later layer replaces."""
+        return self._latest(unblocked(blocks))
 
     def postings(self, lemmas: Sequence[str] | None = None) -> DataFrame:
-        return self._latest(self._of(self._read("postings"), "lemma", lemmas))
+        return self.opened(self.blocks(lemmas)).select("site", "page_id", "lemma", "rank")
 
     def lemmas(self, lemmas: Sequence[str] | None = None) -> DataFrame:
-        rows = self._of(self._read("lemmas"), "lemma", lemmas)
+        rows = self._read("lemmas")
+        if lemmas is not None:
+            rows = self._of(rows, "lemmas", [(x,) for x in lemmas]) if lemmas else rows.filter("false")
         if len(self.layers()) > 1:
             rows = rows.groupBy("site", "lemma").agg(F.sum("frequency").alias("frequency")).filter("frequency > 0")
         return rows.select("site", "lemma", "frequency")
 
-    def _of(self, rows: DataFrame, column: str, values: Sequence[str] | None) -> DataFrame:
-        """Rows with one of the values: a filter on their parts, which prunes folders, and one that is pushed to the scan."""
-        if values is None:
-            return rows
-        parts = {p for _, p in self.layers()}
-        if len(parts) == 1 and values:
-            n = parts.pop()
-            mine = self.spark.createDataFrame([(v,) for v in values], "v string").select(_part("v", n)).distinct().collect() if n > 1 else [(0,)]
-            rows = rows.filter(F.col("part").isin(*[r[0] for r in mine]))
-        return rows.filter(F.col(column).isin(*values))
+    def lemmas_of(self, postings: DataFrame) -> DataFrame:
+        """Stored lemma rows of the lemmas that some postings hold: by their keys if they are few."""
+        few = self._few(postings.select("lemma").distinct())
+        return self.lemmas() if few is None else self.lemmas([x[0] for x in few])
+
+    def counts(self) -> DataFrame:
+        """site, pages, lemmas: kept by every layer, never recounted."""
+        rows = self._read("counts").groupBy("site").agg(F.sum("pages").alias("pages"), F.sum("lemmas").alias("lemmas"))
+        return rows.filter("pages > 0")
 
 
 _BUILT: dict[tuple, Store] = {}

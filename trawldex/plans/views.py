@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawldex.operators import analyzer, index, search
+from trawldex.operators import analyzer, index, morphology, search
 from trawldex.plans import results as search_results
 from trawldex.plans.store import Store, opened
 from trawldex.sources import tables
-from trawldex.sources.scratch import scratch_dir
+from trawldex.sources.scratch import materialize, scratch_dir
 
 QUERY = "the is that zzzz"
 MOST = 0.95
 RADIUS = 3
+#: Endings of the derived lexicon, and the part of speech that each stands for.
+ENDINGS = [("s", "NOUN"), ("e", "ADJ"), ("n", "VERB"), ("en", "VERB"), ("er", "NOUN"), ("er", "ADJ"), ("ment", "ADV")]
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +42,29 @@ def doc_terms(spark: SparkSession, sf: str) -> DataFrame:
     return index.term_freq(analyzer.lemmas(doc_words(spark, sf), lex(spark)))
 
 
+def doc_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return doc_words(spark, sf).select("word").distinct()
+
+
+def derived_lex(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon that the documents give: a word with an ending whose stem of four letters or more is a word as well is a form of it."""
+    known = doc_vocabulary(spark, sf)
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(pos).alias("pos_tag")) for e, pos in ENDINGS]))
+    forms = known.select("word", ends.alias("x")).filter(F.endswith("word", F.col("x.e")))
+    forms = forms.select("word", F.substr("word", F.lit(1), F.char_length("word") - F.char_length("x.e")).alias("base_form"), "x.pos_tag").filter(F.char_length("base_form") >= 4)
+    return forms.join(known.withColumnRenamed("word", "base_form"), "base_form", "left_semi").select("word", "base_form", "pos_tag")
+
+
+def held_out() -> Column:
+    """A fifth of the words, by their first letter: endings know nothing of it."""
+    return F.ascii("word") % 5 == 0
+
+
+def model(spark: SparkSession, sf: str) -> DataFrame:
+    """Endings that the documents' own lexicon teaches; written, as it is read for every word."""
+    return materialize(morphology.learn(derived_lex(spark, sf)), "endings")
+
+
 def wanted(spark: SparkSession, query: str = QUERY) -> DataFrame:
     return analyzer.query_lemmas(spark, query, lex(spark))
 

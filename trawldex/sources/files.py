@@ -28,6 +28,13 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file that nobody has made before; False if there is one."""
+    fs, p = _at(spark, path)
+    fs.mkdirs(p.getParent())
+    return fs.createNewFile(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

@@ -28,6 +28,23 @@ def site_pages(pages: DataFrame, code: Column | None = None) -> DataFrame:
     return rows
 
 
+def one_of_each(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, ...) without those that are given twice: of leniently equal addresses the least page id stays, of rows of
+    one page id of a site the one with the least address. Only addresses are compared; of equal rows any one stays."""
+    spread = pages.select(site_of_pages().alias("site"), "page_id", urls.key(F.col("url")).alias("key"), F.struct("page_id", "url").alias("id"))
+    # addresses that occur again, and page ids that do: few as a rule
+    first = spread.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = spread.groupBy("site", "page_id").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    if first.isEmpty() and again.isEmpty():
+        return pages
+    rows = pages.withColumns({"_key": urls.key(F.col("url")), "_id": F.struct("page_id", "url"), "_site": site_of_pages()})
+    rows = rows.join(first.select(F.col("key").alias("_key"), F.col("first").alias("_first")), "_key", "left")
+    rows = rows.join(again.select(F.col("site").alias("_site"), "page_id", F.col("first").alias("_again")), ["_site", "page_id"], "left")
+    kept = rows.filter("(_first IS NULL OR _first = _id) AND (_again IS NULL OR _again = _id)")
+    alone = kept.filter("_first IS NULL AND _again IS NULL").select(*pages.columns)
+    return alone.unionByName(kept.filter("_first IS NOT NULL OR _again IS NOT NULL").dropDuplicates(["page_id", "url"]).select(*pages.columns))
+
+
 def corpus_pages(documents: DataFrame) -> DataFrame:
     """Plain documents as pages: the source is the site, and there is no markup."""
     return documents.select(F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.col("text").alias("content")).filter("content <> ''")
