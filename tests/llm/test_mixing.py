@@ -30,23 +30,45 @@ def test_rates_meet_targets(spark):
     assert all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in rows)
 
 
-def test_solver_against_exact():
+def _missing(p, tokens, rates, target):
+    return ((((tokens * rates) @ p - target) / tokens.sum()) ** 2 / (target / tokens.sum())).sum() / 2
+
+
+def least(p, tokens, target, most):
+    """The least sum of squares, by coordinates: each rate in turn is set to what is best for it."""
+    w, t = tokens / tokens.sum(), target / tokens.sum()
+    r = np.full(len(p), min(most, t.sum()))
+    now = (w * r) @ p
+    for _ in range(400):
+        for i in range(len(p)):
+            g, h = ((now - t) / t) @ p[i], (p[i] ** 2 / t).sum() * w[i]
+            new = min(max(r[i] - g / h, 0), most)
+            now = now + w[i] * (new - r[i]) * p[i]
+            r[i] = new
+    return _missing(p, tokens, r, target)
+
+
+@pytest.mark.parametrize("target, most", [([30, 20, 10], np.inf), ([30, 20, 10], 4.0), ([10, 60, 3], 1.0), ([1, 1, 200], 2.0)])
+def test_solver_against_exact(spark, monkeypatch, target, most):
+    monkeypatch.setattr(mixing, "REPLAY", 9)
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([1, 1, 1], 200)
-    w = np.full(200, 1 / 200)
-    target = np.array([0.3, 0.2, 0.1])
-    s = mixing.Solver(4.0, 1e-4, 0.6)
-    for _ in range(300):
-        s.history.append((p.T @ (w * s.rates(p)[1]) - target, 0.0))
-    assert np.abs(p.T @ (w * s.rates(p)[0]) - target).max() < 1e-3
+    p, tokens = rng.dirichlet([1, 1, 1], 120), rng.integers(1, 5, 120)
+    target = np.array(target) * tokens.sum() / 100
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
+    s = mixing.solve(rows, target, None if most == np.inf else most)
+    r = s.rates(p)
+    assert (r >= 0).all() and (r <= most).all()
+    assert _missing(p, tokens, r, target) <= least(p, tokens, target, most) + 1e-6
+    found = rows.withColumn("rate", s.rate()).collect()  # the expression gives the same
+    assert max(abs(x.rate - s.rates(np.array([x.posterior]))[0]) for x in found) < 1e-9
 
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (None, "some words", None), (None, "some words", None)], "doc_id long, text string, rate string")
     labels = spark.createDataFrame([(1, None, None), (77, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = mixing.mix(docs, labels, q_mixing.WEIGHTS).collect()
+    rows = mixing.mix(docs, labels, q_mixing.WEIGHTS, allow_gap=True).collect()
     assert len(rows) == 4 and sorted(r.tokens for r in rows) == [0, 0, 2, 2]
-    assert mixing.apply_mix(docs, labels, q_mixing.WEIGHTS).columns == docs.columns
+    assert mixing.apply_mix(docs, labels, q_mixing.WEIGHTS, allow_gap=True).columns == docs.columns
     assert mixing.mix(docs.limit(0), labels.limit(0), q_mixing.WEIGHTS).count() == 0
 
 
@@ -58,11 +80,11 @@ def test_rates_settle_for_a_rare_domain(spark):
         tokens = rng.integers(20, 400, 3000)
         rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
         target = np.array(list(q_mixing.WEIGHTS.values())) * (tokens @ p)[0] / q_mixing.WEIGHTS["good"]
-        s = mixing.solve(rows, target, 4.0)
-        r = s.rates(p)[0]
-        residual = ((tokens * r) @ p - target) / tokens.sum()
-        left = r - np.clip(r - (p @ residual + s.ridge * (r - s.start)), 0, 4)
-        assert ((tokens * np.abs(left)) @ p / target).max() < 1e-5
+        for most in (4.0, np.inf):  # with rates up to 4 the rare domain cannot have its share
+            r = mixing.solve(rows, target, None if most == np.inf else most).rates(p)
+            left = r - np.clip(r - p @ (((tokens * r) @ p - target) / target), 0, most)
+            assert ((tokens * np.abs(left)) @ p / target).max() < 2e-3
+        assert np.allclose((tokens * r) @ p, target, rtol=1e-3)
 
 
 def test_unsettled_rates_raise(spark):
@@ -80,25 +102,8 @@ def test_sample_is_of_labels_with_a_document(spark):
     assert np.array_equal(model.weights, alone.weights) and alone.weights.any()
 
 
-def exact(p, words, share, most):
-    """Rates by accelerated projected gradient, one number a document."""
-    total, has = words.sum(), words @ p
-    target = np.minimum(share * has[0] / share[0], most * has)
-    start = min(most, target.sum() / total)
-    x = np.full(len(p), start)
-    y, t = x, 1.0
-    for _ in range(60_000):
-        residual = ((words * y) @ p - target) / total
-        new = np.clip(y - (p @ residual + 1e-4 * (y - start)) / 1.1, 0, most)
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        if (new - x) @ (y - new) > 0:
-            t = 1.0
-        y, x = new + (before - 1) / t * (new - x), new
-    return x
-
-
 def test_query_against_exact_solver(spark, sf):
-    """Rates of the query are where a projected gradient step leads back to itself, on whole texts."""
+    """Posteriors, totals and rates of the query on whole texts: no rates of any kind come nearer to the asked totals."""
     from trawldex.llm.common import table
 
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
@@ -108,8 +113,11 @@ def test_query_against_exact_solver(spark, sf):
     p, words = model.of([(docs[r.doc_id] or "").encode() for r in rows])
     assert [r.tokens for r in rows] == words.tolist()
     assert np.allclose(p, [[r.p_good, r.p_poor, r.p_toxic] for r in rows], atol=1e-6)
-    x = exact(p, words, np.array(list(q_mixing.WEIGHTS.values())), 4)
-    assert np.abs(x - np.array([r.rate for r in rows])).max() < 1e-3
+    share, rates = np.array(list(q_mixing.WEIGHTS.values())), np.array([r.rate for r in rows])
+    asked = share * (words @ p)[0] / share[0]
+    assert np.allclose(asked, [rows[0].asked_good, rows[0].asked_poor, rows[0].asked_toxic])
+    assert np.allclose((words * rates) @ p, [rows[0].achieved_good, rows[0].achieved_poor, rows[0].achieved_toxic], rtol=1e-4)
+    assert _missing(p, words, rates, asked) <= least(p, np.maximum(words, 1e-9), asked, np.inf) + 1e-6
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
 
 
@@ -130,14 +138,19 @@ def test_ties_repeats_and_long_texts(spark, monkeypatch):
     docs, labels = _labelled(60)
     docs += [(7, docs[7][1])] * 3 + [(500, "solid " * 5000), (None, docs[7][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = mixing.mix(d, spark.createDataFrame(labels + [(0, 0, 1)], "doc_id long, quality int, toxic int"), q_mixing.WEIGHTS).collect()
+    rows = mixing.mix(d, spark.createDataFrame(labels + [(0, 0, 1)], "doc_id long, quality int, toxic int"), q_mixing.WEIGHTS, allow_gap=True).collect()
     assert len(rows) == len(docs) and len({(r.rate, r.copies) for r in rows if r[0].doc_id == 7}) == 1
     assert [r.tokens for r in rows if r[0].doc_id == 500] == [5000]
 
 
-def test_scarce_domain_gets_what_it_has(spark):
+def test_targets_out_of_reach_are_told(spark):
     docs, labels = _labelled()
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    m = mixing.plan(d, lab, {"good": 0.2, "poor": 0.7, "toxic": 0.1}, max_rate=1.0)
-    assert m.targets["poor"] < 0.7 * m.targets["good"] / 0.2 and all(0 <= r.rate <= 1 for r in m.rows.collect())
-    assert abs(m.achieved["toxic"] / m.targets["toxic"] - 1) < 0.1, (m.targets, m.achieved)
+    weights = {"good": 0.2, "poor": 0.7, "toxic": 0.1}
+    with pytest.raises(mixing.MixGap):
+        mixing.plan(d, lab, weights, max_rate=1.0)
+    m = mixing.plan(d, lab, weights, max_rate=1.0, allow_gap=True)
+    assert np.isclose(m.asked["poor"], 0.7 * m.asked["good"] / 0.2) and m.achieved["poor"] < m.asked["poor"] and m.gap() > 0.1
+    rows = m.rows.collect()
+    assert all(0 <= r.rate <= 1 for r in rows)
+    assert all(r.rate > 0.99 for r in rows if r.posterior[1] > 0.9)  # all that the domain has

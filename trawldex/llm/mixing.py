@@ -1,16 +1,17 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier trained on the labelled table gives every document a posterior over domains. Projected-gradient least squares then
-finds a rate for each document, from 0 to max_rate, so that the expected tokens of each domain (rate x tokens x
-posterior, summed over all documents) match the targets; a small ridge pulls rates to a common value and makes the
-solution unique. Where a gradient step leads back to itself, the rate of a document follows from one residual per domain, so only
-these few numbers are sought: Newton steps with a line search find the residuals at which the projected gradient is zero. Each
-pass over the documents is one sum that is combined before its shuffle. What is left of the projected gradient must be below
-`tolerance` of each domain's target; otherwise `solve` raises.
-
-Texts are scored once; the scores are written beside what is carried, and rates are an expression of the scores. A domain that has less
-than its share of the wanted total even at max_rate gets all it has as target. Posteriors are soft, so targets can still contradict
-each other; `Mix.achieved` has what the rates give beside `Mix.targets`.
+finds a rate for each document, not negative, so that the expected tokens of each domain (rate x tokens x posterior, summed over all
+documents) match the targets: the squares of what is missing, each by its target, are made least. All rates start alike. A step moves
+a document's rate against the gradient, which is its posterior times one number a domain, and cuts it at 0 (and at max_rate, if the caller sets
+one); steps have momentum, which starts anew where it leads uphill. So the rates of all documents follow from few numbers a step, which are
+sums over the documents, combined before their shuffle: a pass a step, with no rates sent around. Every REPLAY steps the rates so far are
+written, so a pass does not repeat all steps before. It ends when what a step still moves is below `tolerance` of each domain's target; if that does
+not come about, `solve` raises.
+
+Texts are scored once; the scores are written beside what is carried, and rates are an expression of the scores. Targets are never lowered. If they
+cannot be met (posteriors are soft, so they can contradict each other, and max_rate can forbid them), `plan` raises unless the caller allows the
+gap; `Mix` has what was asked of each domain and what the rates give.
 
 The classifier is fitted on at most `sample` of the labelled rows whose documents are given (those with the least hash of their id), of
 which the driver gets the hashed words and signs only, 2^16 numbers a document at most; everything else covers all documents.
@@ -23,7 +24,8 @@ carried, whatever their names. A text is scored whole, in batches of about a MB:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ DOMAINS = ["good", "poor", "toxic"]
 SAMPLE = 4000
 BITS = 16
 BATCH_BYTES = 1 << 20
+REPLAY = 25  # steps after which rates are written
+log = logging.getLogger("trawldex")
 
 
 def _batches(texts: pa.Array):
@@ -98,107 +102,149 @@ def posteriors(packed: DataFrame, model: Bag, carry: list[str] | None = None) ->
     return packed.mapInArrow(run, schema)
 
 
+Step = tuple[np.ndarray, float]
+
+
+class MixGap(RuntimeError):
+    """Targets that no rates can meet."""
+
+
+@dataclass
 class Solver:
-    """Accelerated projected gradient; `history` holds (residuals, momentum) of the steps so far. Once `settled` holds the
-    residuals at which a step leads back to itself, the rates are those of that fixed point."""
-
-    def __init__(self, max_rate: float, ridge: float, start: float):
-        self.max_rate, self.ridge, self.start = max_rate, ridge, start
-        self.history: list[tuple[np.ndarray, float]] = []
-        self.settled: np.ndarray | None = None
-
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rate, extrapolated rate) of documents with posteriors p after the steps so far."""
-        if self.settled is not None:
-            r = np.clip(self.start - p @ self.settled / self.ridge, 0, self.max_rate)
-            return r, r
+    """Projected gradient with momentum. `history` has (gradient by domain, momentum) of the steps so far: with them, a document's posterior gives its rate."""
+
+    max_rate: float | None
+    start: float
+    history: list[Step] = field(default_factory=list)
+
+    def walk(self, p: np.ndarray, r: np.ndarray, y: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rate, where the next step starts, rate before, where the last step started) of documents with posteriors p, from rates r and starts y."""
+        before, begun = r, y
+        for gradient, momentum in steps:
+            before, begun = r, y
+            r = np.clip(y - p @ gradient, 0, self.max_rate)
+            y = r + momentum * (r - before)
+        return r, y, before, begun
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.full(len(p), self.start)
-        y = r
-        step = 1 / (1 + self.ridge)
-        for residual, momentum in self.history:
-            new = np.clip(y - step * (p @ residual + self.ridge * (y - self.start)), 0, self.max_rate)
-            y = new + momentum * (new - r)
-            r = new
-        return r, y
-
-
-def _sums(p: np.ndarray, tokens: np.ndarray, points: np.ndarray, solver: Solver) -> np.ndarray:
-    """For each point (residuals / ridge): the tokens of its rates by domain, its part of the dual objective, and its curvature."""
-    k, out = p.shape[1], []
-    for u in points:
-        free = solver.start - p @ u
-        rate = np.clip(free, 0, solver.max_rate)
-        inside = tokens * ((free > 0) & (free < solver.max_rate))
-        out.append(np.r_[(tokens * rate) @ p, (tokens * rate) @ (free - rate / 2), (p.T @ (p * inside[:, None])).reshape(k * k)])
-    return np.array(out)
-
-
-def solve(rows: DataFrame, targets: np.ndarray, max_rate: float, ridge: float = 1e-4, steps: int = 40, tolerance: float = 1e-7) -> Solver:
-    """rows: tokens, posterior; targets: tokens wanted of each domain. tolerance is relative to each domain's target."""
+        return self.walk(p, r, r, self.history)[0]
+
+    def rate(self) -> Column:
+        """The same as an expression of the column `posterior`."""
+        number = lambda x: F.lit(float(x))
+        steps = F.array(*[F.struct(F.array(*map(number, g)).alias("g"), number(m).alias("m")) for g, m in self.history])
+        if not self.history:
+            return number(self.start)
+
+        def step(now: Column, s: Column) -> Column:
+            moved = now["y"]
+            for i in range(len(DOMAINS)):
+                moved = moved - F.col("posterior")[i] * s["g"][i]
+            r = F.greatest(number(0), moved if self.max_rate is None else F.least(number(self.max_rate), moved))
+            # bound once: r is used three times
+            return F.transform(F.array(r), lambda r: F.struct(r.alias("r"), (r + s["m"] * (r - now["r"])).alias("y")))[0]
+
+        return F.aggregate(steps, F.struct(number(self.start).alias("r"), number(self.start).alias("y")), step, lambda x: x["r"])
+
+
+def _blocks(batch: pa.RecordBatch, k: int, solver: Solver):
+    """(tokens, posteriors, rates, starts) in pieces that stay in a core's cache."""
+    p = np.array(batch.column("posterior").flatten()).reshape(-1, k)
+    tokens = batch.column("tokens").to_numpy()
+    state = [batch.column(c).to_numpy() if c in batch.schema.names else np.full(len(p), solver.start) for c in ("r", "y")]
+    for i in range(0, len(p), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        yield tokens[part], p[part], state[0][part], state[1][part]
+
+
+def _summed(rows: DataFrame, width: int, of) -> np.ndarray:
+    """Sums over all rows of the vectors that `of` gives for each batch, combined before the shuffle."""
+
+    def run(batches):
+        sums = np.zeros(width)
+        for batch in batches:
+            sums += of(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(sums)], names=["k", "v"])
+
+    found = {r.k: r.v for r in rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    return np.array([found.get(i, 0.0) for i in range(width)])
+
+
+def solve(rows: DataFrame, targets: np.ndarray, max_rate: float | None, steps: int = 400, tolerance: float = 2e-5) -> Solver:
+    """rows: tokens, posterior; targets: tokens wanted of each domain. What a step still moves must come below tolerance of each target."""
     k = len(targets)
-    total = rows.agg(F.sum("tokens")).first()[0] or 0
-    solver = Solver(max_rate, ridge, min(max_rate, float(targets.sum()) / total) if total else 0.0)
+    first = Solver(max_rate, 0.0)
+    gram = _summed(rows.select("tokens", "posterior"), k * k + 1, lambda b: sum(np.r_[((p * t[:, None]).T @ p).ravel(), t.sum()] for t, p, _, _ in _blocks(b, k, first)))
+    total = gram[-1]
     if not total:
-        return solver
-    wanted = targets / total
-    width = k + 1 + k * k
-
-    def at(points: np.ndarray) -> np.ndarray:
-        def part(batches):
-            sums = np.zeros((len(points), width))
-            for b in batches:
-                p = np.array(b.column("posterior").flatten()).reshape(-1, k)
-                tokens = b.column("tokens").to_numpy()
-                for i in range(0, len(p), 1 << 14):
-                    sums += _sums(p[i : i + (1 << 14)], tokens[i : i + (1 << 14)], points, solver)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], names=["k", "v"])
-
-        found = {r.k: r.v for r in rows.mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        return np.array([found.get(i, 0.0) for i in range(len(points) * width)]).reshape(len(points), width) / total
-
-    def off(sums: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return sums[:k] - wanted - ridge * u
-
-    def worst(sums: np.ndarray, u: np.ndarray) -> float:
-        return float((np.abs(off(sums, u)) / np.maximum(wanted, tolerance)).max())
-
-    u = np.zeros(k)
-    now = at(u[None])[0]
-    for _ in range(steps):
-        if worst(now, u) < tolerance:
-            solver.settled = ridge * u
+        return first
+    wanted = np.asarray(targets, float) / total
+    scale = np.maximum(wanted, 1e-3 * wanted.sum())
+    solver = Solver(max_rate, float(wanted.sum()) if max_rate is None else min(max_rate, float(wanted.sum())))
+    # the gradient cannot change faster than by the largest eigenvalue
+    fastest = np.linalg.eigvalsh((gram[:-1] / total).reshape(k, k) / np.sqrt(np.outer(scale, scale)))[-1]
+    size = 1 / (1.001 * fastest)
+
+    def sums(batch, late):
+        out = np.zeros(3 * k + 1)
+        for tokens, p, r, y in _blocks(batch, k, solver):
+            r, y, before, begun = solver.walk(p, r, y, late)
+            w = tokens / total
+            out += np.r_[(w * r) @ p, (w * y) @ p, (w * np.abs(r - begun)) @ p, (w * (begun - r)) @ (r - before)]
+        return out
+
+    late: list[Step] = []
+    state, age, left = rows.select("tokens", "posterior"), 1.0, np.inf
+    for n in range(steps + 1):
+        found = _summed(state, 3 * k + 1, lambda b, late=tuple(late): sums(b, late))
+        at_rate, at_start, moved, uphill = found[:k], found[k : 2 * k], found[2 * k : 3 * k], found[-1]
+        left = float((moved / scale).max()) if n else np.inf
+        if left < tolerance * size:
             return solver
-        step = np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge * np.eye(k), off(now, u))
-        points = u + np.geomspace(1, 2.0**-11, 12)[:, None] * step
-        tried = at(points)
-        height = tried[:, k] + points @ wanted + ridge / 2 * (points**2).sum(axis=1)
-        best = 0 if worst(tried[0], points[0]) < tolerance else int(height.argmin())
-        u, now = points[best], tried[best]
-    raise RuntimeError(f"mixing rates did not settle: {worst(now, u):.1e} of a domain's target is left")
+        if uphill > 0 and late:  # momentum starts anew: the last step ends where its rates are
+            age, at_start = 1.0, at_rate
+            late[-1] = solver.history[-1] = (late[-1][0], 0.0)
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        solver.history.append((size * (at_start - wanted) / scale, (older - 1) / age))
+        late.append(solver.history[-1])
+        if len(late) > REPLAY:
+            state, late = materialize(_written(state, solver, tuple(late[:-1])), "rates"), late[-1:]
+    raise RuntimeError(f"mixing rates did not settle: a step still moves {left:.1e} of a domain's target")
+
+
+def _written(state: DataFrame, solver: Solver, late: tuple[Step, ...]) -> DataFrame:
+    """tokens, posterior, r, y after the steps so far."""
+
+    def run(batches):
+        for batch in batches:
+            for tokens, p, r, y in _blocks(batch, p_width, solver):
+                r, y, *_ = solver.walk(p, r, y, late)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(list(p), pa.list_(pa.float64())), pa.array(r), pa.array(y)], names=["tokens", "posterior", "r", "y"])
+
+    p_width = len(DOMAINS)
+    return state.mapInArrow(run, "tokens long, posterior array<double>, r double, y double")
 
 
 @dataclass
 class Mix:
-    """Rated rows (__doc: struct of the carried columns, tokens, posterior, rate, copies), and how the totals of the domains came out."""
+    """Rated rows (__doc: struct of the carried columns, tokens, posterior, rate, copies), and the totals of the domains: what was asked of them and what the rates give."""
 
     rows: DataFrame
     model: Bag
-    targets: dict[str, float]
+    asked: dict[str, float]
     achieved: dict[str, float]
 
-
-def _rate(solver: Solver) -> Column:
-    """The rate of a document as an expression of its posterior."""
-    free = F.lit(float(solver.start))
-    for i, u in enumerate(solver.settled / solver.ridge if solver.settled is not None else ()):
-        free = free - F.col("posterior")[i] * F.lit(float(u))
-    return F.least(F.lit(float(solver.max_rate)), F.greatest(F.lit(0.0), free))
+    def gap(self) -> float:
+        """The largest part of a domain's asked total that is missing or too much."""
+        return max((abs(self.achieved[d] - x) / x for d, x in self.asked.items() if x > 0), default=0.0)
 
 
-def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE, carry: list[str] | None = None) -> Mix:
+def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float | None = None, sample: int = SAMPLE, carry: list[str] | None = None, allow_gap: bool = False) -> Mix:
     """weights: wanted share of each domain; tokens: wanted total, by default as many as let the first domain keep all it has.
 
-    copies realises the rate: its whole part, and one more with the remainder as probability, decided by the id's hash.
+    copies realises the rate: its whole part, and one more with the remainder as probability, decided by the id's hash. Raises MixGap if a domain's
+    total is off by more than a hundredth, unless allow_gap is set.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     model = train(docs, labels, sample)
@@ -208,24 +254,31 @@ def plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens:
     share = share / share.sum()
     if tokens is None:
         tokens = has[0] / share[0]
-    targets = np.minimum(share * tokens, max_rate * np.array(has, float))
-    solver = solve(rated.select("tokens", "posterior"), targets, max_rate)
-    rated = rated.withColumn("rate", _rate(solver))
+    solver = solve(rated.select("tokens", "posterior"), share * tokens, max_rate)
+    rated = rated.withColumn("rate", solver.rate())
     given = rated.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first()
     luck = (F.pmod(F.xxhash64(F.col("__doc.doc_id"), F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)) if "doc_id" in docs.columns else F.lit(0.5)
     rated = rated.withColumn("copies", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
     named = lambda x: dict(zip(DOMAINS, map(float, x), strict=True))
-    return Mix(rated, model, named(targets), named(given))
+    found = Mix(rated, model, named(share * tokens), named(given))
+    if found.gap() > 0.01:
+        text = f"asked for {found.asked} tokens, the rates give {found.achieved}"
+        if not allow_gap:
+            raise MixGap(text)
+        log.warning(text)
+    return found
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, max_rate: float = 4.0, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
-    """The rated rows of `plan`."""
-    return plan(docs, labels, weights, tokens, max_rate, sample, carry).rows
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **options) -> DataFrame:
+    """The rated rows of `plan`, with its options, and in columns of each domain what was asked and achieved."""
+    found = plan(docs, labels, weights, **options)
+    told = {f"{kind}_{d}": F.lit(totals[d]) for kind, totals in (("asked", found.asked), ("achieved", found.achieved)) for d in DOMAINS}
+    return found.rows.withColumns(told)
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float = 1.0) -> DataFrame:
+def apply_mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float | None = 1.0, allow_gap: bool = False) -> DataFrame:
     """The documents as often as their copies say, with all their columns."""
-    rows = mix(docs, labels, weights, max_rate=max_rate).filter("copies > 0")
-    if max_rate > 1:
+    rows = plan(docs, labels, weights, max_rate=max_rate, allow_gap=allow_gap).rows.filter("copies > 0")
+    if max_rate is None or max_rate > 1:
         rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

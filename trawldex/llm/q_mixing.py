@@ -13,6 +13,7 @@ WEIGHTS = {"good": 0.84, "poor": 0.11, "toxic": 0.05}
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, carry=["doc_id"])
+    # where soft posteriors allow no exact match, the columns asked and achieved say so
+    rows = mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, carry=["doc_id"], allow_gap=True)
     parts = [F.round(F.col("posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
-    return rows.select(F.col("__doc.doc_id").alias("doc_id"), "tokens", *parts, F.round("rate", 6).alias("rate"), "copies")
+    return rows.select(F.col("__doc.doc_id").alias("doc_id"), "tokens", *parts, F.round("rate", 6).alias("rate"), "copies", *[f"{kind}_{d}" for kind in ("asked", "achieved") for d in mixing.DOMAINS])
