@@ -14,12 +14,18 @@ def query_lemmas(store: Store, query: str) -> list[str]:
     return sorted(r.lemma for r in analyzer.query_lemmas(store.spark, query, store.lex, store.profile, store.model).collect())
 
 
+def _fixed_if_few(store: Store, rows: DataFrame) -> DataFrame:
+    """The same rows; as rows of their own, to be broadcast, if there are no more than MOST_KEYS."""
+    few = store._few(rows)
+    return rows if few is None else F.broadcast(store.spark.createDataFrame(few, rows.schema))
+
+
 def kept_lemmas(store: Store, lemmas: list[str], most: float, site: str | None = None) -> DataFrame:
     """site, lemma, frequency of the lemmas that are not too frequent in their site; how many pages a site has is stored."""
     df, counts = store.lemmas(lemmas), store.counts().select("site", F.col("pages").alias("n_pages"))
     if site is not None:
         df, counts = df.filter(F.col("site") == site), counts.filter(F.col("site") == site)
-    return search.keep_rare(df, counts, most)
+    return _fixed_if_few(store, search.keep_rare(df, counts, most))
 
 
 def candidate_blocks(store: Store, kept: DataFrame, lemmas: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -28,11 +34,14 @@ def candidate_blocks(store: Store, kept: DataFrame, lemmas: list[str]) -> tuple[
     Blocks are told apart by site, lemma and number alone; few numbers become a filter of the scan, so a frequent lemma beside a rare one is
     read in these places only.
     """
-    names = store.blocks(lemmas).join(kept.select("site", "lemma"), ["site", "lemma"], "left_semi")
+    blocks = store.blocks(lemmas)
+    names = blocks.join(kept.select("site", "lemma"), ["site", "lemma"], "left_semi")
     rarest = kept.groupBy("site").agg(F.min_by("lemma", F.struct("frequency", "lemma")).alias("lemma"))
-    places = store.blocks(lemmas).select("site", "lemma", "block").join(rarest, ["site", "lemma"], "left_semi").select("site", "block").distinct()
-    few = store._few(places.select("block").distinct())
-    wanted = names if few is None else names.filter(F.col("block").isin(*[b for (b,) in few]))
+    places = blocks.select("site", "lemma", "block").join(rarest, ["site", "lemma"], "left_semi").select("site", "block").distinct()
+    few, wanted = store._few(places), names
+    if few is not None:
+        places = F.broadcast(store.spark.createDataFrame(few, places.schema))
+        wanted = names.filter(F.col("block").isin(*sorted({b for _, b in few})))
     return names, wanted.join(places, ["site", "block"], "left_semi")
 
 

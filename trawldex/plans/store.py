@@ -72,6 +72,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, lex: DataFrame, profile: str = "latin", model: DataFrame | None = None):
         self.spark, self.path, self.lex, self.profile, self.model = spark, path.rstrip("/"), lex, profile, model
+        self._known_parts: dict[tuple, int] = {}
 
     # layers
 
@@ -133,12 +134,16 @@ class Store:
 
     # keys
 
-    def _of(self, rows: DataFrame, name: str, keys: Sequence[tuple]) -> DataFrame:
+    def _of(self, rows: DataFrame, name: str, keys: Sequence[tuple]) -> DataFrame:  # keys are tuples of plain values
         """Rows with one of at most MOST_KEYS keys: a filter on their parts, which prunes folders, and filters that are pushed to the scan."""
         columns, parts = KEYED[name], self.layers()[0][1] if self.exists() else 1
         kinds = dict(c.split()[:2] for c in TABLES[name].split(", "))
         wanted = self.spark.createDataFrame(list(keys), ", ".join(f"{c} {kinds[c]}" for c in columns))
-        mine = {r[0] for r in wanted.select(_part(columns, parts)).distinct().collect()}
+        if any((parts, columns, k) not in self._known_parts for k in keys):
+            if len(self._known_parts) > 10 * MOST_KEYS:
+                self._known_parts.clear()
+            self._known_parts |= {(parts, columns, tuple(r)[:-1]): r.part for r in wanted.select(*columns, _part(columns, parts).alias("part")).collect()}
+        mine = {self._known_parts[parts, columns, k] for k in keys}
         mine |= {ANY} if any(k != "base" for _, _, k, _ in self._markers()) else set()
         rows = rows.filter(F.col("part").isin(*sorted(mine)))
         for i, c in enumerate(columns):
