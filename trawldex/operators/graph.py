@@ -47,6 +47,34 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int |
             discard(spark, made, 2)  # the frontier and what is visited
 
 
+def flatten(tree: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root, depth of a forest (keys, node, parent; no parent: a root): how far above every node its root is.
+
+    Every node knows an ancestor and how far up it is; in each round it takes over what that ancestor knows, so the known distance doubles and the
+    number of rounds grows with the logarithm of the depth. Nodes that have reached their root move no more. A node whose parent is not in the
+    table is a root; a cycle raises.
+    """
+    spark, made = tree.sparkSession, []
+    names = tree.select(*keys, F.col("node").alias("parent"))
+    held = tree.join(names.withColumn("held", F.lit(True)), [*keys, "parent"], "left")
+    start = held.select(*keys, "node", F.when(F.col("held"), F.col("parent")).otherwise(F.col("node")).alias("root"), F.when(F.col("held"), 1).otherwise(0).cast("long").alias("depth"))
+    state = materialize(start, "flatten", made)
+    most = max(1, state.count()).bit_length() + 1
+    for _ in range(most):
+        above = state.select(*keys, F.col("node").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        going = state.filter("depth > 0").join(above, [*keys, "root"]).filter("more > 0")
+        moved = materialize(going.select(*keys, "node", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "flatten", made)
+        if moved.isEmpty():
+            discard(spark, [made.pop()])
+            return state
+        # what did not move stays as it is
+        rest = state.join(moved.select(*keys, "node"), [*keys, "node"], "left_anti")
+        state = materialize(rest.unionByName(moved), "flatten", made)
+        discard(spark, made, 1)
+    discard(spark, made)
+    raise ValueError("the links of the tree run in a circle")
+
+
 def crawl(roots: DataFrame, get: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
     """Rows (site, url, depth, code, html) of every page that roots (site, url) reach over links in their site's scope.
 

@@ -10,7 +10,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawldex.operators import analyzer, search, stats
+from trawldex.operators import analyzer, routing, search, stats
 from trawldex.plans import results
 from trawldex.plans.store import Store
 from trawldex.sources import files, tables
@@ -74,7 +74,9 @@ class Engine:
             self._worker.start()
 
     def _routed(self, pages: DataFrame) -> DataFrame:
-        return pages.filter(tables.route(F.col("url"), self.settings.sites).isNotNull())
+        """Pages of configured sites, whatever their number."""
+        sites = routing.listed(self.spark, [s.url for s in self.settings.sites])
+        return routing.route(pages, sites).filter("routed_to IS NOT NULL").drop("routed_to")
 
     def _build(self) -> None:
         self.spark.sparkContext.setJobGroup("trawldex-indexing", "indexing", interruptOnCancel=True)

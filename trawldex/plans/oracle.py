@@ -123,7 +123,7 @@ def sql() -> dict[str, str]:
         "valid_site_url": _with("raw", f"SELECT page_id, regexp_matches(site, {_text(HTTP_URL)}) AS valid, regexp_matches(url, {_text(HTTP_URL)}) AS url_valid FROM raw"),
         "dedupe_urls": _with("raw", f"SELECT {_key('url')} AS url_key, min(page_id) AS page_id, count(*) AS n FROM raw GROUP BY 1"),
         "resolve_links": _with("nl", f"SELECT DISTINCT site, page_id, url AS src, link AS dst FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}"),
-        "site_routing": _with("raw", "SELECT page_id, (SELECT min(c.site) FROM (SELECT DISTINCT site FROM raw ORDER BY site LIMIT 20) c WHERE contains(raw.url, c.site)) AS routed_to FROM raw"),
+        "site_routing": _with("raw", "SELECT page_id, (SELECT min(c.site) FROM (SELECT DISTINCT site FROM raw WHERE site <> '') c WHERE contains(raw.url, c.site)) AS routed_to FROM raw"),
         "crawl_reach": _with("raw", "SELECT site, node, min(depth) AS depth FROM r GROUP BY site, node", """nd AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id) AS k FROM raw),
             r(site, node, depth) AS (SELECT site, k, CAST(0 AS BIGINT) FROM nd WHERE k = 1 UNION ALL
             SELECT r.site, nd.k, r.depth + 1 FROM r JOIN nd ON nd.site = r.site AND (nd.k = 2 * r.node OR nd.k = 2 * r.node + 1))"""),

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawldex.functions import html, numbers, urls
-from trawldex.operators import analyzer, graph, index, morphology, search, snippets, stats
+from trawldex.operators import analyzer, graph, index, morphology, routing, search, snippets, stats
 from trawldex.plans import oracle, results, views
 from trawldex.plans.store import opened
 from trawldex.sources import tables
-from trawldex.sources.config import Site
 from trawldex.sources.scratch import materialize, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,9 +100,9 @@ def resolve_links(spark, sf):
 
 
 def site_routing(spark, sf):
-    """Each page with the first configured site that its url contains, or null; twenty sites are configured, a list of fixed length."""
-    sites = [Site(r.site, "") for r in _raw(spark, sf).select("site").distinct().orderBy("site").limit(20).collect()]
-    return _raw(spark, sf).select("page_id", tables.route(F.col("url"), sites).alias("routed_to"))
+    """Each page with the first site that its url contains, or null; all sites of the table are configured, in the order of their addresses."""
+    sites = _raw(spark, sf).select(F.col("site").alias("url")).distinct().orderBy("url").withColumn("place", F.monotonically_increasing_id())
+    return routing.route(_raw(spark, sf).select("page_id", "url"), sites).select("page_id", "routed_to")
 
 
 def crawl_links(spark, sf):
@@ -114,13 +113,12 @@ def crawl_links(spark, sf):
 
 
 def crawl_reach(spark, sf):
-    """Reachability over a derived graph: the k-th page of a site links to the pages 2k and 2k + 1."""
+    """A derived tree of pages, flattened: the k-th page of a site is where the pages 2k and 2k + 1 were found."""
     from pyspark.sql.window import Window as W
 
     nodes = _raw(spark, sf).select("site", F.row_number().over(W.partitionBy("site").orderBy("page_id")).cast("long").alias("k"))
-    edges = nodes.select("site", F.col("k").alias("src"), F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("dst")).join(nodes.withColumnRenamed("k", "dst"), ["site", "dst"], "left_semi")
-    seeds = nodes.filter("k = 1").withColumnRenamed("k", "node")
-    return graph.reach(edges.select("site", "src", "dst"), seeds, ["site"]).select("site", "node", F.col("depth").cast("long").alias("depth"))
+    parent = F.when(F.col("k") > 1, F.shiftright("k", 1))
+    return graph.flatten(nodes.select("site", F.col("k").alias("node"), parent.alias("parent")), ["site"]).select("site", "node", "depth")
 
 
 def tokenize_docs(spark, sf):
