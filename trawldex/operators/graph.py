@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawldex.functions import html, urls
@@ -23,6 +23,12 @@ def resolved_links(links: DataFrame) -> DataFrame:
     return rows.filter(urls.in_scope(F.col("dst"), F.col("site")) & (urls.key(F.col("src")) != urls.key(F.col("dst")))).distinct()
 
 
+def resolved(page: Column, url: Column, site: Column) -> Column:
+    """Array of a page's distinct links in its site's scope, without those to itself."""
+    found = F.array_distinct(F.transform(html.links(page), lambda href: urls.normalize(href, site)))
+    return F.filter(found, lambda link: urls.in_scope(link, site) & (urls.key(link) != urls.key(url)))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """keys, node, depth of every node that seeds (keys, node) reach over edges (keys, src, dst).
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from hashlib import sha256
 from threading import Lock
 
 from pyspark import InheritableThread
@@ -13,10 +16,14 @@ from pyspark.sql import functions as F
 from trawldex.operators import analyzer, routing, search, stats
 from trawldex.plans import results
 from trawldex.plans.store import Store
-from trawldex.sources import files, tables
-from trawldex.sources.config import Settings
+from trawldex.functions import urls
+from trawldex.sources import fetch, files, tables
+from trawldex.sources.config import Settings, Site
+from trawldex.sources.crawl import Crawl, page_id
+from trawldex.sources.scratch import materialize
 
 log = logging.getLogger("trawldex")
+GATHERERS = 4  # sites that are gathered at once
 SITES = "url string, name string, status string, status_time timestamp, last_error string"
 
 
@@ -27,16 +34,20 @@ class EngineError(RuntimeError):
 class Engine:
     """An index of the configured sites' pages in a shared folder.
 
-    source: a function that gives the crawled pages (page_id, url, html, optionally code). Indexing runs in a thread of its own under a Spark
-    job group, so that stopping cancels its jobs; a build that is stopped or fails leaves the index as it was.
+    source: a function that gives the crawled pages of all sites (page_id, url, html, optionally code). Without one, each site is gathered by itself:
+    by site_source (a function of the site that gives its pages), by default a crawl over HTTP that goes on where a stopped one was.
+    Sites are gathered side by side under job tags of their own, so one can fail or be stopped and the others are indexed; each has a status, touched
+    as its pages come in. Indexing runs in a thread of its own under a Spark job group, so that stopping cancels its jobs; a build that is
+    stopped or fails leaves the index as it was.
     """
 
-    def __init__(self, spark: SparkSession, settings: Settings, path: str, source: Callable[[], DataFrame], lex: DataFrame | None = None, profile: str = "latin", model: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings, path: str, source: Callable[[], DataFrame] | None = None, lex: DataFrame | None = None, profile: str = "latin", model: DataFrame | None = None, site_source: Callable[[Site], DataFrame] | None = None):
         self.spark, self.settings, self.path, self.source = spark, settings, path.rstrip("/"), source
         self.lex = analyzer.lexicon_for_join(analyzer.lexicon(spark) if lex is None else lex)
-        self.profile = profile
+        self.profile, self.site_source = profile, site_source or self._crawled
         self.store = Store(spark, f"{self.path}/index", self.lex, profile, model)
         self._lock, self._worker, self._stopped = Lock(), None, False
+        self._saving, self._cancelled = Lock(), set()
         if settings.debug:
             log.setLevel(logging.DEBUG)
 
@@ -55,6 +66,68 @@ class Engine:
         """All configured sites get the status; sites that are no longer configured go."""
         self._save_sites(tables.mark_sites(self.settings.site_table(self.spark), status, F.current_timestamp(), None if error is None else F.lit(error)))
 
+    def _mark_site(self, site: Site, status: str, error: str | None = None) -> None:
+        """One configured site gets the status, now; the others keep theirs."""
+        with self._saving:
+            mine = self.spark.createDataFrame([(site.url, site.name)], "url string, name string")
+            other = self.sites().filter(F.col("url") != site.url)
+            self._save_sites(other.unionByName(tables.mark_sites(mine, status, F.current_timestamp(), None if error is None else F.lit(error))))
+
+    # gathering
+
+    def _tag(self, site: Site) -> str:
+        return "trawldex-" + sha256(site.url.encode()).hexdigest()[:16]
+
+    def _crawled(self, site: Site) -> DataFrame:
+        """Pages of a site over HTTP."""
+        at = f"{self.path}/crawls/{self._tag(site)}"
+        found = Crawl.latest(self.spark, at, lambda urls: fetch.fetch(urls, self.settings.web_request), lambda _: self._mark_site(site, "INDEXING"))
+        roots = self.spark.createDataFrame([(site.url, site.url)], "site string, url string")
+        found.run(roots)
+        return found.pages()
+
+    def _gather(self, site: Site) -> DataFrame | str:
+        """The site's pages, written; or what went wrong."""
+        context = self.spark.sparkContext
+        context.setJobGroup("trawldex-indexing", "indexing", interruptOnCancel=True)
+        context.addJobTag(self._tag(site))
+        try:
+            pages = self.site_source(site)
+            columns = ["page_id", "url", "html", "code"] if "code" in pages.columns else ["page_id", "url", "html", F.lit(200).alias("code")]
+            written = materialize(pages.select(*columns), "gathered")
+            if written.isEmpty():
+                return "the site has no pages"
+            if site.url in self._cancelled:
+                return "stopped by the user"
+            self._mark_site(site, "INDEXING")
+            return written
+        except Exception as failure:
+            return "stopped by the user" if self._stopped or site.url in self._cancelled else f"{type(failure).__name__}: {failure}"[:255]
+        finally:
+            context.removeJobTag(self._tag(site))
+
+    def stop_site(self, url: str) -> None:
+        """Stop the gathering of one configured site; the others go on."""
+        site = next((s for s in self.settings.sites if s.url == url), None)
+        if site is None or not self.is_indexing():
+            raise EngineError("the site is not being indexed")
+        self._cancelled.add(url)
+        self.spark.sparkContext.cancelJobsWithTag(self._tag(site))
+
+    def _build_sites(self) -> None:
+        """Gather every site, then index what came in, in one build."""
+        with ThreadPoolExecutor(GATHERERS) as pool:
+            found = dict(zip(self.settings.sites, pool.map(self._gather, self.settings.sites), strict=True))
+        good = {s: rows for s, rows in found.items() if not isinstance(rows, str)}
+        for site, error in found.items():
+            if site not in good:
+                self._mark_site(site, "FAILED", error)
+        if good and not self._stopped:
+            pages = reduce(DataFrame.unionByName, good.values())
+            self.store.build(self._routed(pages), F.col("code"))
+        for site in good:
+            self._mark_site(site, "FAILED" if self._stopped else "INDEXED", "stopped by the user" if self._stopped else None)
+
     # indexing
 
     def is_indexing(self) -> bool:
@@ -69,6 +142,7 @@ class Engine:
             if self.is_indexing():
                 raise EngineError("indexing is already in progress")
             self._stopped = False
+            self._cancelled.clear()
             self._mark("INDEXING")
             self._worker = InheritableThread(target=self._build, name="trawldex-indexing", session=self.spark)
             self._worker.start()
@@ -82,6 +156,9 @@ class Engine:
         self.spark.sparkContext.setJobGroup("trawldex-indexing", "indexing", interruptOnCancel=True)
         try:
             log.debug("indexing of %s begins", [s.url for s in self.settings.sites])
+            if self.source is None:
+                self._build_sites()
+                return
             pages = self.source()
             self.store.build(self._routed(pages), F.col("code") if "code" in pages.columns else None)
             status, error = "INDEXED", None
@@ -126,6 +203,20 @@ class Engine:
             mine = self.spark.createDataFrame([(site.url, site.name)], "url string, name string")
             self._save_sites(other.unionByName(tables.mark_sites(mine, "INDEXED", F.current_timestamp())))
 
+    def index_url(self, url: str) -> int:
+        """Fetch one page of a configured site and index or replace it; the id of the page. A known path keeps its id."""
+        site = next((s for s in self.settings.sites if s.url in url), None)
+        if site is None:
+            raise EngineError("the page lies outside the configured sites")
+        one = self.spark.createDataFrame([(url,)], "url string")
+        answer = fetch.fetch(one, self.settings.web_request, 0.0).withColumn("page_id", page_id(F.lit(site.url), F.col("url"))).withColumn("path", urls.path_of(F.col("url"), F.lit(site.url))).first()
+        if answer.html is None:
+            raise EngineError(f"the page cannot be fetched: {answer.error or answer.code}")
+        known = self.store.by_path(site.url, answer.path).first() if self.store.exists() else None
+        number = answer.page_id if known is None else known.page_id
+        self.index_page(number, url, answer.html, answer.code)
+        return number
+
     # answers
 
     def search(self, query: str, site: str | None = None, offset: int = 0, limit: int = 20) -> dict:

@@ -21,6 +21,7 @@ class Site:
 class WebRequest:
     user_agent: str = "trawldex"
     referrer: str = ""
+    accept_language: str = "ru"
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Settings:
             snippet_radius=int(search.get("snippet-radius", 3)),
             max_relative_frequency=float(search.get("max-relative-frequency", 0.95)),
             debug=bool(app.get("debug", False)),
-            web_request=WebRequest(request.get("user-agent", "trawldex"), request.get("referrer", "")),
+            web_request=WebRequest(request.get("user-agent", "trawldex"), request.get("referrer", ""), request.get("accept-language", "ru")),
         )
 
     @classmethod
