@@ -85,3 +85,19 @@ def test_rows_of_one_id_and_long_text(spark):
     rows = suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"), slice_bytes=1 << 16).collect()
     got = {(r.doc_id, r.n_bytes): len(bytes(r.kept)) for r in rows}
     assert all(got[i, len(t)] == len(t) for i, t in docs if i is None) and got[8, len(texts[2])] < 100 and got[7, len(texts[0])] < 100
+
+
+def test_least_ids_when_every_byte_occurs():
+    """The same with all 256 bytes as with few, against a dictionary of strings."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, 40).astype(np.uint8)
+    parts = [np.arange(256, dtype=np.uint8), *[np.r_[rng.integers(0, 256, rng.integers(0, 9)).astype(np.uint8), base[rng.integers(0, 20) :]] for _ in range(30)], base[:3]]
+    ids, n = np.arange(len(parts))[::-1].copy(), 8
+    sizes = np.array([len(p) for p in parts])
+    begin, out = suffix.least_ids(np.concatenate(parts), sizes, ids, n)
+    least = {}
+    for p, d in zip(parts, ids, strict=True):
+        for o in range(len(p) - n + 1):
+            least[p[o : o + n].tobytes()] = min(d, least.get(p[o : o + n].tobytes(), d))
+    for p, b in zip(parts, begin, strict=True):
+        assert [out[b + o] for o in range(len(p) - n + 1)] == [least[p[o : o + n].tobytes()] for o in range(len(p) - n + 1)]
