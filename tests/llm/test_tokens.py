@@ -88,3 +88,10 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "some words " * 60_000)], "doc_id long, text string")
     enc = tokens.encoder(q_tokens.VOCABULARY, q_tokens.PATTERN)
     assert tokens.count_tokens(docs, q_tokens.VOCABULARY, q_tokens.PATTERN).first().tokens == len(enc.encode_ordinary("some words " * 60_000))
+
+
+def test_a_column_of_the_same_name_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "two words", 99, "x")], "doc_id long, text string, tokens int, source string")
+    found = tokens.count_tokens(docs, q_tokens.VOCABULARY, q_tokens.PATTERN)
+    assert found.columns == ["doc_id", "source", "tokens"] and found.first().tokens == 2
+    assert tokens.count_tokens(docs.select("text", "tokens"), q_tokens.VOCABULARY, q_tokens.PATTERN).first().tokens == 2

@@ -41,8 +41,11 @@ def encoder(path: str, pattern: str):
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """docs plus the number of tokens of each text. `path` is read on each executor, where the tokenizer is installed."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__doc"), F.col(text).alias("__text"))
+    """docs plus the number of tokens of each text. `path` is read on each executor, where the tokenizer is installed.
+
+    The number takes the place of a column of docs that is named `out`; all other columns are carried, whatever their names.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, out)], F.lit(None).cast("int").alias("__none")).alias("__doc"), F.col(text).alias("__text"))
 
     def run(batches):
         enc = encoder(path, pattern)
@@ -55,7 +58,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", o
     from pyspark.sql import types as T
 
     schema = T.StructType([packed.schema["__doc"], T.StructField("__n", T.LongType())])
-    names = [c for c in docs.columns if c != text]
+    names = [c for c in docs.columns if c not in (text, out)]
     return packed.mapInArrow(run, schema).select(*[F.col(f"__doc.`{c}`").alias(c) for c in names], F.col("__n").alias(out))
 
 
