@@ -49,3 +49,16 @@ def test_filter_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert quality.ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_policy_versions_match_sql(same):
+    rows = same(q_quality.op10_policy_ablation, q_quality.OP10_ABLATION_SQL)
+    assert len(rows) == 2 + 4 + 5
+
+
+def test_the_ledger_is_stored_once(spark, sf, monkeypatch):
+    made = []
+    whole = q_quality.materialize
+    monkeypatch.setattr(q_quality, "materialize", lambda df, label: made.append(label) or whole(df, label))
+    plan = q_quality.op10_policy_ablation(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert made == ["ledger"] and "documents.parquet" not in plan and "text" not in plan

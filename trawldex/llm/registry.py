@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": q_suffix.op8_suffix_dedup,
         "op9_ngram_jaccard": q_ngram.op9_ngram_jaccard,
         "op10_quality_rules": q_quality.op10_quality_rules,
+        "op10_policy_ablation": q_quality.op10_policy_ablation,
         "op11_spelling_variants": q_spelling.op11_spelling_variants,
         "op12_line_dedup": q_lines.op12_line_dedup,
         "op13_conversation_repair": q_repair.op13_conversation_repair,
@@ -37,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_dedup": q_suffix.OP8_SQL,
         "op9_ngram_jaccard": q_ngram.OP9_SQL,
         "op10_quality_rules": q_quality.OP10_SQL,
+        "op10_policy_ablation": q_quality.OP10_ABLATION_SQL,
         "op11_spelling_variants": q_spelling.OP11_SQL,
         "op12_line_dedup": q_lines.OP12_SQL,
         "op13_conversation_repair": q_repair.OP13_SQL,
