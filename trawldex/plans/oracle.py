@@ -107,8 +107,8 @@ def sql() -> dict[str, str]:
     order = "ORDER BY relevance DESC, site, page_id"
     return {
         "build_index": _with("ok df tf", "SELECT 'pages' AS name, count(*) AS n FROM ok UNION ALL SELECT 'lemmas', count(*) FROM df UNION ALL SELECT 'postings', count(*) FROM tf"),
-        "crawl_links": _with("nl", f"""SELECT site, node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT site, {_key('url')} AS node, 0 AS depth FROM raw UNION ALL
-            SELECT site, {_key('link')}, 1 FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}) GROUP BY site, node"""),
+        "crawl_links": _with("nl", "SELECT site, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY site, node", f"""ed AS MATERIALIZED (SELECT DISTINCT site, {_key('url')} AS src, {_key('link')} AS dst FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}),
+            r(site, node, depth) AS (SELECT site, {_key('arg_min(url, page_id)')}, 0 FROM raw GROUP BY site UNION SELECT r.site, dst, depth + 1 FROM r JOIN ed ON ed.site = r.site AND src = node WHERE depth < 30)"""),
         "scan_pages": "SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",
         "pages_of_site": _with("raw one", "SELECT site, page_id, url FROM raw WHERE site = (SELECT site FROM one)"),
         "site_by_url": _with("raw one", "SELECT DISTINCT site FROM raw WHERE site = (SELECT site FROM one)"),
@@ -116,6 +116,8 @@ def sql() -> dict[str, str]:
         "page_by_path": _with("pg one", "SELECT site, path, page_id FROM pg WHERE (site, path) = (SELECT (site, path) FROM pg WHERE page_id = (SELECT page_id FROM one))"),
         "page_title": _with("pg", "SELECT page_id, title FROM pg"),
         "page_text": _with("ok", "SELECT page_id, content FROM ok"),
+        "markup_text": _with("ok", "SELECT page_id, content AS text, title FROM ok"),
+        "page_markup": "SELECT page_id, replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&#39;', chr(39)) AS markup FROM pages",
         "strip_inline_tags": f"SELECT page_id, replace(regexp_replace(html, {_text(html.INLINE)}, '', 'g'), chr(10), ' ') AS stripped FROM pages",
         "extract_links": _with("ln", "SELECT page_id, href FROM ln"),
         "normalize_url": _with("nl", "SELECT page_id, href, link FROM nl"),
@@ -139,7 +141,7 @@ def sql() -> dict[str, str]:
             (SELECT word, list(DISTINCT base_form) AS wl, list_sort(list(DISTINCT base_form || ' ' || pos_tag)) AS wa FROM dl WHERE unicode(word) % 5 = 0 GROUP BY word) JOIN
             (SELECT word, list(DISTINCT lemma) AS gl, list_sort(list(DISTINCT lemma || ' ' || coalesce(pos_tag, '?'))) AS ga FROM gs GROUP BY word) USING (word)""",
             f"tr AS (SELECT * FROM dl WHERE unicode(word) % 5 <> 0), {_taught('tr')}, uw AS (SELECT DISTINCT word FROM dl WHERE unicode(word) % 5 = 0), {_guessed('uw')}"),
-        "query_lemmas": _with("q", "SELECT lemma FROM q"),
+        "query_lemmas": _with("ok lex", f"SELECT DISTINCT page_id, coalesce(base_form, tt.word) AS lemma FROM tt LEFT JOIN lex ON lex.word = tt.word WHERE coalesce(pos_tag, '') NOT IN ({_STOP})", f"tt AS (SELECT page_id, unnest({_TOKENS.format('title')}) AS word FROM ok)"),
         "matched_words": _with("mw", "SELECT page_id, word, first_pos FROM mw"),
         "term_freq": _with("tf", "SELECT site, page_id, lemma, rank FROM tf"),
         "doc_freq": _with("df", "SELECT site, lemma, frequency FROM df"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawldex.functions import html, numbers, urls
+from trawldex.functions import html, markup, numbers, urls
 from trawldex.operators import analyzer, graph, index, morphology, routing, search, snippets, stats
 from trawldex.plans import oracle, results, views
 from trawldex.plans.store import opened
@@ -65,6 +65,17 @@ def page_title(spark, sf):
     return tables.load(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
+def markup_text(spark, sf):
+    """Text and title of every page that has text, by the reader that knows where tags end."""
+    rows = markup.read_pages(_raw(spark, sf).select("page_id", "site", "html"))
+    return rows.filter("site <> '' AND text <> ''").select("page_id", "text", "title")
+
+
+def page_markup(spark, sf):
+    """Every page's markup in one spelling."""
+    return markup.read_pages(_raw(spark, sf).select("page_id", "html")).select("page_id", "markup")
+
+
 def page_text(spark, sf):
     return views.pages(spark, sf).select("page_id", "content")
 
@@ -106,9 +117,9 @@ def site_routing(spark, sf):
 
 
 def crawl_links(spark, sf):
-    """Reachability over the links that the pages really have: from every page over its links in scope."""
+    """Reachability over the links that the pages really have: from each site's first page on, over links in scope."""
     links = resolve_links(spark, sf).select("site", urls.key(F.col("src")).alias("src"), urls.key(F.col("dst")).alias("dst"))
-    seeds = _raw(spark, sf).select("site", urls.key(F.col("url")).alias("node"))
+    seeds = _raw(spark, sf).groupBy("site").agg(urls.key(F.min_by("url", "page_id")).alias("node"))
     return graph.reach(links, seeds, ["site"]).select("site", "node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -159,7 +170,9 @@ def morph_accuracy(spark, sf):
 
 
 def query_lemmas(spark, sf):
-    return views.wanted(spark)
+    """Distinct lemmas of many queries at once: every page's title is one."""
+    queries = views.pages(spark, sf).select("page_id", F.col("title").alias("content"))
+    return analyzer.lemmas(analyzer.page_words(queries, ["page_id"]), views.lex(spark)).select("page_id", "lemma").distinct()
 
 
 def matched_words(spark, sf):
@@ -354,7 +367,7 @@ def upsert_lemma_df(spark, sf):
 
 _NAMES = {"search_top": "search", "snippets_top": "snippets"}
 _ALL: list[Query] = [
-    build_index, crawl_links, scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, strip_inline_tags, extract_links, normalize_url,
+    build_index, crawl_links, scan_pages, pages_of_site, site_by_url, page_path, page_by_path, page_title, page_text, markup_text, page_markup, strip_inline_tags, extract_links, normalize_url,
     is_file_link, valid_site_url, dedupe_urls, resolve_links, site_routing, crawl_reach, tokenize_docs, lemmatize, stop_filter, morph_rules, morph_pages, morph_terms, morph_accuracy, query_lemmas,
     matched_words, term_freq, doc_freq, postings, doc_postings, lemmas_of_site, lemma_in_list, postings_of_page, postings_semi, lemmas_of_page,
     pages_per_site, lemmas_per_site, total_stats, site_stats, fmt_status_time, high_freq_filter, rare_first, pages_all_lemmas, relevance,

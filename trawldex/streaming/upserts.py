@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from trawldex.operators import analyzer, index
+from trawldex.plans.store import Store
 from trawldex.sources import files
 from trawldex.sources.tables import write_table
 
@@ -49,6 +50,25 @@ def replace_in(path: str, lex: DataFrame, profile: str = "latin") -> Callable[[D
     return sink
 
 
+def layered(store: Store) -> Callable[[DataFrame, int], None]:
+    """A sink that puts each micro-batch's pages (page_id, url, html, version) into a persisted index as one small layer.
+
+    Only what the batch's pages held is read and nothing is rewritten; of several versions of a page in a batch the greatest counts. The layer
+    bears the number of the batch, so a batch that runs again changes nothing.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("page_id", "url").agg(F.max_by("html", "version").alias("html"))
+        store.upsert(newest, tag=f"stream{number}")
+
+    return sink
+
+
+def maintain_index(pages: DataFrame, store: Store, checkpoint: str) -> DataStreamWriter:
+    """A writer of a stream of pages into an index; start it with the trigger that suits. One stream writes to an index."""
+    return pages.writeStream.foreachBatch(layered(store)).option("checkpointLocation", checkpoint)
+
+
 def maintain(pages: DataFrame, path: str, checkpoint: str, lex: DataFrame) -> DataStreamWriter:
     """A writer over a stream of pages; start it with the trigger that suits."""
     return pages.writeStream.foreachBatch(replace_in(path, lex)).option("checkpointLocation", checkpoint)
