@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def term_freq(lemmas: DataFrame) -> DataFrame:
-    """site, page_id, lemma, rank: occurrences on the page (combined before the shuffle)."""
-    return lemmas.groupBy("site", "page_id", "lemma").agg(F.count("*").cast("double").alias("rank"))
+    """site, page_id, lemma, rank: occurrences on the page (combined before the shuffle). Rows with a count `n` stand for so many."""
+    times = F.col("n") if "n" in lemmas.columns else F.lit(1)
+    return lemmas.groupBy("site", "page_id", "lemma").agg(F.sum(times).cast("double").alias("rank"))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:

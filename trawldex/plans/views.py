@@ -31,7 +31,8 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return index.term_freq(analyzer.lemmas(words(spark, sf), lex(spark)))
+    counted = analyzer.page_words(pages(spark, sf).select("site", "page_id", "content"), ["site", "page_id"])
+    return index.term_freq(analyzer.lemmas(counted, lex(spark)))
 
 
 def doc_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +40,8 @@ def doc_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return index.term_freq(analyzer.lemmas(doc_words(spark, sf), lex(spark)))
+    counted = analyzer.page_words(tables.corpus_pages(tables.load(spark, sf, "documents")), ["site", "page_id"])
+    return index.term_freq(analyzer.lemmas(counted, lex(spark)))
 
 
 def doc_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
