@@ -189,3 +189,8 @@ def test_route(spark):
     for url, want in (("http://a.b/x", "http://a.b"), ("http://e.f/http://c.d/x", "http://c.d"), ("http://x.y", None)):
         assert _one(spark, tables.route(F.lit(url), sites)) == want
     assert _one(spark, tables.route(F.lit("http://a.b"), [])) is None
+
+
+def test_decoding_keeps_odd_characters(spark):
+    text = "\uffff &amp;amp; \ufffe1 \ufffe0 &lt;\uffff&#38;#38; &#xFFFF;"
+    assert _one(spark, html.decode(F.lit(text))) == "\uffff &amp; \ufffe1 \ufffe0 <\uffff&#38; &#xFFFF;"

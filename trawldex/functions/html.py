@@ -21,17 +21,20 @@ ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<")
 _NAMED = {f"&{name};": " " if name == "nbsp" else chr(point) for name, point in sorted(name2codepoint.items())} | dict(ENTITIES)
 
 
-#: Stands for a decoded ampersand until all else is decoded; no character of a text.
-_AND = "\uffff"
+#: Stands for a decoded ampersand until all else is decoded. A text that holds this character itself, or the one that escapes it, is escaped first.
+_AND, _ESCAPE = "\uffff", "\ufffe"
 
 
 def decode(text: Column) -> Column:
     """Entities as characters: named and numeric ones, each once (`&amp;lt;` is `&lt;`). Others stay as they are."""
-    out = F.replace(text, F.lit("&amp;"), F.lit(_AND))
+    out = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0")), F.lit(_AND), F.lit(f"{_ESCAPE}1"))
+    out = F.replace(out, F.lit("&amp;"), F.lit(_AND))
     for name, value in ENTITIES[:-1]:  # what nearly all entities are, in compiled code
         out = F.replace(out, F.lit(name), F.lit(value))
     out = F.when(out.rlike(ENTITY), _decode_others(out)).otherwise(out)
-    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit(_AND), F.lit("&"))).otherwise(text)
+    for mark, value in ((_AND, "&"), (f"{_ESCAPE}1", _AND), (f"{_ESCAPE}0", _ESCAPE)):
+        out = F.replace(out, F.lit(mark), F.lit(value))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def _decode_others(text: Column) -> Column:
@@ -39,7 +42,7 @@ def _decode_others(text: Column) -> Column:
     digits = lambda e: F.regexp_extract(e, "([0-9A-Fa-f]+);$", 1)
     point = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(digits(e), 16, 10)).otherwise(digits(e)).cast("long")
     letter = lambda p: F.when(p == 38, _AND).otherwise(F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32"))
-    usable = lambda p: p.between(1, 0xD7FF) | p.between(0xE000, 0x10FFFF)
+    usable = lambda p: p.between(1, 0xD7FF) | p.between(0xE000, 0xFFFD) | p.between(0x10000, 0x10FFFF)
     value = lambda e: F.when(F.startswith(e, F.lit("&#")), F.when(usable(point(e)), letter(point(e)))).otherwise(F.element_at(named, e))
     found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), lambda e: F.struct(e.alias("e"), value(e).alias("v"))), lambda x: x["v"].isNotNull())
     return F.aggregate(found, text, lambda t, x: F.replace(t, x["e"], x["v"]))
