@@ -17,7 +17,7 @@ INLINE = r"</?(?:b|i|t|em|strong|font|a|br)(?:>| [^>]+>)"
 ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")]
 
 
-#: Names of entities and their characters, from Python's table of the HTML standard; the space that does not break is a plain one.
+#: Names of entities and their characters, from Python's table of the HTML standard.
 _NAMED = {f"&{name};": " " if name == "nbsp" else chr(point) for name, point in sorted(name2codepoint.items())} | dict(ENTITIES)
 
 

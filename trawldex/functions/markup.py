@@ -91,7 +91,6 @@ def read(page: str) -> tuple[str, str, str]:
         kind = token[0]
         if kind in ("text", "cdata"):
             plain = html.unescape(token[1]) if kind == "text" else token[1]
-            plain = plain.replace("\xa0", " ")
             text.append(plain)
             if inside == "title" and title is None:
                 title = plain

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from trawldex.functions import html
-from trawldex.functions.urls import HTTP_URL
-from trawldex.operators.analyzer import STOP_POS, lexicon_rows
-from trawldex.plans.views import MOST, QUERY, RADIUS
+from trawldex.operators.analyzer import lexicon_rows
+
+#: The settings and patterns that the queries are to follow, spelled out here so that a wrong one in the code shows.
+QUERY, MOST, RADIUS = "the is that zzzz", 0.95, 3
+STOP_POS = ["PREP", "CONJ", "INTJ"]
+_HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+_TAG = r"<[^>]*>"
+_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+_LINK = '(?i)<a\\s(?:[^>]*[\\s\\"\'])?href\\s*=\\s*(?:\\"([^\\"]*)\\"|\'([^\']*)\'|([^\\s\\"\'>]+))'
+_INLINE = r"</?(?:b|i|t|em|strong|font|a|br)(?:>| [^>]+>)"
+_HTTP_URL = r"^https?://(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)$"
+_ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def _text(s: str) -> str:
@@ -13,7 +21,7 @@ def _text(s: str) -> str:
 
 
 def _decode(x: str) -> str:
-    for name, value in html.ENTITIES:
+    for name, value in _ENTITIES:
         x = f"replace({x}, {_text(name)}, {_text(value)})"
     return x
 
@@ -27,8 +35,8 @@ _ENDINGS = "(VALUES ('s', 'NOUN'), ('e', 'ADJ'), ('n', 'VERB'), ('en', 'VERB'),
 _CTE = {
     "raw": ("", "SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site FROM pages"),
     "pg": ("raw", rf"""SELECT site, page_id, url, CASE WHEN url = site THEN '/' ELSE replace(url, site, '') END AS path,
-        {_decode(f"regexp_extract(html, {_text(html.TITLE)}, 1)")} AS title, html,
-        ltrim(regexp_replace(translate({_decode(f"regexp_replace(regexp_replace(html, {_text(html.HIDDEN)}, '', 'g'), {_text(html.TAG)}, ' ', 'g')")}, chr(10) || chr(9), '  '), ' {{2,}}', ' ', 'g'), ' ') AS content FROM raw"""),
+        {_decode(f"regexp_extract(html, {_text(_TITLE)}, 1)")} AS title, html,
+        ltrim(regexp_replace(translate({_decode(f"regexp_replace(regexp_replace(html, {_text(_HIDDEN)}, '', 'g'), {_text(_TAG)}, ' ', 'g')")}, chr(10) || chr(9), '  '), ' {{2,}}', ' ', 'g'), ' ') AS content FROM raw"""),
     "ok": ("pg", "SELECT * FROM pg WHERE site <> '' AND content <> ''"),
     "tk": ("ok", f"SELECT site, page_id, {_TOKENS.format('content')} AS words FROM ok"),
     "w": ("tk", "SELECT site, page_id, CAST(unnest(range(len(words))) AS INTEGER) AS pos, unnest(words) AS word FROM tk"),
@@ -45,11 +53,11 @@ _CTE = {
     "sc": ("hit kept", "SELECT site, page_id, total / top AS relevance FROM hit JOIN (SELECT site, count(*) AS k FROM kept GROUP BY site) USING (site) WHERE n = k"),
     "res": ("sc ok", "SELECT sc.site, sc.page_id, path AS uri, title, floor(relevance * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS relevance FROM sc JOIN ok USING (page_id)"),
     "one": ("raw", "SELECT arg_min(site, page_id) AS site, min(page_id) AS page_id FROM raw"),
-    "ln": ("raw", rf"""SELECT site, page_id, url, unnest(list_transform(regexp_extract_all(html, {_text(html.LINK)}, 0), lambda x: regexp_extract(x, {_text(html.LINK)}, 1) || regexp_extract(x, {_text(html.LINK)}, 2) || regexp_extract(x, {_text(html.LINK)}, 3))) AS href FROM raw"""),
+    "ln": ("raw", rf"""SELECT site, page_id, url, unnest(list_transform(regexp_extract_all(html, {_text(_LINK)}, 0), lambda x: regexp_extract(x, {_text(_LINK)}, 1) || regexp_extract(x, {_text(_LINK)}, 2) || regexp_extract(x, {_text(_LINK)}, 3))) AS href FROM raw"""),
     "nl": ("ln", rf"""SELECT *, CASE WHEN contains(l, '?') THEN split_part(l, '?', 1) WHEN strpos(l, '#') > 1 THEN split_part(l, '#', 1) ELSE l END AS link FROM (
         SELECT *, CASE WHEN starts_with(h, '/') THEN regexp_replace(site, '/$', '') || h ELSE h END AS l FROM (
         SELECT *, CASE WHEN href = '/' OR regexp_matches(href, '{_FILE}') THEN site ELSE href END AS h FROM ln))"""),
-    "bd": ("", f"SELECT page_id, replace(regexp_replace(html, {_text(html.INLINE)}, '', 'g'), chr(10), ' ') AS body FROM pages"),
+    "bd": ("", f"SELECT page_id, replace(regexp_replace(html, {_text(_INLINE)}, '', 'g'), chr(10), ' ') AS body FROM pages"),
     "mw": ("lm q", "SELECT page_id, word, min(pos) AS first_pos FROM lm WHERE lemma IN (SELECT lemma FROM q) GROUP BY page_id, word"),
     "cfg": ("raw", "SELECT url, regexp_replace(url, '^https?://', '') AS name FROM (SELECT DISTINCT site AS url FROM raw UNION ALL SELECT 'http://never.example.com')"),
     "rv": ("ok", "SELECT site, page_id, concat_ws(' ', title, title) AS content FROM ok WHERE (site, page_id) IN (SELECT (site, min(page_id)) FROM ok GROUP BY site)"),
@@ -117,12 +125,12 @@ def sql() -> dict[str, str]:
         "page_title": _with("pg", "SELECT page_id, title FROM pg"),
         "page_text": _with("ok", "SELECT page_id, content FROM ok"),
         "markup_text": _with("ok", "SELECT page_id, content AS text, title FROM ok"),
-        "page_markup": "SELECT page_id, replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&#39;', chr(39)) AS markup FROM pages",
-        "strip_inline_tags": f"SELECT page_id, replace(regexp_replace(html, {_text(html.INLINE)}, '', 'g'), chr(10), ' ') AS stripped FROM pages",
+        "page_markup": "SELECT page_id, replace(replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&#39;', chr(39)) AS markup FROM pages",
+        "strip_inline_tags": f"SELECT page_id, replace(regexp_replace(html, {_text(_INLINE)}, '', 'g'), chr(10), ' ') AS stripped FROM pages",
         "extract_links": _with("ln", "SELECT page_id, href FROM ln"),
         "normalize_url": _with("nl", "SELECT page_id, href, link FROM nl"),
         "is_file_link": _with("ln", f"SELECT href, regexp_matches(href, '{_FILE}') AS is_file FROM (SELECT href FROM ln UNION SELECT url FROM raw)"),
-        "valid_site_url": _with("raw", f"SELECT page_id, regexp_matches(site, {_text(HTTP_URL)}) AS valid, regexp_matches(url, {_text(HTTP_URL)}) AS url_valid FROM raw"),
+        "valid_site_url": _with("raw", f"SELECT page_id, regexp_matches(site, {_text(_HTTP_URL)}) AS valid, regexp_matches(url, {_text(_HTTP_URL)}) AS url_valid FROM raw"),
         "dedupe_urls": _with("raw", f"SELECT {_key('url')} AS url_key, min(page_id) AS page_id, count(*) AS n FROM raw GROUP BY 1"),
         "resolve_links": _with("nl", f"SELECT DISTINCT site, page_id, url AS src, link AS dst FROM nl WHERE contains(link, site) AND {_key('url')} <> {_key('link')}"),
         "site_routing": _with("raw", "SELECT page_id, (SELECT min(c.site) FROM (SELECT DISTINCT site FROM raw WHERE site <> '') c WHERE contains(raw.url, c.site)) AS routed_to FROM raw"),
