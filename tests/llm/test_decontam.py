@@ -81,3 +81,18 @@ def test_items_without_id(spark, tmp_path, monkeypatch):
         found = q_decontam.op2_decontaminate(spark, str(tmp_path)).orderBy("doc_id").collect()
         assert [tuple(r) for r in found] == [tuple(r) for r in want[list(found[0].asDict())].itertuples(index=False)]
     assert [(r.n_hit, r.n_items) for r in found] == [(20, 1), (40, 2), (40, 2), (0, 0), (0, 0)]
+
+
+def test_large_benchmark_writes_documents_once(spark, monkeypatch):
+    """Repeated documents and items, in many blocks: texts are written once, and the blocks find what one block finds."""
+    made = []
+    whole = decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", lambda df, label: made.append((label, df.columns)) or whole(df, label))
+    items = [(i % 9, " ".join(f"q{i % 9}x{k}" for k in range(20))) for i in range(18)] + [(None, "lone words of an item")]
+    docs = [(i % 12, "some words " + items[i % 19][1] + " and more " + items[(3 * i) % 19][1]) for i in range(40)] + [(50, None), (51, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda size: sorted(decontam.scan(d, b, block_bytes=size).select("__doc.doc_id", "__doc.text", "__r.n_words", "__r.n_hit", "__r.longest", "__r.items", "__r.spans").collect(), key=repr)
+    one = rows(1 << 20)
+    assert made == []
+    assert rows(300) == one and len(one) == len(docs)
+    assert len(made) > 5 and [c for _, c in made if "__doc" in c] == [["__doc", "__id"]]

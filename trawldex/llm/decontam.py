@@ -19,6 +19,8 @@ shard is cut into overlapping pieces, so memory is bounded by the shard and not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -258,9 +260,10 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
 
 
 def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window: int, text: str) -> DataFrame:
+    """__doc and __r of every row; of rows with a number (__id) only that and __r."""
     sent = packed.sparkSession.sparkContext.broadcast(items)
-    earlier = "__r" in packed.columns
-    schema = T.StructType([packed.schema["__doc"], T.StructField("__r", RESULT)])
+    own = "__id" if "__id" in packed.columns else "__doc"
+    schema = T.StructType([packed.schema[own], T.StructField("__r", RESULT)])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "item_id", "item_word")])))])
 
     def run(batches):
@@ -270,9 +273,7 @@ def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window:
             texts = docs.field(text).cast(pa.binary())
             for at in range(0, len(texts), 1024):
                 rows = judge(texts.slice(at, 1024).to_pylist(), q)
-                if earlier:
-                    rows = [merged(a, b) for a, b in zip(batch.column("__r").slice(at, 1024).to_pylist(), rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([docs.slice(at, 1024), pa.array(rows, kind)], names=["__doc", "__r"])
+                yield pa.RecordBatch.from_arrays([batch.column(own).slice(at, 1024), pa.array(rows, kind)], names=[own, "__r"])
         del q
         give_back()
 
@@ -280,13 +281,31 @@ def _pass(packed: DataFrame, items: list[tuple[int | None, str | None]], window:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (__doc: struct of all columns, __r: RESULT): every document with its matches."""
+    """Rows (__doc: struct of all columns, __r: RESULT): every document with its matches.
+
+    A benchmark of one block is one pass without a shuffle. Of a larger one, documents are numbered and written once; a pass for each block writes
+    the numbers of the rows that it hits and what it found there, no texts, and what all found comes back to the documents in one join.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     blocks = _blocks(benchmark, block_bytes)
-    out = _pass(packed, next(blocks), window, text)
-    for block in blocks:
-        out = _pass(materialize(out, "decontam"), block, window, text)
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _pass(packed, first, window, text)
+    held = materialize(packed.withColumn("__id", F.monotonically_increasing_id()), "decontam")
+    found = None
+    for k, block in enumerate(chain([first, second], blocks)):
+        rows = _pass(held, block, window, text).withColumn("__k", F.lit(k))
+        rows = materialize(rows.filter("__r.n_hit > 0") if k else rows, "decontam-hits")
+        found = rows if found is None else found.unionByName(rows)
+    each = found.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("__k", "__r"))).alias("__rs"))  # no more than there are blocks
+
+    def fold(batches):
+        for batch in batches:
+            rows = [reduce(merged, [x["__r"] for x in xs]) for xs in batch.column("__rs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(rows, batch.schema.field("__rs").type.value_type.field("__r").type)], names=["__id", "__r"])
+
+    whole = each.mapInArrow(fold, T.StructType([T.StructField("__id", T.LongType()), T.StructField("__r", RESULT)]))
+    return held.join(whole, "__id").select("__doc", "__r")
 
 
 def contaminated(r: str = "__r") -> Column:
