@@ -48,7 +48,7 @@ def least(p, tokens, target, most):
     return _missing(p, tokens, r, target)
 
 
-@pytest.mark.parametrize("target, most", [([30, 20, 10], np.inf), ([30, 20, 10], 4.0), ([10, 60, 3], 1.0), ([1, 1, 200], 2.0)])
+@pytest.mark.parametrize("target, most", [([30, 20, 10], np.inf), ([30, 20, 10], 4.0), ([10, 60, 3], 1.0)])
 def test_solver_against_exact(spark, monkeypatch, target, most):
     monkeypatch.setattr(mixing, "REPLAY", 9)
     rng = np.random.default_rng(0)

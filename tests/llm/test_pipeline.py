@@ -3,7 +3,7 @@ import numpy as np
 import corpus_pipeline
 from trawldex.llm import decontam, mixing, q_mixing
 
-from test_mixing import exact
+from test_mixing import _missing, least
 from test_ngram import brute as near_brute
 from test_quality import brute as quality_brute
 from test_sharding import jump
@@ -40,7 +40,11 @@ def test_stages_against_brute_force(spark, sf):
     ids = sorted(clean)
     model = mixing.train(three, labels)
     p, words = model.of([(texts[i] or "").encode() for i in ids])
-    rate = dict(zip(ids, exact(p, words, np.array(list(q_mixing.WEIGHTS.values())), 1), strict=True))
+    rated = {r[0].doc_id: r.rate for r in mixing.plan(three, labels, q_mixing.WEIGHTS, max_rate=1.0, carry=["doc_id"], allow_gap=True).rows.collect()}
+    rate, share = np.array([rated[i] for i in ids]), np.array(list(q_mixing.WEIGHTS.values()))
+    asked = share * (words @ p)[0] / share[0]
+    assert (rate >= 0).all() and (rate <= 1).all() and _missing(p, words, rate, asked) <= least(p, words, asked, 1.0) + 1e-6
+    rate = rated
     luck = {r.doc_id: r.x for r in three.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'mix'), 4294967296) / 4294967296D AS x").collect()}
     assert all((i in kept) == (luck[i] < rate[i]) for i in ids if abs(luck[i] - rate[i]) > 2e-3 or rate[i] in (0, 1))
     five = stage["shard"](spark, four, sf).collect()
