@@ -171,7 +171,7 @@ def _summed(rows: DataFrame, width: int, of) -> np.ndarray:
     return np.array([found.get(i, 0.0) for i in range(width)])
 
 
-def solve(rows: DataFrame, targets: np.ndarray, max_rate: float | None, steps: int = 400, tolerance: float = 2e-5) -> Solver:
+def solve(rows: DataFrame, targets: np.ndarray, max_rate: float | None, steps: int = 2000, tolerance: float = 1e-4) -> Solver:
     """rows: tokens, posterior; targets: tokens wanted of each domain. What a step still moves must come below tolerance of each target."""
     k = len(targets)
     first = Solver(max_rate, 0.0)
