@@ -57,3 +57,17 @@ def test_upsert_equals_rebuild(spark, sf):
     tf = index.term_freq(analyzer.lemmas(analyzer.token_rows(rebuilt, ["site", "page_id"]), views.lex(spark)))
     for ours, theirs in ((core.upsert_page(spark, sf), tf), (core.upsert_lemma_df(spark, sf), index.doc_freq(tf))):
         assert ours.select(*theirs.columns).exceptAll(theirs).isEmpty() and theirs.exceptAll(ours.select(*theirs.columns)).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["pages_per_site", "build_index", "relevance", "search_blocks", "dedupe_urls"])
+def test_pages_of_equal_addresses_all_count(spark, tmp_path, name):
+    """As the SQL has it, each row of the table is a page."""
+    import duckdb
+
+    rows = [(i, f"http://a.com/p{i % 7}{'/' * (i % 2)}", f"<title>t</title><p>the fox is {'that' if i % 3 else 'red'} w{i}</p>") for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        cur = con.execute(SQL[name])
+        names, wanted = [c[0] for c in cur.description], sorted(map(repr, cur.fetchall()))
+    assert sorted(repr(tuple(r[n] for n in names)) for r in core.queries()[name](spark, str(tmp_path)).collect()) == wanted
