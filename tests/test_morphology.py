@@ -63,3 +63,26 @@ def test_learning_joins_no_words_twice(spark):
     words = spark.range(1000).select(F.lit("bats").alias("word"))
     lex = analyzer.lexicon_for_join(analyzer.lexicon(spark))
     assert analyzer.lemmas(words, lex, model).groupBy("lemma").count().collect() == [("bat", 1000)]
+
+
+def test_few_suffixes_are_looked_up_in_place(spark):
+    """The same analyses, listed and guessed, and nothing but the lexicon and the trie is sent."""
+    taught = _lexicon(300) + [("wers", "wer", "NOUN"), ("ters", "ter", "NOUN"), ("abcdefgh", "ab", "VERB"), ("zbcdefgh", "zb", "VERB")]
+    learned = morphology.learn(spark.createDataFrame(taught, ENTRY))
+    model = spark.createDataFrame(learned.collect(), learned.schema)
+    lex = F.broadcast(analyzer.lexicon_for_join(analyzer.lexicon(spark)))
+    words = sorted({w for w, *_ in _lexicon(600)} | {"", "s", "es", "that", "in", "has", "x", "bcdefgh", "qbcdefgh", "qqbcdefgh", "кошки"})
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, word string")
+    found = [analyzer.analyses(rows, lex, model, few) for few in (False, True)]
+    plain, place = [sorted((r.id, r.word, r.lemma, r.pos_tag or "") for r in x.collect()) for x in found]
+    assert plain == place and {i for i, *_ in place} == set(range(len(words)))
+    plan = found[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(word" not in plan
+
+
+def test_derived_lexicon_reads_the_words_once(spark, sf):
+    """The vocabulary is a table of its own: neither the lexicon nor the pages' analyses cut the documents again."""
+    from trawldex.plans import queries, views
+
+    for rows in (views.derived_lex(spark, sf), queries.morph_pages(spark, sf)):
+        assert "documents.parquet" not in "".join(rows.inputFiles())

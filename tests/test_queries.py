@@ -71,3 +71,11 @@ def test_pages_of_equal_addresses_all_count(spark, tmp_path, name):
         cur = con.execute(SQL[name])
         names, wanted = [c[0] for c in cur.description], sorted(map(repr, cur.fetchall()))
     assert sorted(repr(tuple(r[n] for n in names)) for r in core.queries()[name](spark, str(tmp_path)).collect()) == wanted
+
+
+@pytest.mark.parametrize("name, most", [("doc_postings", 2), ("doc_freq", 2), ("term_freq", 1), ("morph_terms", 2)])
+def test_words_move_once(spark, sf, name, most):
+    """Texts are dealt by page before they are cut: then only sums by lemma move."""
+    rows = core.queries()[name](spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= most, plan
